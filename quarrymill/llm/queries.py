@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm import cooccurrence, mixing, percentiles, stuffing
+from quarrymill.llm import canonical, cooccurrence, mixing, percentiles, stuffing
 from quarrymill.session import table
 
 ERROR = 0.01
@@ -15,14 +15,15 @@ POINTS = {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
 
 
 def p1_salary_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles for every role and state and for each role alone, from sketches a day that are merged."""
+    """Percentiles for every day, role and state, for every role and state, and for each role alone, from sketches a day that are merged."""
     by = ["search_role", "state_code"]
     days = percentiles.sketch(table(spark, d, "jobs_clean"), "salary_mid_annual", [*by, "ingest_date"], ERROR)
     both = percentiles.merge(days, by)
+    daily = percentiles.percentiles(days, [*by, "ingest_date"], POINTS, ERROR).withColumn("grain", F.lit("day_role_state"))
     cells = percentiles.percentiles(both, by, POINTS, ERROR).withColumn("grain", F.lit("role_state"))
     roles = percentiles.percentiles(percentiles.merge(both, by[:1]), by[:1], POINTS, ERROR).withColumn("state_code", F.lit(None).cast("string")).withColumn("grain", F.lit("role"))
-    out = cells.unionByName(roles)
-    return out.select("grain", *by, "n", *[F.round(x, 2).alias(x) for x in POINTS])
+    out = daily.unionByName(cells, allowMissingColumns=True).unionByName(roles, allowMissingColumns=True)
+    return out.select("grain", F.col("ingest_date").cast("string").alias("ingest_date"), *by, "n", *[F.round(x, 2).alias(x) for x in POINTS])
 
 
 def p1_daily_sketch(spark: SparkSession, d: str) -> DataFrame:
@@ -41,6 +42,10 @@ def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
     return got.select(F.col("item_a").alias("skill_a"), F.col("item_b").alias("skill_b"), "n_both", "n_a", "n_b", F.round("lift", 6).alias("lift"), F.round("odds_ratio", 4).alias("odds_ratio"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.mapped(table(spark, d, "jobs_clean"), table(spark, d, "reference_values"))
+
+
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
 
@@ -60,6 +65,7 @@ def p10_measures(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_salary_percentiles": p1_salary_percentiles, "p1_daily_sketch": p1_daily_sketch,
     "p5_found": p5_found, "p5_pairs": p5_pairs,
+    "p7_found": p7_found,
     "p9_mix": p9_mix, "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_measures": p10_measures,
 }
@@ -78,11 +84,12 @@ def _disc(name: str, p: float) -> str:
 
 
 _P1 = f"""
-WITH v AS (SELECT search_role, state_code, {_BUCKET} AS b {_VALUES}),
-g AS (SELECT 'role_state' AS grain, search_role, state_code, list_sort(list(b)) AS bs, count(*) AS n FROM v GROUP BY search_role, state_code
-  UNION ALL SELECT 'role', search_role, NULL, list_sort(list(b)), count(*) FROM v GROUP BY search_role),
-q AS (SELECT grain, search_role, state_code, n, {", ".join(_disc(k, p) for k, p in POINTS.items())} FROM g)
-SELECT grain, search_role, state_code, n, {", ".join(f"{_MIDDLE.replace('(b)', f'({k})')} AS {k}" for k in POINTS)} FROM q"""
+WITH v AS (SELECT CAST(ingest_date AS VARCHAR) AS ingest_date, search_role, state_code, {_BUCKET} AS b {_VALUES}),
+g AS (SELECT 'role_state' AS grain, NULL AS ingest_date, search_role, state_code, list_sort(list(b)) AS bs, count(*) AS n FROM v GROUP BY search_role, state_code
+  UNION ALL SELECT 'day_role_state', ingest_date, search_role, state_code, list_sort(list(b)), count(*) FROM v GROUP BY ingest_date, search_role, state_code
+  UNION ALL SELECT 'role', NULL, search_role, NULL, list_sort(list(b)), count(*) FROM v GROUP BY search_role),
+q AS (SELECT grain, ingest_date, search_role, state_code, n, {", ".join(_disc(k, p) for k, p in POINTS.items())} FROM g)
+SELECT grain, ingest_date, search_role, state_code, n, {", ".join(f"{_MIDDLE.replace('(b)', f'({k})')} AS {k}" for k in POINTS)} FROM q"""
 
 _P5 = """
 WITH b AS (SELECT DISTINCT job_id, skill FROM job_skills WHERE job_id IS NOT NULL AND trim(skill) <> ''),

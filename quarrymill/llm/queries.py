@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm import canonical, cooccurrence, mixing, percentiles, stuffing
+from quarrymill.llm import canonical, cooccurrence, leaks, mixing, percentiles, stuffing
 from quarrymill.session import table
 
 ERROR = 0.01
@@ -46,6 +46,14 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical.mapped(table(spark, d, "jobs_clean"), table(spark, d, "reference_values"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked_items(p8_found(spark, d), table(spark, d, "eval_items"))
+
+
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
 
@@ -66,6 +74,7 @@ QUERIES = {
     "p1_salary_percentiles": p1_salary_percentiles, "p1_daily_sketch": p1_daily_sketch,
     "p5_found": p5_found, "p5_pairs": p5_pairs,
     "p7_found": p7_found,
+    "p8_found": p8_found, "p8_items": p8_items,
     "p9_mix": p9_mix, "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_measures": p10_measures,
 }

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm import canonical, cooccurrence, leaks, mixing, percentiles, stuffing
+from quarrymill.llm import canonical, cooccurrence, leaks, mixing, neighbours, percentiles, stuffing
 from quarrymill.session import table
 
 ERROR = 0.01
@@ -32,6 +32,10 @@ def p1_daily_sketch(spark: SparkSession, d: str) -> DataFrame:
     return got.withColumn("ingest_date", F.col("ingest_date").cast("string"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.similar_pairs(table(spark, d, "posting_vectors"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     got = cooccurrence.pairs(table(spark, d, "job_skills"), "job_id", "skill", least_count=5, least_share=0.003, least_lift=3.0)
     return got.select(F.col("item_a").alias("skill_a"), F.col("item_b").alias("skill_b"))
@@ -72,6 +76,7 @@ def p10_measures(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_salary_percentiles": p1_salary_percentiles, "p1_daily_sketch": p1_daily_sketch,
+    "p3_found": p3_found,
     "p5_found": p5_found, "p5_pairs": p5_pairs,
     "p7_found": p7_found,
     "p8_found": p8_found, "p8_items": p8_items,

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm import canonical, cooccurrence, leaks, mixing, neighbours, percentiles, stuffing
+from quarrymill.llm import canonical, cooccurrence, leaks, mixing, names, neighbours, percentiles, stuffing
 from quarrymill.session import table
 
 ERROR = 0.01
@@ -32,6 +32,14 @@ def p1_daily_sketch(spark: SparkSession, d: str) -> DataFrame:
     return got.withColumn("ingest_date", F.col("ingest_date").cast("string"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.same_pairs(table(spark, d, "jobs_clean"))
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    return names.groups(table(spark, d, "jobs_clean"), "employer").withColumnRenamed("name", "employer")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.similar_pairs(table(spark, d, "posting_vectors"))
 
@@ -76,6 +84,7 @@ def p10_measures(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_salary_percentiles": p1_salary_percentiles, "p1_daily_sketch": p1_daily_sketch,
+    "p2_found": p2_found, "p2_groups": p2_groups,
     "p3_found": p3_found,
     "p5_found": p5_found, "p5_pairs": p5_pairs,
     "p7_found": p7_found,

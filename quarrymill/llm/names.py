@@ -28,7 +28,7 @@ from quarrymill.operators.joins import lookup
 from quarrymill.session import cut
 
 #: Least cosine of a candidate; least average score of a group.
-NEAR, LINK = 0.30, 0.50
+NEAR, LINK = 0.10, 0.34
 
 #: Entries that name nobody.
 NOBODY = frozenset(

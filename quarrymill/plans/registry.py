@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarrymill.plans import p_core
+from quarrymill.plans import p_core, q_marts
 
-MODULES = [p_core]
+MODULES = [q_marts, p_core]
 
 
 def queries() -> dict:

@@ -113,13 +113,13 @@ def form_parts(form: str) -> tuple[list[str], set[str], str, str]:
     return core.split(), set(kinds.split()), given, initials
 
 
-def grams_of(core: list[str], kinds: list[str]) -> list[str]:
-    """n-grams of the own words, and the words of kind as wholes."""
+def grams_of(core: list[str]) -> list[str]:
+    """n-grams of the own words; words of kind are left to the exact comparison."""
     out = set()
     for w in core:
         t = f" {w} " if len(w) < 4 else w
         out |= {t[i : i + n] for n in (3, 4) for i in range(max(1, len(t) - n + 1))}
-    return sorted(out | {f"={k}" for k in kinds})
+    return sorted(out)
 
 
 def edits(a: str, b: str, most: int) -> int:
@@ -236,7 +236,7 @@ def vectors(forms: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             p = [form_parts(f) for f in b["form"]]
-            yield pd.DataFrame({"form": b["form"], "gram": [grams_of(c, sorted(k)) for c, k, _, _ in p]})
+            yield pd.DataFrame({"form": b["form"], "gram": [grams_of(c) for c, _, _, _ in p]})
 
     grams = cut(forms.mapInPandas(run, "form string, gram array<string>").select("form", F.explode("gram").alias("gram")))
     n = forms.count()

@@ -2,8 +2,8 @@
 
 Distinct spellings are reduced to forms: case, accents, legal forms, offices, bracketed remarks and usual short words are evened out.
 Forms become vectors of character n-grams weighted by TF-IDF over all forms. A distributed sparse cosine join finds, for each form,
-all forms of at least `NEAR` (no cap): grams are ordered rare first, and only the shortest prefix whose rest has a norm under the
-threshold is indexed, which loses no pair. An exact comparison of the parts of both names scores each candidate, and average linkage
+all forms of at least `NEAR` (no cap): weights of shared grams are multiplied and summed, partly before the exchange, which gives the
+exact cosine. An exact comparison of the parts of both names scores each candidate, and average linkage
 groups the forms: in each round all pairs of clusters that are each other's nearest merge at once, which for average linkage gives
 the same groups as merging one pair at a time. Pairs that were no candidates count as 0.
 
@@ -28,7 +28,9 @@ from quarrymill.operators.joins import lookup
 from quarrymill.session import cut
 
 #: Least cosine of a candidate; least average score of a group.
-NEAR, LINK = 0.10, 0.34
+NEAR, LINK = 0.05, 0.34
+#: Characters of a gram: shorter ones are shared by names that have nothing else in common.
+GRAM = 4
 
 #: Entries that name nobody.
 NOBODY = frozenset(
@@ -117,8 +119,8 @@ def grams_of(core: list[str]) -> list[str]:
     """n-grams of the own words; words of kind are left to the exact comparison."""
     out = set()
     for w in core:
-        t = f" {w} " if len(w) < 4 else w
-        out |= {t[i : i + n] for n in (3, 4) for i in range(max(1, len(t) - n + 1))}
+        t = f" {w} " if len(w) < GRAM else w
+        out |= {t[i : i + GRAM] for i in range(max(1, len(t) - GRAM + 1))}
     return sorted(out)
 
 
@@ -231,7 +233,7 @@ def spellings(df: DataFrame, column: str) -> DataFrame:
 
 
 def vectors(forms: DataFrame) -> DataFrame:
-    """(form, v: array of (gram, w) by falling w, unit length)."""
+    """(form, gram, w): sparse vectors of unit length."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -242,32 +244,21 @@ def vectors(forms: DataFrame) -> DataFrame:
     n = forms.count()
     counts = grams.groupBy("gram").agg((F.lit(1.0) + F.ln(F.lit(float(n)) / F.count("*"))).alias("idf"))
     w = lookup(grams, cut(counts), "gram")
-    got = w.groupBy("form").agg(F.sort_array(F.collect_list(F.struct(F.col("idf").alias("w"), "gram")), asc=False).alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, e: s + e["w"] * e["w"]))
-    return got.withColumn("norm", norm).select("form", F.transform("v", lambda e: F.struct(e["gram"].alias("gram"), (e["w"] / F.col("norm")).alias("w"))).alias("v"))
+    norm = w.groupBy("form").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
+    return w.join(norm, "form").select("form", "gram", (F.col("idf") / F.col("norm")).alias("w"))
 
 
 def scored_pairs(forms: DataFrame, near: float = NEAR) -> DataFrame:
     """(a, b, sim), a < b: the forms of cosine `near` and more, with the score of the exact comparison."""
-    v = cut(vectors(forms).withColumn("id", F.xxhash64("form")))
-    # prefix: up to where the rest of the vector has a norm under `near`
-    left = F.aggregate("v", F.struct(F.lit(1.0).alias("rest"), F.lit(0).alias("n")), lambda s, e: F.when(s["rest"] >= near * near, F.struct((s["rest"] - e["w"] * e["w"]).alias("rest"), (s["n"] + 1).alias("n"))).otherwise(s))
-    index = v.select("form", F.explode(F.slice("v", 1, F.greatest(left["n"], F.lit(1)))).alias("e")).select("form", F.col("e.gram").alias("gram"))
-    met = index.alias("x").join(index.alias("y"), "gram").where("x.form < y.form").select(F.col("x.form").alias("a"), F.col("y.form").alias("b")).distinct()
-    both = met.join(v.select(F.col("form").alias("a"), F.col("v").alias("va")), "a").join(v.select(F.col("form").alias("b"), F.col("v").alias("vb")), "b")
+    v = cut(vectors(forms))
+    met = v.alias("x").join(v.alias("y"), "gram").where("x.form < y.form").groupBy(F.col("x.form").alias("a"), F.col("y.form").alias("b")).agg(F.sum(F.col("x.w") * F.col("y.w")).alias("cosine")).where(F.col("cosine") >= near)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for x, y, vx, vy in zip(b["a"], b["b"], b["va"], b["vb"]):
-                weights = {e["gram"]: e["w"] for e in vx}
-                if sum(weights.get(e["gram"], 0.0) * e["w"] for e in vy) >= near:
-                    s = score(x, y)
-                    if s > 0:
-                        out.append((x, y, s))
+            out = [(x, y, s) for x, y in zip(b["a"], b["b"]) if (s := score(x, y)) > 0]
             yield pd.DataFrame(out, columns=["a", "b", "sim"])
 
-    return both.mapInPandas(run, "a string, b string, sim double")
+    return met.select("a", "b").mapInPandas(run, "a string, b string, sim double")
 
 
 def average_linkage(edges: DataFrame, least: float = LINK) -> DataFrame:

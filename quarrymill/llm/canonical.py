@@ -213,7 +213,8 @@ def map_values(rows: DataFrame, reference: DataFrame, kind: str, core: Column, s
         for b in batches:
             got = [v.repair(t) for t in b["token"]]
             keep = [i for i, g in enumerate(got) if g]
-            yield pd.DataFrame({"token": [b["token"].iloc[i] for i in keep], "readings": [[{"run": r, "sim": s} for r, s in got[i]] for i in keep]})
+            if keep:
+                yield pd.DataFrame({"token": [b["token"].iloc[i] for i in keep], "readings": [[{"run": r, "sim": s} for r, s in got[i]] for i in keep]})
 
     def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = Vocabulary(entries, synonyms, key_is_name, noise)

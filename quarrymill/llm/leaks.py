@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 FEATURES, RANK, OVERSAMPLE = 4096, 240, 16
 PASSAGE, STEP = 60, 30
 #: Least latent cosine of a passage and an item for the check.
-NEAR = 0.45
+NEAR = 0.30
+#: Share of an item's words, in any order, without which a document can't hold it (HELD, less the altered words).
+BAG = 0.38
 #: Words of a run's window, and how many of them must agree.
 RUN, AGREE = 10, 8
 #: Share of the item's words that a leak holds; a half, less the words lost at the ends of runs.
@@ -228,6 +230,10 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
             own = [x] + (passages(x, STEP) if len(x) > 2 * PASSAGE else [])
             item_parts += own
             owner += [k] * len(own)
+        bag = np.zeros((FEATURES, len(rows)), np.float32)  # uses of each feature by each item
+        for k, (_, w) in enumerate(rows):
+            np.add.at(bag[:, k], h(w), 1.0)
+        sizes = np.maximum(bag.sum(0), 1.0)
         target, owner = (latent(item_parts) if rows else None), np.array(owner, np.int64)
         for b in batches:
             out, held, of = [], [], []
@@ -236,11 +242,16 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                 nonlocal held, of
                 if not held:
                     return
+                of = np.array(of, np.int64)
                 seen = set()
                 for s in range(0, len(held), 512):
                     r, c = np.nonzero(latent(held[s : s + 512]) @ target.T >= NEAR)
-                    seen.update((of[s + i], owner[j]) for i, j in zip(r, c))
-                seen = sorted(seen)
+                    seen.update(zip(of[r + s], owner[c]))
+                bags = {d: np.unique(h(texts[d])) for d in {d for d, _ in seen}}
+                has = {}
+                for d, f in bags.items():
+                    has[d] = bag[f].sum(0) / sizes >= BAG
+                seen = sorted((d, k) for d, k in seen if has[d][k])
                 last, doc_words = None, None
                 for d, k in seen:
                     if d != last:

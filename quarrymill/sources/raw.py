@@ -139,3 +139,27 @@ class _PagedReader(DataSourceReader):
         for rows in pages(lambda cursor: retried(lambda: fetch(role, place, cursor)), int(self.options.get("pages", 3))):
             for r in rows:
                 yield tuple({"role": role, "location": place, **r}.get(f.name) for f in self.schema.fields)
+
+
+def first_available(fetch: Callable[[int], bytes | None], year: int, back: int = 2) -> tuple[int, bytes]:
+    """The latest published year's file: the year before `year`, else the one before that."""
+    for y in range(year - 1, year - 1 - back, -1):
+        got = fetch(y)
+        if got is not None:
+            return y, got
+    raise LookupError(f"nothing published for the {back} years before {year}")
+
+
+def pdf_text(data: bytes, most: int = 10) -> str:
+    """Text of the first pages of a PDF, if the optional reader is installed; a file without text is an error."""
+    import io
+
+    try:
+        import pdfplumber
+    except ImportError as e:
+        raise RuntimeError("reading PDF needs pdfplumber") from e
+    with pdfplumber.open(io.BytesIO(data)) as pdf:
+        text = "\n".join(p.extract_text() or "" for p in pdf.pages[:most]).strip()
+    if not text:
+        raise ValueError("the PDF holds no text")
+    return text

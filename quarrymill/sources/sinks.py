@@ -80,3 +80,32 @@ def to_jdbc(df: DataFrame, url: str, name: str, properties: dict[str, str] | Non
     if got != want:
         raise ValueError(f"{name}: {got} rows arrived of {want}")
     return got
+
+
+def fixture_sql(sample: DataFrame, name: str, most: int = 10_000) -> str:
+    """A sampled table as SQL text: a fixture is small by purpose, more than `most` rows are refused."""
+    rows = sample.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a fixture of more than {most} rows")
+
+    def literal(v) -> str:
+        return "NULL" if v is None else str(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v).upper() if isinstance(v, bool) else "'" + str(v).replace("'", "''") + "'"
+
+    columns = ", ".join(f'"{f.name}" {f.dataType.simpleString()}' for f in sample.schema.fields)
+    values = ",\n".join("(" + ", ".join(map(literal, r)) + ")" for r in rows)
+    return f'CREATE TABLE "{name}" ({columns});\n' + (f'INSERT INTO "{name}" VALUES\n{values};\n' if rows else "")
+
+
+def contract(schemas: dict[str, DataFrame]) -> str:
+    """Schemas of named results as JSON with sorted keys."""
+    import json
+
+    return json.dumps({k: json.loads(df.schema.json()) for k, df in schemas.items()}, sort_keys=True, indent=1)
+
+
+def read_only_statements(role: str, schemas: list[str], seconds: int = 30) -> list[str]:
+    """SQL that lets a serving role read and nothing else."""
+    out = [f"ALTER ROLE {role} SET statement_timeout = '{seconds}s'", f"ALTER ROLE {role} SET default_transaction_read_only = on"]
+    for s in schemas:
+        out += [f"GRANT USAGE ON SCHEMA {s} TO {role}", f"GRANT SELECT ON ALL TABLES IN SCHEMA {s} TO {role}", f"ALTER DEFAULT PRIVILEGES IN SCHEMA {s} GRANT SELECT ON TABLES TO {role}"]
+    return out

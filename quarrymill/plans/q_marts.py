@@ -100,6 +100,11 @@ def sql(body: str, *more: str) -> str:
     return (BASE + "".join(more)).rstrip().rstrip(",") + "\n" + body
 
 
+def fact_postings(spark, d):
+    f = Warehouse(spark, d).fact.drop("experience_years_min", "experience_years_max", "fetched_at")
+    return texts(f.withColumn("is_remote", F.col("is_remote").cast("string")))
+
+
 def job_skill_array(spark, d):
     w = Warehouse(spark, d)
     return w.wide_postings.select("job_id", "role_name", "location_name", F.array_join("skills", ", ").alias("skills"), F.size("skills").cast("long").alias("n_skills"))
@@ -259,7 +264,7 @@ _F = "AT TIME ZONE 'UTC'"
 QUERIES = {
     "stg_jobs_latest": stg_jobs_latest, "best_per_content_key": best_per_content_key, "sightings_distinct": sightings_distinct,
     "stg_bls_latest": _of("stg_bls"), "dim_role": _of("dim_role"), "dim_location": _of("dim_location"),
-    "fact_postings": _of("fact", ("experience_years_min", "experience_years_max", "fetched_at")),
+    "fact_postings": fact_postings,
     "mart_salary_bands": _of("salary_bands"), "mart_job_trends": _of("job_trends"), "mart_skill_demand": _of("skill_demand"), "mart_skill_salary": _of("skill_salary"),
     "mart_skill_salary_by_role": _of("skill_salary_by_role"), "mart_role_skill_profile": _of("role_profile"),
     "postings_wide": job_skill_array, "salary_normalise_flags": normalise_flags, "state_code_lookup": states, "core_skills_flagged": core_skills_flagged,
@@ -281,7 +286,7 @@ SELECT dedup_key, job_id, salary_mid_annual, strftime(fetched_at {_F}, '%Y-%m-%d
     "sightings_distinct": sql(f"SELECT search_role, strftime({_DAY.format('fetched_at')}, '%Y-%m-%d') AS day, count(*) AS n, count(DISTINCT dedup_key) AS n_contents FROM stg_sightings GROUP BY 1, 2"),
     "stg_bls_latest": sql("SELECT soc_code, occupation_title, median_annual_wage, total_employment, CAST(reference_year AS BIGINT) AS reference_year FROM stg_bls"),
     "dim_role": sql("SELECT * FROM dim_role"), "dim_location": sql("SELECT * FROM dim_location"),
-    "fact_postings": sql("SELECT job_id, role_key, location_key, posted_date, posted_week, seniority, seniority_from_title, seniority_effective, seniority_source, employment_type, is_remote, publisher, salary_min_annual, salary_mid_annual, salary_max_annual, salary_flag, has_salary, skill_count, job_title, employer_name, apply_link FROM enriched"),
+    "fact_postings": sql("SELECT job_id, role_key, location_key, posted_date, posted_week, seniority, seniority_from_title, seniority_effective, seniority_source, employment_type, CAST(is_remote AS VARCHAR) AS is_remote, publisher, salary_min_annual, salary_mid_annual, salary_max_annual, salary_flag, has_salary, skill_count, job_title, employer_name, apply_link FROM enriched"),
     "mart_salary_bands": sql("""SELECT role_name, n_postings, n AS n_with_salary, CASE WHEN n >= 5 THEN 'ok' ELSE 'too_few_to_report' END AS sample_status, CASE WHEN n >= 5 THEN round(p25) END AS salary_p25, CASE WHEN n >= 5 THEN round(p50) END AS salary_median,
   CASE WHEN n >= 5 THEN round(p75) END AS salary_p75, bls AS bls_median_annual_wage, CASE WHEN n >= 5 AND bls > 0 THEN round(p50 / bls - 1, 4) END AS median_vs_bls_pct FROM bands"""),
     "mart_job_trends": sql("""SELECT posted_week, role_name, coalesce(l.state_code, 'Unknown') AS state_code, count(*) AS postings, round(avg(CAST(is_remote AS INTEGER)), 4) AS share_remote, round(avg(CAST(has_salary AS INTEGER)), 4) AS share_with_salary

@@ -14,7 +14,7 @@ from quarrymill.operators import quality as Q
 from quarrymill.operators import relational as R
 from quarrymill.plans.marts import Warehouse
 from quarrymill.plans.q_marts import BASE, texts
-from quarrymill.session import table
+from quarrymill.session import spread, table
 
 
 def sentence_split(spark, d):
@@ -24,7 +24,7 @@ def sentence_split(spark, d):
 
 def boilerplate(spark, d):
     """Per document: sentences in all and those without sentences that stand under three titles or more."""
-    s = table(spark, d, "documents").select("doc_id", "title", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence")).withColumn("key", T.sentence_key(F.col("sentence")))
+    s = spread(table(spark, d, "documents")).select("doc_id", "title", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence")).withColumn("key", T.sentence_key(F.col("sentence")))
     shared = s.groupBy("key").agg(F.countDistinct("title").alias("n_titles")).where("n_titles >= 3").select("key", F.lit(True).alias("shared"))
     j = s.join(shared, "key", "left")
     own = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("shared").isNull(), F.struct("pos", "sentence")))), lambda x: x["sentence"]), "\n")
@@ -38,23 +38,23 @@ def word_chunks(spark, d):
 
 
 def skills_native(spark, d):
-    return L.posting_skills(table(spark, d, "jobs_clean").where("job_id is not null")).distinct().groupBy("skill", "category").agg(F.count("*").alias("n"))
+    return L.posting_skills(spread(table(spark, d, "jobs_clean")).where("job_id is not null")).distinct().groupBy("skill", "category").agg(F.count("*").alias("n"))
 
 
 def skills_pandas(spark, d):
-    j = table(spark, d, "jobs_clean").where("job_id is not null")
+    j = spread(table(spark, d, "jobs_clean")).where("job_id is not null")
     category = P.literal_map({n: c for n, c, _ in L.catalogue()})
     s = j.select("job_id", F.explode(L.matched_pandas()(L.posting_text())).alias("skill")).distinct()
     return s.groupBy("skill", category[F.col("skill")].alias("category")).agg(F.count("*").alias("n"))
 
 
 def keyword_frequency(spark, d):
-    docs = table(spark, d, "documents").where("text is not null")
+    docs = spread(table(spark, d, "documents")).where("text is not null")
     return topics.vocabulary(topics.terms(docs, "doc_id", "text"), docs, "doc_id", "site").where("n_owners >= 20")
 
 
 def ctfidf(spark, d):
-    docs = table(spark, d, "documents").where("text is not null and source is not null")
+    docs = spread(table(spark, d, "documents")).where("text is not null and source is not null")
     t = topics.class_tfidf(topics.terms(docs, "doc_id", "text"), docs.select("doc_id", "source"), "doc_id", "source")
     return t.select("source", "term", F.round("score", 5).alias("score"), F.col("place").cast("long").alias("place"))
 
@@ -81,7 +81,7 @@ def years_extract(spark, d):
 
 
 def hashing_embed(spark, d):
-    e = encode.require_revision(encode.embedded(table(spark, d, "documents"), "doc_id", "text"))
+    e = encode.require_revision(encode.embedded(spread(table(spark, d, "documents")), "doc_id", "text"))
     return e.select("doc_id", F.col("n_chunks").cast("long").alias("n_chunks"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 4).alias("length"))
 
 

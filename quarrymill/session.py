@@ -31,6 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scanned table for work that costs much CPU a row: a table of fewer files than there are cores is dealt out to all of them.
+    Larger tables have enough partitions and stay as they are. For scans only: it asks for the partitions without running anything."""
+    n = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan._jdf.rdd().getNumPartitions() >= n else scan.repartition(n)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor reaches: spark.checkpoint.dir; a temporary one only where it is unset and Spark is local."""
     path = spark.conf.get("spark.checkpoint.dir", None)

@@ -258,7 +258,9 @@ def scored_pairs(forms: DataFrame, near: float = NEAR) -> DataFrame:
             out = [(x, y, s) for x, y in zip(b["a"], b["b"]) if (s := score(x, y)) > 0]
             yield pd.DataFrame(out, columns=["a", "b", "sim"])
 
-    return met.select("a", "b").mapInPandas(run, "a string, b string, sim double")
+    # few bytes but much work a row: a fixed number of partitions isn't joined into one
+    parts_ = int(forms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return met.select("a", "b").repartition(parts_).mapInPandas(run, "a string, b string, sim double")
 
 
 def average_linkage(edges: DataFrame, least: float = LINK) -> DataFrame:

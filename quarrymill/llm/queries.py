@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.llm import canonical, cooccurrence, leaks, mixing, names, neighbours, percentiles, stuffing
-from quarrymill.session import table
+from quarrymill.session import spread, table
 
 ERROR = 0.01
 POINTS = {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
@@ -41,7 +41,7 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return neighbours.similar_pairs(table(spark, d, "posting_vectors"))
+    return neighbours.similar_pairs(spread(table(spark, d, "posting_vectors")))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -59,7 +59,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+    return leaks.leaks(spread(table(spark, d, "documents")), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
 def p8_items(spark: SparkSession, d: str) -> DataFrame:
@@ -67,19 +67,19 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+    return mixing.mix(spread(table(spark, d, "documents")), table(spark, d, "mix_targets"))[0]
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+    return mixing.mix(spread(table(spark, d, "documents")), table(spark, d, "mix_targets"))[1]
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return stuffing.stuffed(table(spark, d, "documents"))
+    return stuffing.stuffed(spread(table(spark, d, "documents")))
 
 
 def p10_measures(spark: SparkSession, d: str) -> DataFrame:
-    return stuffing.page_measures(table(spark, d, "documents"))
+    return stuffing.page_measures(spread(table(spark, d, "documents")))
 
 
 QUERIES = {

@@ -61,4 +61,16 @@ def test_dictionary_beyond_the_broadcast_bound_joins_the_same(spark, rows):
 
     facts = spark.createDataFrame([(i, "hot" if i % 3 else None if i % 2 else f"k{i}") for i in range(300)], "i int, k string")
     entries = spark.createDataFrame([("hot", 1), ("k3", 2)], "k string, v int")
-    assert rows(lookup(facts, entries, "k")) == rows(lookup(facts, entries, "k", salts=4, most=0))
+    want = rows(lookup(facts, entries, "k"))
+    assert want == rows(lookup(facts, entries, "k", salts=4, most=0)) == rows(lookup(facts, entries, "k", salts=1, most=0))
+
+
+def test_counted_lookup_equals_plain_join(spark, rows, monkeypatch):
+    from quarrymill.operators import joins
+
+    facts = spark.createDataFrame([(i, "hot" if i % 3 else None if i % 2 else f"k{i}") for i in range(300)], "i int, k string")
+    entries = spark.createDataFrame([("hot", 200, 1), *[(f"k{i}", 1, i) for i in range(0, 300, 6)]], "k string, n int, v int")
+    want = rows(facts.join(entries.drop("n"), "k", "left"))
+    assert rows(joins.lookup_counted(facts, entries, "k")) == want
+    monkeypatch.setattr(joins, "within", lambda df: False)
+    assert rows(joins.lookup_counted(facts, entries, "k", share=0.01)) == want

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.operators.joins import lookup
+from quarrymill.operators.joins import lookup, lookup_counted
 from quarrymill.session import cut
 
 MOST_ENTRIES = 20_000
@@ -228,7 +228,7 @@ def map_values(rows: DataFrame, reference: DataFrame, kind: str, core: Column, s
 
     labels = [label for _, label in entries]
     typed = rows.where((F.trim(F.regexp_replace("value", r"\s+", " ")) != "") & (~F.col("value").isin(*labels) if labels else F.lit(True)))
-    values = cut(typed.groupBy("value").agg(F.lit(1).alias("one")).select("value", F.array_join(core, " ").alias("core")))
+    values = cut(typed.groupBy("value").agg(F.count("*").alias("n")).select("value", "n", F.array_join(core, " ").alias("core")))
     cores = values.select("core").distinct().select("core", F.split("core", " ").alias("tokens"))
 
     def joins(n: int) -> Column:
@@ -240,8 +240,8 @@ def map_values(rows: DataFrame, reference: DataFrame, kind: str, core: Column, s
     found = lookup(words, cut(repaired), "token").where(F.col("readings").isNotNull())
     per_core = found.groupBy("core").agg(F.first("tokens").alias("tokens"), F.collect_list(F.struct("token", "readings")).alias("found"))
     ranked = per_core.mapInPandas(rank, "core string, ref_key string")
-    known = values.join(ranked, "core", "left").select("value", F.coalesce("ref_key", F.lit("UNMATCHED")).alias("ref_key"))
-    return lookup(typed, cut(known), "value").select("job_id", F.lit(kind).alias("ref_kind"), "ref_key")
+    known = values.join(ranked, "core", "left").select("value", "n", F.coalesce("ref_key", F.lit("UNMATCHED")).alias("ref_key"))
+    return lookup_counted(typed, cut(known), "value").select("job_id", F.lit(kind).alias("ref_kind"), "ref_key")
 
 
 def mapped(jobs: DataFrame, reference: DataFrame) -> DataFrame:

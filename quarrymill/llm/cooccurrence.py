@@ -130,8 +130,8 @@ def pairs(df: DataFrame, basket: str, item: str, least_count: int = 1, least_sha
     both = pair_counts(coded).where(F.col("n") >= few)
     both = both.select(F.shiftright("code", 32).cast("int").alias("a"), F.col("code").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("b"), F.col("n").alias("n_both"))
     names = numbers.select("code", "item", "c")
-    out = lookup(both, names.select(F.col("code").alias("a"), F.col("item").alias("item_a"), F.col("c").alias("n_a")), "a")
-    out = lookup(out, names.select(F.col("code").alias("b"), F.col("item").alias("item_b"), F.col("c").alias("n_b")), "b")
+    out = lookup(both, names.select(F.col("code").alias("a"), F.col("item").alias("item_a"), F.col("c").alias("n_a")), "a", salts=1)
+    out = lookup(out, names.select(F.col("code").alias("b"), F.col("item").alias("item_b"), F.col("c").alias("n_b")), "b", salts=1)
     out = out.where(F.col("n_both") * F.lit(n) >= F.lit(float(least_lift)) * F.col("n_a") * F.col("n_b"))
     return out.select("item_a", "item_b", "n_both", "n_a", "n_b", F.lit(n).cast("long").alias("n_baskets"), lift(n), odds_ratio(n))
 

@@ -278,14 +278,14 @@ def average_linkage(edges: DataFrame, least: float = LINK) -> DataFrame:
         if merges.isEmpty():
             return labels
         sizes = e.select(F.col("a").alias("x"), F.col("na").alias("n")).unionAll(e.select(F.col("b").alias("x"), F.col("nb").alias("n"))).distinct()
-        named = lookup(sizes.withColumnRenamed("x", "old"), merges, "old").select(F.coalesce("new", "old").alias("x"), "n").groupBy("x").agg(F.sum("n").alias("n"))
-        moved = lookup(e.select("a", "b", "s").withColumnRenamed("a", "old"), merges, "old").select(F.coalesce("new", "old").alias("a"), "b", "s")
-        moved = lookup(moved.withColumnRenamed("b", "old"), merges, "old").select("a", F.coalesce("new", "old").alias("b"), "s").where("a <> b")
+        named = lookup(sizes.withColumnRenamed("x", "old"), merges, "old", salts=1).select(F.coalesce("new", "old").alias("x"), "n").groupBy("x").agg(F.sum("n").alias("n"))
+        moved = lookup(e.select("a", "b", "s").withColumnRenamed("a", "old"), merges, "old", salts=1).select(F.coalesce("new", "old").alias("a"), "b", "s")
+        moved = lookup(moved.withColumnRenamed("b", "old"), merges, "old", salts=1).select("a", F.coalesce("new", "old").alias("b"), "s").where("a <> b")
         moved = moved.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("s").alias("s"))
         named = cut(named)
-        moved = lookup(moved, named.select(F.col("x").alias("a"), F.col("n").alias("na")), "a")
-        e = cut(lookup(moved, named.select(F.col("x").alias("b"), F.col("n").alias("nb")), "b").select("a", "b", "s", "na", "nb"))
-        labels = cut(lookup(labels.withColumnRenamed("label", "old"), merges, "old").select("node", F.coalesce("new", "old").alias("label")))
+        moved = lookup(moved, named.select(F.col("x").alias("a"), F.col("n").alias("na")), "a", salts=1)
+        e = cut(lookup(moved, named.select(F.col("x").alias("b"), F.col("n").alias("nb")), "b", salts=1).select("a", "b", "s", "na", "nb"))
+        labels = cut(lookup(labels.withColumnRenamed("label", "old"), merges, "old", salts=1).select("node", F.coalesce("new", "old").alias("label")))
 
 
 def groups(df: DataFrame, column: str) -> DataFrame:
@@ -293,7 +293,7 @@ def groups(df: DataFrame, column: str) -> DataFrame:
     names = cut(spellings(df, column))
     forms = cut(names.select("form").distinct())
     labels = average_linkage(scored_pairs(forms))
-    return lookup(names, labels.select(F.col("node").alias("form"), "label"), "form").select("name", F.coalesce("label", "form").alias("label"))
+    return lookup(names, labels.select(F.col("node").alias("form"), "label"), "form", salts=1).select("name", F.coalesce("label", "form").alias("label"))
 
 
 def same_pairs(df: DataFrame, column: str = "employer") -> DataFrame:

@@ -72,9 +72,15 @@ def compared(medians: DataFrame, least: int = LEAST_SAMPLE) -> DataFrame:
     }).drop("__with", "__without")
 
 
-def zero_filled(counts: DataFrame, periods: DataFrame, items: DataFrame, period: Sequence[str], group: Sequence[str], item: Sequence[str], measure: str) -> DataFrame:
-    """Every item of a group in every period the group was seen; absent counts are 0, unseen periods stay absent."""
-    return periods.join(items, list(group)).join(counts, [*period, *group, *item], "left").withColumn(measure, F.coalesce(measure, F.lit(0)))
+def zero_filled(counts: DataFrame, periods: DataFrame, period: str, group: Sequence[str], item: Sequence[str], measure: str, carry: Sequence[Column] = ()) -> DataFrame:
+    """Every item of a group in every period the group was seen; absent counts are 0, unseen periods stay absent.
+
+    Counts (period, group..., item..., measure) are read once: each item keeps a map from period to count, as long as the calendar
+    at most, and meets its group's periods by one join. `carry`: further aggregates of an item.
+    """
+    by = F.map_from_entries(F.collect_list(F.struct(period, measure))).alias("__by")
+    items = counts.groupBy(*group, *item).agg(by, *carry)
+    return periods.join(items, list(group)).withColumn(measure, F.coalesce(F.try_element_at("__by", F.col(period)), F.lit(0))).drop("__by")
 
 
 def slice_percentiles(df: DataFrame, groups: DataFrame, by: str, value: str, points: dict[str, float], where: Column | None = None, least: int = LEAST_SAMPLE) -> DataFrame:

@@ -123,10 +123,11 @@ class Warehouse:
     def skill_demand(self) -> DataFrame:
         s = self.stg_sightings.where("dedup_key is not null").select(P.utc_week(F.col("fetched_at")).alias("collection_week"), "search_role", "dedup_key").distinct()
         weeks = s.groupBy("collection_week", "search_role").agg(F.count("*").alias("role_postings"))
-        skills = self.stg_skills.join(self.stg_jobs.select("job_id", "dedup_key"), "job_id").select("dedup_key", "skill_name", "skill_category").distinct()
-        seen = s.join(skills, "dedup_key").groupBy("collection_week", "search_role", "skill_name", "skill_category").agg(F.countDistinct("dedup_key").alias("postings_with_skill"))
-        items = seen.select("search_role", "skill_name", "skill_category").distinct()
-        filled = R.zero_filled(seen.drop("skill_category"), weeks, items, ["collection_week"], ["search_role"], ["skill_name"], "postings_with_skill")
+        # one row a content and skill, so that rows count contents; a skill has one category, rarely more
+        skills = self.stg_skills.join(self.stg_jobs.select("job_id", "dedup_key"), "job_id").groupBy("dedup_key", "skill_name").agg(F.collect_set("skill_category").alias("cats"))
+        seen = s.join(skills, "dedup_key").groupBy("collection_week", "search_role", "skill_name").agg(F.count("*").alias("postings_with_skill"), F.array_distinct(F.flatten(F.collect_set("cats"))).alias("cats"))
+        cats = F.array_distinct(F.flatten(F.collect_set("cats"))).alias("cats")
+        filled = R.zero_filled(seen, weeks, "collection_week", ["search_role"], ["skill_name"], "postings_with_skill", [cats]).withColumn("skill_category", F.explode_outer("cats"))
         return filled.select("collection_week", "search_role", "skill_name", "skill_category", "postings_with_skill", "role_postings", F.round(F.col("postings_with_skill") / F.col("role_postings"), 4).alias("share_of_role_postings"))
 
     @cached_property

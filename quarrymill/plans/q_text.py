@@ -14,7 +14,7 @@ from quarrymill.operators import quality as Q
 from quarrymill.operators import relational as R
 from quarrymill.plans.marts import Warehouse
 from quarrymill.plans.q_marts import BASE, texts
-from quarrymill.session import spread, table
+from quarrymill.session import broadcast_if_small, spread, table
 
 
 def sentence_split(spark, d):
@@ -87,7 +87,7 @@ def hashing_embed(spark, d):
 
 def cosine_top_k(spark, d):
     v = table(spark, d, "embeddings")
-    q = v.where("vec_id = (SELECT min(vec_id) FROM {v})".replace("{v}", "q_all")) if False else v.join(F.broadcast(v.agg(F.min("vec_id").alias("vec_id"))), "vec_id").select(F.col("embedding").alias("query_vector"), F.col("vec_id").alias("q_id"))
+    q = v.join(F.broadcast(v.agg(F.min("vec_id").alias("vec_id"))), "vec_id").select(F.col("embedding").alias("query_vector"), F.col("vec_id").alias("q_id"))
     r = R.closest_to(v, q, "vec_id", "embedding", 11)
     return r.where("vec_id <> q_id").select("vec_id", F.round("similarity", 6).alias("similarity"))
 
@@ -180,7 +180,8 @@ def weekly_events(spark, d):
     e = table(spark, d, "events").select(F.to_date(F.date_trunc("week", F.col("ts"))).alias("week"), "event_type", "user_id")
     weeks = e.groupBy("week").agg(F.countDistinct("user_id").alias("users"))
     seen = e.groupBy("week", "event_type").agg(F.countDistinct("user_id").alias("n"))
-    return texts(R.zero_filled(seen, weeks, e.select("event_type").distinct(), ["week"], [], ["event_type"], "n") if False else weeks.join(e.select("event_type").distinct(), how="cross").join(seen, ["week", "event_type"], "left").select("week", "event_type", F.coalesce("n", F.lit(0)).alias("n"), "users"))
+    every = weeks.crossJoin(broadcast_if_small(e.select("event_type").distinct()))  # weeks and event types: two short lists
+    return texts(every.join(seen, ["week", "event_type"], "left").select("week", "event_type", F.coalesce("n", F.lit(0)).alias("n"), "users"))
 
 
 def dq_all(spark, d):

@@ -294,3 +294,10 @@ def test_cache_and_stages(spark):
     c.get(("a",), make)
     assert len(made) == 2
     assert pipeline.run_stages([("x", lambda: 1), ("y", lambda: 2)]) == {"x": 1, "y": 2}
+
+
+def test_zero_fill_keeps_gaps_apart_from_zeros(spark):
+    counts = spark.createDataFrame([(1, "r", "a", 5), (3, "r", "b", 2), (1, "q", "a", 1)], "week int, role string, item string, n int")
+    periods = spark.createDataFrame([(1, "r", 9), (2, "r", 9), (3, "r", 9), (1, "q", 4)], "week int, role string, total int")
+    got = {(r["week"], r["role"], r["item"]): r["n"] for r in R.zero_filled(counts, periods, "week", ["role"], ["item"], "n").collect()}
+    assert got == {(1, "r", "a"): 5, (2, "r", "a"): 0, (3, "r", "a"): 0, (1, "r", "b"): 0, (2, "r", "b"): 0, (3, "r", "b"): 2, (1, "q", "a"): 1}

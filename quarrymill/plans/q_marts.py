@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarrymill.functions import postings as P
 from quarrymill.operators import relational as R
 from quarrymill.plans.marts import ROLE_SEED, Warehouse
+from quarrymill.session import within
 
 
 def texts(df: DataFrame) -> DataFrame:
@@ -233,6 +234,19 @@ def wage_gap_levels(spark, d):
     return e.groupBy("search_role").agg(F.count_if(near).alias("n_near_mid"), F.count("*").alias("n"))
 
 
+def impact_buckets(spark, d):
+    p = Warehouse(spark, d).skill_salary_by_role
+    return p.groupBy(P.impact_status(F.col("median_salary_difference")).alias("status")).agg(F.count("*").alias("n"))
+
+
+def estimate_range(spark, d):
+    """A role's median as the estimate, give or take the role's mean error, not under 0."""
+    e = Warehouse(spark, d).enriched.where("has_salary").select("search_role", "salary_mid_annual")
+    m = e.groupBy("search_role").agg(R.percentile("salary_mid_annual", 0.5).alias("m"))
+    err = e.join(F.broadcast(m) if within(m) else m, "search_role").groupBy("search_role", "m").agg(F.avg(F.abs(F.col("salary_mid_annual") - F.col("m"))).alias("err"))
+    return err.select("search_role", F.round(F.greatest(F.col("m") - F.col("err"), F.lit(0.0)), 3).alias("low"), F.round("m", 3).alias("estimate"), F.round(F.col("m") + F.col("err"), 3).alias("high"))
+
+
 def top_skills_15(spark, d):
     return Warehouse(spark, d).stg_skills.groupBy("skill_name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "skill_name").limit(15)
 
@@ -272,7 +286,7 @@ QUERIES = {
     "median_fallback_hierarchy": median_fallback, "mae_by_group": mae_by_group, "recency_latest_day_fallback": recency_pool, "group_folds": group_folds,
     "overview_scalars": overview, "stratified_md5_sample": stratified, "topic_share_of_group": topic_share, "parts_of_total": stacked_parts,
     "series_collect": series_collected, "feature_one_hot": features_one_hot, "near_level_counts": wage_gap_levels, "top15_skills": top_skills_15,
-    "semi_anti_vectors": embedded_postings, "shared_skills_intersect": shared_skills,
+    "impact_status_buckets": impact_buckets, "estimate_range": estimate_range, "semi_anti_vectors": embedded_postings, "shared_skills_intersect": shared_skills,
 }
 
 _STATE_CASE = "CASE lower(trim(state)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in P.STATES.items()) + " ELSE CASE WHEN length(trim(state)) = 2 THEN upper(trim(state)) END END"
@@ -324,6 +338,9 @@ UNION ALL SELECT 'latest_collection', search_role, count(*) FROM enriched WHERE
     "series_collect": sql("SELECT search_role, skill_name, string_agg(collection_week || '=' || postings_with_skill, ';' ORDER BY collection_week) AS series, count(*) AS n_weeks FROM demand GROUP BY 1, 2", DEMAND),
     "feature_one_hot": sql("SELECT job_id, " + ", ".join(f"CAST(seniority_effective = '{lv}' AS BIGINT) AS level_{lv}" for lv in P.LEVELS) + ", CAST(coalesce(is_remote, false) AS BIGINT) AS remote, skill_count FROM enriched WHERE has_salary"),
     "near_level_counts": sql("SELECT search_role, count(*) FILTER (WHERE seniority_effective IN ('junior', 'mid', 'senior', 'unknown')) AS n_near_mid, count(*) AS n FROM enriched GROUP BY 1"),
+    "impact_status_buckets": sql(f"SELECT CASE WHEN median_salary_difference IS NULL THEN 'not_enough_data' WHEN abs(median_salary_difference) < 500 THEN 'no_measurable_effect' ELSE 'value' END AS status, count(*) AS n FROM ({_BY_ROLE}) GROUP BY 1"),
+    "estimate_range": sql("""SELECT search_role, round(greatest(m - avg(abs(salary_mid_annual - m)), 0e0), 3) AS low, round(m, 3) AS estimate, round(m + avg(abs(salary_mid_annual - m)), 3) AS high
+  FROM enriched JOIN (SELECT search_role, quantile_cont(salary_mid_annual, 0.5) AS m FROM enriched WHERE has_salary GROUP BY 1) USING (search_role) WHERE has_salary GROUP BY search_role, m"""),
     "top15_skills": sql("SELECT skill_name, count(*) AS n FROM stg_skills GROUP BY 1 ORDER BY n DESC, skill_name LIMIT 15"),
     "semi_anti_vectors": sql("SELECT search_role, count(*) FILTER (WHERE v) AS n_with_vector, count(*) FILTER (WHERE NOT v) AS n_without_vector FROM (SELECT search_role, job_id IN (SELECT job_id FROM posting_vectors WHERE embedding IS NOT NULL) AS v FROM enriched) GROUP BY 1"),
     "shared_skills_intersect": sql(f"""SELECT e.job_id, coalesce(s.shared, '') AS shared, coalesce(s.n, 0) AS n_shared FROM enriched e JOIN dim_role USING (role_key) LEFT JOIN (SELECT job_id, string_agg(skill_name, ', ' ORDER BY skill_name) AS shared, count(*) AS n

@@ -13,7 +13,7 @@ from quarrymill.ml import encode, forecast, topics
 from quarrymill.operators import quality as Q
 from quarrymill.operators import relational as R
 from quarrymill.plans.marts import Warehouse
-from quarrymill.plans.q_marts import BASE, texts
+from quarrymill.plans.q_marts import BASE, DEMAND, sql, texts
 from quarrymill.session import broadcast_if_small, spread, table
 
 
@@ -317,4 +317,14 @@ SELECT w.week, t.event_type, coalesce(s.n, 0) AS n, w.users FROM w CROSS JOIN (S
 SELECT check_name, count(*) AS n, min(detail) AS first_detail FROM f WHERE detail IS NOT NULL OR true GROUP BY 1""",
     "stream_weekly_counts": "SELECT strftime(date_trunc('week', fetched_at AT TIME ZONE 'UTC'), '%Y-%m-%d') AS week, search_role, count(*) AS n FROM job_sightings GROUP BY 1, 2",
 }
+ORACLES["display_money_percent"] = sql("""SELECT role_name, (CASE WHEN p50 < 0 THEN '-$' ELSE '$' END) || format('{:,}', CAST(floor(abs(round(p50)) / 1000 + 0.5e0) * 1000 AS BIGINT)) AS median_text, CASE WHEN bls > 0 THEN CAST(CAST(floor(round(p50 / bls - 1, 4) * 100 + 0.5e0) AS BIGINT) AS VARCHAR) || '%' END AS gap_text,
+  array_to_string(list_transform(string_split(role_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS title_text, floor(round(p25) / 25000) * 25000 AS axis_min, ceil(round(p75) / 25000) * 25000 AS axis_max FROM bands WHERE n >= 5""")
+ORACLES["forecast_gate_status"] = sql("""SELECT search_role, skill_name, CASE WHEN k > 0 THEN 'forecast' ELSE 'insufficient_history' END AS status, n AS n_points, last_at, last_value, CASE WHEN k > 0 THEN round(least(greatest(a + b * (last_x + 7 * k), 0e0), 1e0), 6) END AS forecast
+  FROM (SELECT search_role, skill_name, count(*) AS n, max(x) AS last_x, max(collection_week) AS last_at, arg_max(share_of_role_postings, x) AS last_value, regr_slope(share_of_role_postings, x) AS b, regr_intercept(share_of_role_postings, x) AS a, unnest(CASE WHEN count(*) >= 12 THEN range(1, 14) ELSE [0] END) AS k
+  FROM (SELECT *, date_diff('day', min(CAST(collection_week AS DATE)) OVER (PARTITION BY search_role, skill_name), CAST(collection_week AS DATE)) AS x FROM demand) GROUP BY 1, 2)""", DEMAND)
+ORACLES["budget_plan"] = """WITH f AS (SELECT DISTINCT search_role AS role, search_location AS location, CAST(fetched_at AT TIME ZONE 'UTC' AS DATE) AS d FROM job_sightings),
+u AS (SELECT count(*) FILTER (WHERE date_trunc('month', d) = DATE '2026-09-01' AND d < DATE '2026-09-20') * 3 AS before, count(*) FILTER (WHERE d = DATE '2026-09-20') * 3 AS today FROM f),
+a AS (SELECT greatest(9000 - before, 0) // 11 AS allowance, today FROM u), p AS (SELECT role, location, max(d) AS last_fetched, row_number() OVER (ORDER BY location, role) AS ordinal FROM f GROUP BY 1, 2),
+c AS (SELECT *, row_number() OVER (ORDER BY last_fetched, ordinal) AS place FROM p WHERE last_fetched <> DATE '2026-09-20')
+SELECT role, location, strftime(last_fetched, '%Y-%m-%d') AS last_fetched, CAST(allowance AS BIGINT) AS allowance, place FROM c CROSS JOIN a WHERE place <= greatest(allowance - today, 0) // 3"""
 ORACLES["skill_match_pandas"] = ORACLES["skill_match_explode"]

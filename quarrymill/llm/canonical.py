@@ -133,7 +133,7 @@ class Vocabulary:
 
     def rank(self, tokens: list[str], readings: dict[str, list[tuple[list[str], float]]]) -> tuple[str | None, float]:
         """The best entry of the tokens in their order; adjacent tokens may also be read as one ("front end")."""
-        best = (0.0, None)
+        best, tokens = (0.0, None), list(dict.fromkeys(tokens))  # a repeated token says nothing new
         for units in {tuple(tokens), *merged(tokens, readings)}:
             wanted = {t for u in units for run, _ in readings.get(u, ()) for t in run}
             for key, ts in self.entries:

@@ -40,6 +40,7 @@ PREPOSITIONS = frozenset("of to in for with by on at from into about de del al e
 _LINK = re.compile(r"<a\s[^<>]*>[^<]*</a\s*>|\[[^\[\]\n]*\]\(\s*[^()\s]*\s*\)|(?:https?://|www\.)[^\s<>|»]+", re.I)
 _TOKEN = re.compile(r"\x02|\n+|[|·•»;/]|(?<=\s)[-–—](?=\s)|[^\s|·•»;\x02]+")
 _SEPARATORS = frozenset("|·•»;/-–—")
+_WRAP = re.compile(r"(?<=[^\s.!?:\x02])(?:<br\s*/?>)?[ \t]*\n[ \t>]*(?=[a-z])")  # a line that goes on in the next
 _END = re.compile(r"[.!?:]+[\"')\]]*$")
 _CORE = re.compile(r"\w[\w+#.'’&-]*", re.U)
 _TAG = re.compile(r"^#\w")
@@ -108,7 +109,7 @@ def measures(text: str | None) -> tuple[int, int, int, int, int, float]:
     words: list[str] = []  # normal form; "" for a link or tag
     segment: list[int] = []
     s, link_or_tag, sentences = 0, 0, set()  # sentences: the segments that end in punctuation
-    for t in _TOKEN.findall(_LINK.sub(" \x02 ", text)):
+    for t in _TOKEN.findall(_WRAP.sub(" ", _LINK.sub(" \x02 ", text))):
         if t == "\x02" or _TAG.match(t):
             link_or_tag += 1
             s += 1

@@ -70,8 +70,8 @@ all_pairs AS (
 
 def _compare(pairs: str, keys: str, extra: str = "") -> str:
     return f"""SELECT {keys}{extra}, n1 AS n_with_skill, n0 AS n_without_skill, CASE WHEN n1 >= 5 AND n0 >= 5 THEN 'ok' ELSE 'too_few_to_report' END AS sample_status,
-  round(m1) AS median_salary_with_skill, round(m0) AS median_salary_without_skill, CASE WHEN n1 >= 5 AND n0 >= 5 THEN round(m1 - m0) END AS median_salary_difference,
-  CASE WHEN n1 >= 5 AND n0 >= 5 AND m0 > 0 THEN round(m1 / m0 - 1, 4) END AS median_salary_difference_pct
+  round(m1) AS median_salary_with_skill, round(m0) AS median_salary_without_skill, CASE WHEN n1 >= 5 AND n0 >= 5 THEN round(m1 - m0) + 0e0 END AS median_salary_difference,
+  CASE WHEN n1 >= 5 AND n0 >= 5 AND m0 > 0 THEN round(m1 / m0 - 1, 4) + 0e0 END AS median_salary_difference_pct
   FROM (SELECT {keys}, count(*) FILTER (WHERE has) AS n1, count(*) FILTER (WHERE NOT has) AS n0, quantile_cont(salary_mid_annual, 0.5) FILTER (WHERE has) AS m1,
     quantile_cont(salary_mid_annual, 0.5) FILTER (WHERE NOT has) AS m0 FROM {pairs} GROUP BY {keys})"""
 
@@ -302,7 +302,7 @@ SELECT dedup_key, job_id, salary_mid_annual, strftime(fetched_at {_F}, '%Y-%m-%d
     "dim_role": sql("SELECT * FROM dim_role"), "dim_location": sql("SELECT * FROM dim_location"),
     "fact_postings": sql("SELECT job_id, role_key, location_key, posted_date, posted_week, seniority, seniority_from_title, seniority_effective, seniority_source, employment_type, CAST(is_remote AS VARCHAR) AS is_remote, publisher, salary_min_annual, salary_mid_annual, salary_max_annual, salary_flag, has_salary, skill_count, job_title, employer_name, apply_link FROM enriched"),
     "mart_salary_bands": sql("""SELECT role_name, n_postings, n AS n_with_salary, CASE WHEN n >= 5 THEN 'ok' ELSE 'too_few_to_report' END AS sample_status, CASE WHEN n >= 5 THEN round(p25) END AS salary_p25, CASE WHEN n >= 5 THEN round(p50) END AS salary_median,
-  CASE WHEN n >= 5 THEN round(p75) END AS salary_p75, bls AS bls_median_annual_wage, CASE WHEN n >= 5 AND bls > 0 THEN round(p50 / bls - 1, 4) END AS median_vs_bls_pct FROM bands"""),
+  CASE WHEN n >= 5 THEN round(p75) END AS salary_p75, bls AS bls_median_annual_wage, CASE WHEN n >= 5 AND bls > 0 THEN round(p50 / bls - 1, 4) + 0e0 END AS median_vs_bls_pct FROM bands"""),
     "mart_job_trends": sql("""SELECT posted_week, role_name, coalesce(l.state_code, 'Unknown') AS state_code, count(*) AS postings, round(avg(CAST(is_remote AS INTEGER)), 4) AS share_remote, round(avg(CAST(has_salary AS INTEGER)), 4) AS share_with_salary
   FROM enriched e JOIN dim_role USING (role_key) JOIN dim_location l USING (location_key) GROUP BY 1, 2, 3"""),
     "mart_skill_demand": sql("SELECT * FROM demand", DEMAND),

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.operators.joins import lookup
-from quarrymill.session import cut
+from quarrymill.session import broadcast_if_small, cut
 
 #: Least cosine of a candidate; least average score of a group.
 NEAR, LINK = 0.05, 0.34
@@ -277,15 +277,16 @@ def average_linkage(edges: DataFrame, least: float = LINK) -> DataFrame:
         merges = cut(best.groupBy("a", "b").agg(F.count("*").alias("n")).where("n = 2").select(F.col("b").alias("old"), F.col("a").alias("new")))
         if merges.isEmpty():
             return labels
+        found = broadcast_if_small(merges)  # counted once a round
         sizes = e.select(F.col("a").alias("x"), F.col("na").alias("n")).unionAll(e.select(F.col("b").alias("x"), F.col("nb").alias("n"))).distinct()
-        named = lookup(sizes.withColumnRenamed("x", "old"), merges, "old", salts=1).select(F.coalesce("new", "old").alias("x"), "n").groupBy("x").agg(F.sum("n").alias("n"))
-        moved = lookup(e.select("a", "b", "s").withColumnRenamed("a", "old"), merges, "old", salts=1).select(F.coalesce("new", "old").alias("a"), "b", "s")
-        moved = lookup(moved.withColumnRenamed("b", "old"), merges, "old", salts=1).select("a", F.coalesce("new", "old").alias("b"), "s").where("a <> b")
+        named = sizes.withColumnRenamed("x", "old").join(found, "old", "left").select(F.coalesce("new", "old").alias("x"), "n").groupBy("x").agg(F.sum("n").alias("n"))
+        moved = e.select("a", "b", "s").withColumnRenamed("a", "old").join(found, "old", "left").select(F.coalesce("new", "old").alias("a"), "b", "s")
+        moved = moved.withColumnRenamed("b", "old").join(found, "old", "left").select("a", F.coalesce("new", "old").alias("b"), "s").where("a <> b")
         moved = moved.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("s").alias("s"))
-        named = cut(named)
-        moved = lookup(moved, named.select(F.col("x").alias("a"), F.col("n").alias("na")), "a", salts=1)
-        e = cut(lookup(moved, named.select(F.col("x").alias("b"), F.col("n").alias("nb")), "b", salts=1).select("a", "b", "s", "na", "nb"))
-        labels = cut(lookup(labels.withColumnRenamed("label", "old"), merges, "old", salts=1).select("node", F.coalesce("new", "old").alias("label")))
+        named = broadcast_if_small(cut(named))
+        moved = moved.join(named.select(F.col("x").alias("a"), F.col("n").alias("na")), "a").join(named.select(F.col("x").alias("b"), F.col("n").alias("nb")), "b")
+        e = cut(moved.select("a", "b", "s", "na", "nb"))
+        labels = cut(labels.withColumnRenamed("label", "old").join(found, "old", "left").select("node", F.coalesce("new", "old").alias("label")))
 
 
 def groups(df: DataFrame, column: str) -> DataFrame:

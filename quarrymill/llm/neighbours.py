@@ -2,16 +2,18 @@
 
 Collision-counting hashing. `PROJECTIONS` random projections make a compact signature of each vector. For a query, each projection
 opens a window centred on the query's value; a vector in the window collides; one that collides in enough windows is a candidate,
-and only candidates are compared as whole vectors. By virtual rehashing each query has windows as wide as it needs to find
-candidates for its k neighbours, up to the distance of the least similarity: dense regions get narrow windows.
+and only candidates are compared as whole vectors. Windows are as wide as the distance of the least similarity. A pair that collides
+and has an end with few hits in the cell is a candidate. Where both ends have many, windows can't rank them: the whole vectors of
+these dense members come to the cell, and each keeps its most similar ones by exact cosine.
 
 A single projection's window holds a fixed share of a collection, so on its own the counting is quadratic. It therefore runs inside
 cells: each vector goes to the cells of its nearest pivots in `TABLES` independent tables. Pivots are vectors drawn by hash, at most
-`MOST_PIVOTS` a table (the bounded sample that the index is fitted on); every vector is indexed. Dense regions get more pivots. A cell
+`MOST_PIVOTS` a table (the bounded sample that the index is fitted on); every vector is indexed. Of pivots nearer than `APART` one is kept: a region where
+all are near each other isn't split, as its neighbours would be dealt to different cells. A cell
 beyond `MOST_CELL` members is sorted by one projection and searched in overlapping windows of that sorted array, whose members all
 take part. Exact copies (equal direction) are one class: classes are combined before any exchange and never expanded to all pairs.
 
-Only signatures (PROJECTIONS bytes) are exchanged by cell; whole vectors travel only for classes that are candidates.
+Only signatures (PROJECTIONS bytes) are exchanged by cell; whole vectors travel only for classes that are candidates or dense members.
 
 Defined cases. Null vectors, vectors with null or non-finite elements, of length zero, or of another size than `size` take no part; nor do null ids.
 A posting loaded several times is one posting; if its loads differ, each load is compared and the most similar counts. Equal
@@ -37,6 +39,10 @@ MOST_PIVOTS, PER_CELL, MOST_CELL = 8192, 100, 3000
 SCALE = 31.0
 #: Share of windows that make a candidate: between that of pairs at the least similarity and that of chance.
 SHARE = 0.58
+#: A query with more than ENOUGH * k hits in a cell is in a dense region.
+ENOUGH = 3
+#: Cosine from which two pivots are one.
+APART = 0.7
 
 
 def unit_rows(rows: DataFrame, size: int) -> DataFrame:
@@ -59,12 +65,25 @@ def unit_rows(rows: DataFrame, size: int) -> DataFrame:
     return rows.where("job_id is not null").select(F.col("job_id").cast("string").alias("job_id"), "embedding").mapInArrow(run, "job_id string, cls long, vec binary")
 
 
+def thinned(x: np.ndarray) -> np.ndarray:
+    """The unit rows of x without those nearer than `APART` to one that is kept before."""
+    kept = x[:0]
+    for s in range(0, len(x), 512):
+        block = x[s : s + 512]
+        block = block[(block @ kept.T < APART).all(1)]
+        near, keep = block @ block.T >= APART, np.zeros(len(block), bool)
+        for k in range(len(block)):
+            keep[k] = not near[k, :k][keep[:k]].any()
+        kept = np.concatenate([kept, block[keep]])
+    return kept
+
+
 class Pivots:
     """Two levels: about sqrt(P) groups of about sqrt(P) pivots; a query looks into its nearest groups only."""
 
     def __init__(self, x: np.ndarray, seed: int):
         self.mean = x.mean(0)
-        x = x - self.mean
+        x = thinned(x) - self.mean
         self.x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
         g = max(1, math.isqrt(len(x)))
         self.heads = self.x[np.random.default_rng(seed).permutation(len(x))[:g]]
@@ -100,21 +119,59 @@ def collisions(sig: np.ndarray, queries: np.ndarray, radius: float) -> np.ndarra
     return out
 
 
+def cell_parts(sig: np.ndarray) -> list[np.ndarray]:
+    """Row numbers that are compared with each other."""
+    if len(sig) <= MOST_CELL:
+        return [np.arange(len(sig))]
+    by = np.argsort(sig[:, 0], kind="stable")
+    half = MOST_CELL // 2
+    return [by[s : s + MOST_CELL] for s in range(0, max(1, len(by) - half), half)]
+
+
+def cell_hits(cls: np.ndarray, sig: np.ndarray, radius: float, enough: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs (a, b), a < b, that collide often enough and of which one end has at most `enough` hits; classes with more hits).
+
+    A pair that collides and isn't among the pairs has both ends in the second array.
+    """
+    hit = np.empty((len(cls), len(cls)), bool)
+    for start in range(0, len(cls), 256):
+        rows = np.arange(start, min(len(cls), start + 256))
+        hit[rows] = collisions(sig, rows, radius) >= round(SHARE * sig.shape[1])
+    np.fill_diagonal(hit, False)
+    few = (hit.sum(1) <= enough) & (hit.sum(0) <= enough)
+    hit[~few] &= few
+    r, o = np.nonzero(hit)
+    pairs = np.unique(np.stack([np.minimum(cls[r], cls[o]), np.maximum(cls[r], cls[o])], 1), axis=0)
+    return pairs, cls[~few]
+
+
+def exact_best(cls: np.ndarray, vec: np.ndarray, least: float, enough: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, sim), a < b: the `enough` most similar others of each row by exact cosine, of at least `least`; those that tie with the last are kept."""
+    x = vec.astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    found = []
+    for start in range(0, len(cls), 256):
+        rows = np.arange(start, min(len(cls), start + 256))
+        sim = x[rows] @ x.T
+        sim[np.arange(len(rows)), rows] = -np.inf
+        last = np.full(len(rows), -np.inf) if len(cls) <= enough else np.partition(sim, -enough, axis=1)[:, -enough]
+        r, o = np.nonzero(sim >= np.maximum(last - 1e-12, least)[:, None])
+        found.append((cls[rows[r]], cls[o], sim[r, o]))
+    a, b, sim = (np.concatenate(f) for f in zip(*found))
+    pairs, at = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0, return_index=True)
+    return pairs[:, 0], pairs[:, 1], sim[at]
+
+
 def cell_candidates(cls: np.ndarray, sig: np.ndarray, radii: list[float], enough: int) -> np.ndarray:
     """Pairs (a, b), a < b, of the cell's classes that collide often enough.
 
     A query gets the candidates of the narrowest windows that give it `enough` of them, else those of the widest. Most queries have
     few at the widest, so that is counted first, and only queries in dense regions are counted again in narrower windows.
+    This is all that signatures alone can say; it loses near-equal neighbours of dense regions, so `nearest` doesn't narrow by it.
     """
     found = []
-    if len(cls) > MOST_CELL:
-        by = np.argsort(sig[:, 0], kind="stable")
-        half = MOST_CELL // 2
-        parts = [by[s : s + MOST_CELL] for s in range(0, max(1, len(by) - half), half)]
-    else:
-        parts = [np.arange(len(cls))]
     need = round(SHARE * sig.shape[1])
-    for part in parts:
+    for part in cell_parts(sig):
         c, s = cls[part], sig[part]
         for start in range(0, len(c), 256):
             rows = np.arange(start, min(len(c), start + 256))
@@ -138,8 +195,8 @@ def cell_candidates(cls: np.ndarray, sig: np.ndarray, radii: list[float], enough
     return pairs[pairs[:, 0] != pairs[:, 1]]
 
 
-def candidate_pairs(units: DataFrame, size: int, least: float, k: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(candidate pairs of classes, membership (job_id, cls))."""
+def candidate_pairs(units: DataFrame, size: int, least: float, k: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(candidate pairs of classes (a, b), dense members (cls, cell, part), membership (job_id, cls))."""
     spark = units.sparkSession
     members = cut(units.select("job_id", "cls").distinct())
     n = members.select("cls").distinct().count()
@@ -166,15 +223,18 @@ def candidate_pairs(units: DataFrame, size: int, least: float, k: int, seed: int
 
     signed = units.select("cls", "vec").mapInArrow(sign, "cls long, sig binary, cells array<long>").groupBy("cls").agg(F.first("sig").alias("sig"), F.first("cells").alias("cells"))
     placed = signed.select("cls", "sig", F.explode(F.array_distinct("cells")).alias("cell")).repartition("cell").sortWithinPartitions("cell")
-    radii = [math.sqrt(2 - 2 * least) * 0.85**j for j in range(12, -1, -1)]  # ascending, to the distance of the least similarity
-    enough = 3 * k
+    radius = math.sqrt(2 - 2 * least)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(cls: list, sig: list) -> pa.RecordBatch | None:
+        def done(cell: int, cls: list, sig: list) -> Iterator[pa.RecordBatch]:
             if sum(map(len, cls)) < 2:
-                return None
-            p = cell_candidates(np.concatenate(cls), np.concatenate(sig), radii, enough)
-            return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"]) if len(p) else None
+                return
+            c, s = np.concatenate(cls), np.concatenate(sig)
+            for i, part in enumerate(cell_parts(s)):
+                p, dense = cell_hits(c[part], s[part], radius, ENOUGH * k)
+                n, none = len(dense), pa.nulls(len(p), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), none, none], names=["a", "b", "cell", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array(dense), pa.nulls(n, pa.int64()), pa.array(np.full(n, cell)), pa.array(np.full(n, i))], names=["a", "b", "cell", "part"])
 
         last, cls, sig = None, [], []
         for b in batches:
@@ -186,21 +246,53 @@ def candidate_pairs(units: DataFrame, size: int, least: float, k: int, seed: int
                 if i == j:
                     continue
                 if cell[i] != last:
-                    if (out := done(cls, sig)) is not None:
-                        yield out
+                    yield from done(last, cls, sig)
                     last, cls, sig = cell[i], [], []
                 cls.append(c[i:j])
                 sig.append(s[i:j])
-        if (out := done(cls, sig)) is not None:
-            yield out
+        yield from done(last, cls, sig)
+
+    out = cut(placed.mapInArrow(count, "a long, b long, cell long, part long").distinct())
+    return out.where("b is not null").select("a", "b"), out.where("b is null").select(F.col("a").alias("cls"), "cell", "part"), members
+
+
+def class_vectors(units: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cls, vec): one vector of each wanted class."""
+    return units.select("cls", "vec").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("vec").alias("vec"))
+
+
+def compared(dense: DataFrame, units: DataFrame, least: float, enough: int) -> DataFrame:
+    """(a, b, sim): the `enough` most similar of each dense member of a cell among the cell's others, as whole vectors."""
+    met = dense.join(class_vectors(units, dense.select("cls").distinct()), "cls").select("cell", "part", "cls", "vec")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(cls: list, vec: list) -> Iterator[pa.RecordBatch]:
+            if sum(map(len, cls)) > 1:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in exact_best(np.concatenate(cls), np.concatenate(vec), least, enough)], names=["a", "b", "sim"])
+
+        last, cls, vec = None, [], []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "part")], 1)
+            c = b.column("cls").to_numpy(zero_copy_only=False)
+            v = np.frombuffer(b"".join(b.column("vec").to_pylist()), np.float32).reshape(b.num_rows, -1)
+            cuts = np.r_[0, np.flatnonzero((np.diff(key, axis=0) != 0).any(1)) + 1, len(key)]
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                if tuple(key[i]) != last:
+                    yield from done(cls, vec)
+                    last, cls, vec = tuple(key[i]), [], []
+                cls.append(c[i:j])
+                vec.append(v[i:j])
+        yield from done(cls, vec)
 
-    return cut(placed.mapInArrow(count, "a long, b long").distinct()), members
+    return met.repartition("cell", "part").sortWithinPartitions("cell", "part").mapInArrow(run, "a long, b long, sim double")
 
 
 def verified(pairs: DataFrame, units: DataFrame) -> DataFrame:
     """(a, b, sim): the whole vectors of candidate classes, one a class, meet by two equi joins."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    vectors = units.select("cls", "vec").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("vec").alias("vec"))
+    vectors = class_vectors(units, wanted)
     j = pairs.join(vectors.select(F.col("cls").alias("a"), F.col("vec").alias("va")), "a").join(vectors.select(F.col("cls").alias("b"), F.col("vec").alias("vb")), "b")
 
     def dot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,8 +327,11 @@ def smallest_ids(members: DataFrame, k: int) -> DataFrame:
 def nearest(rows: DataFrame, size: int, k: int = 5, least: float = 0.8, seed: int = 11) -> DataFrame:
     """(job_id, neighbour, sim, rank): each posting's k most similar others of at least `least`."""
     units = unit_rows(rows, size)
-    pairs, members = candidate_pairs(units, size, least, k, seed)
-    sims = cut(verified(pairs, units).where(F.col("sim") >= least))
+    pairs, dense, members = candidate_pairs(units, size, least, k, seed)
+    sims = verified(pairs, units).where(F.col("sim") >= least)
+    if not dense.isEmpty():
+        sims = sims.unionByName(compared(dense, units, least, ENOUGH * k)).groupBy("a", "b").agg(F.max("sim").alias("sim"))
+    sims = cut(sims)
     both = sims.select(F.col("a").alias("cls"), F.col("b").alias("other"), "sim").unionAll(sims.select(F.col("b").alias("cls"), F.col("a").alias("other"), "sim"))
     ids = cut(smallest_ids(members, k))
     # k classes in order of similarity hold the k nearest; classes that tie with the last are needed for the order of ids

@@ -145,6 +145,30 @@ def test_dense_regions_get_narrow_windows():
     assert of.min() >= 15 and len(pairs) < 150 * 1200  # every query has enough, and not all 719,400 pairs are candidates
 
 
+def near_each_other(r, n, cosine=0.9, size=384):
+    base = r.standard_normal(size)
+    x = base / np.linalg.norm(base) + math.sqrt(1 / cosine - 1) * r.standard_normal((n, size)) / math.sqrt(size)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def five_best(x, least=0.8):
+    s = x @ x.T
+    np.fill_diagonal(s, -1)
+    best = np.argpartition(-s, 5, axis=1)[:, :5]
+    return {(min(i, j), max(i, j)) for i in range(len(x)) for j in best[i].tolist() if s[i, j] >= least}
+
+
+@pytest.mark.parametrize("n", [100, 400, 3000])
+def test_dense_groups_keep_the_five_best(spark, n):
+    r = np.random.default_rng(n)
+    x = np.concatenate([near_each_other(r, n), near_each_other(r, 40), r.standard_normal((300, 384)) / 20]).astype(np.float32)
+    df = spark.createDataFrame([(f"j{i:05d}", v.tolist()) for i, v in enumerate(x)], "job_id string, embedding array<float>")
+    got = {(int(a[1:]), int(b[1:])) for a, b in neighbours.similar_pairs(df).collect()}
+    x = x.astype(float)
+    want = five_best(x / np.linalg.norm(x, axis=1, keepdims=True))
+    assert len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.95 * len(got)
+
+
 # 5 co-occurrence
 
 

@@ -10,8 +10,8 @@ A single projection's window holds a fixed share of a collection, so on its own
 cells: each vector goes to the cells of its nearest pivots in `TABLES` independent tables. Pivots are vectors drawn by hash, at most
 `MOST_PIVOTS` a table (the bounded sample that the index is fitted on); every vector is indexed. Of pivots nearer than `APART` one is kept: a region where
 all are near each other isn't split, as its neighbours would be dealt to different cells. A cell
-beyond `MOST_CELL` members is sorted by one projection and searched in overlapping windows of that sorted array, whose members all
-take part. Exact copies (equal direction) are one class: classes are combined before any exchange and never expanded to all pairs.
+beyond `MOST_CELL` members is dealt by hash to blocks of about that size, and each two blocks meet in a task of their own, so all its
+members are counted against each other; its work grows with the square of its members. Exact copies (equal direction) are one class: classes are combined before any exchange and never expanded to all pairs.
 
 Only signatures (PROJECTIONS bytes) are exchanged by cell; whole vectors travel only for classes that are candidates or dense members.
 
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrymill.session import cut
+from quarrymill.session import broadcast_if_small, cut
 
 PROJECTIONS, TABLES, PROBES = 128, 3, 2
 MOST_PIVOTS, PER_CELL, MOST_CELL = 8192, 100, 3000
@@ -108,60 +108,95 @@ class Pivots:
         return np.where(np.isfinite(score), best, best[:, :1])
 
 
-def collisions(sig: np.ndarray, queries: np.ndarray, radius: float) -> np.ndarray:
-    """Collisions of each query (a row number) with each row: windows of +-radius centred on the query."""
+def collisions_of(asked: np.ndarray, sig: np.ndarray, radius: float) -> np.ndarray:
+    """Collisions of each row of `asked` with each row of `sig`: windows of +-radius centred on the query."""
     r = round(radius * SCALE)
-    s16 = sig[queries].astype(np.int16)
-    out = np.empty((len(queries), len(sig)), np.int16)
-    for k in range(len(queries)):
+    s16 = asked.astype(np.int16)
+    out = np.empty((len(asked), len(sig)), np.int16)
+    for k in range(len(asked)):
         lo, hi = np.clip(s16[k] - r, -128, 127).astype(np.int8), np.clip(s16[k] + r, -128, 127).astype(np.int8)
         out[k] = ((sig >= lo) & (sig <= hi)).sum(1, dtype=np.int16)
     return out
 
 
-def cell_parts(sig: np.ndarray) -> list[np.ndarray]:
-    """Row numbers that are compared with each other."""
-    if len(sig) <= MOST_CELL:
-        return [np.arange(len(sig))]
-    by = np.argsort(sig[:, 0], kind="stable")
-    half = MOST_CELL // 2
-    return [by[s : s + MOST_CELL] for s in range(0, max(1, len(by) - half), half)]
+def collisions(sig: np.ndarray, queries: np.ndarray, radius: float) -> np.ndarray:
+    """Collisions of each query (a row number) with each row."""
+    return collisions_of(sig[queries], sig, radius)
 
 
-def cell_hits(cls: np.ndarray, sig: np.ndarray, radius: float, enough: int) -> tuple[np.ndarray, np.ndarray]:
-    """(pairs (a, b), a < b, that collide often enough and of which one end has at most `enough` hits; classes with more hits).
+def cell_hits(cls: np.ndarray, sig: np.ndarray, side: np.ndarray, radius: float, enough: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs (a, b), a < b, that collide often enough and of which one end has at most `enough` hits; row numbers with more hits).
 
-    A pair that collides and isn't among the pairs has both ends in the second array.
+    A pair that collides and isn't among the pairs has both ends in the second array. Rows of two sides are counted against the other side only.
     """
-    hit = np.empty((len(cls), len(cls)), bool)
-    for start in range(0, len(cls), 256):
-        rows = np.arange(start, min(len(cls), start + 256))
-        hit[rows] = collisions(sig, rows, radius) >= round(SHARE * sig.shape[1])
-    np.fill_diagonal(hit, False)
-    few = (hit.sum(1) <= enough) & (hit.sum(0) <= enough)
-    hit[~few] &= few
+    need = round(SHARE * sig.shape[1])
+    x = np.flatnonzero(side == side[0])
+    y = np.flatnonzero(side != side[0]) if (side != side[0]).any() else x
+    hit = np.empty((len(x), len(y)), bool)
+    for start in range(0, len(x), 256):
+        rows = x[start : start + 256]
+        hit[start : start + 256] = collisions_of(sig[rows], sig[y], radius) >= need
+    if x is y:
+        np.fill_diagonal(hit, False)
+    few_x, few_y = hit.sum(1) <= enough, hit.sum(0) <= enough
+    few_x, few_y = (few_x & few_y, few_x & few_y) if x is y else (few_x, few_y)
+    hit &= few_x[:, None] | few_y
     r, o = np.nonzero(hit)
-    pairs = np.unique(np.stack([np.minimum(cls[r], cls[o]), np.maximum(cls[r], cls[o])], 1), axis=0)
-    return pairs, cls[~few]
+    a, b = cls[x[r]], cls[y[o]]
+    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0), np.union1d(x[~few_x], y[~few_y])
 
 
-def exact_best(cls: np.ndarray, vec: np.ndarray, least: float, enough: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, sim), a < b: the `enough` most similar others of each row by exact cosine, of at least `least`; those that tie with the last are kept."""
-    x = vec.astype(np.float64)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+def exact_best(cls: np.ndarray, vec: np.ndarray, side: np.ndarray, least: float, enough: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, sim), a < b: the `enough` most similar others of each row by exact cosine, of at least `least`; those that tie with the last are kept.
+
+    Rows of two sides are compared with the other side only.
+    """
+    v = vec.astype(np.float64)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    first, second = np.flatnonzero(side == side[0]), np.flatnonzero(side != side[0])
     found = []
-    for start in range(0, len(cls), 256):
-        rows = np.arange(start, min(len(cls), start + 256))
-        sim = x[rows] @ x.T
-        sim[np.arange(len(rows)), rows] = -np.inf
-        last = np.full(len(rows), -np.inf) if len(cls) <= enough else np.partition(sim, -enough, axis=1)[:, -enough]
-        r, o = np.nonzero(sim >= np.maximum(last - 1e-12, least)[:, None])
-        found.append((cls[rows[r]], cls[o], sim[r, o]))
+    for x, y in [(first, second), (second, first)] if len(second) else [(first, first)]:
+        for start in range(0, len(x), 256):
+            rows = x[start : start + 256]
+            sim = v[rows] @ v[y].T
+            sim[rows[:, None] == y] = -np.inf
+            last = np.full(len(rows), -np.inf) if len(y) <= enough else np.partition(sim, -enough, axis=1)[:, -enough]
+            r, o = np.nonzero(sim >= np.maximum(last - 1e-12, least)[:, None])
+            found.append((cls[rows[r]], cls[y[o]], sim[r, o]))
     a, b, sim = (np.concatenate(f) for f in zip(*found))
     pairs, at = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0, return_index=True)
     return pairs[:, 0], pairs[:, 1], sim[at]
 
 
+def in_groups(batches: Iterator[pa.RecordBatch], key: list[str], data: str, kind: type) -> Iterator[tuple[tuple, np.ndarray, np.ndarray, np.ndarray]]:
+    """(key, cls, data, side) of each run of equal keys; the rows are sorted by key."""
+    last, held = None, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in key], 1)
+        c, side = (b.column(n).to_numpy(zero_copy_only=False) for n in ("cls", "side"))
+        v = np.frombuffer(b"".join(b.column(data).to_pylist()), kind).reshape(b.num_rows, -1)
+        cuts = np.r_[0, np.flatnonzero((np.diff(keys, axis=0) != 0).any(1)) + 1, len(keys)]
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            if tuple(keys[i]) != last:
+                if held:
+                    yield last, *(np.concatenate(h) for h in zip(*held))
+                last, held = tuple(keys[i]), []
+            held.append((c[i:j], v[i:j], side[i:j]))
+    if held:
+        yield last, *(np.concatenate(h) for h in zip(*held))
+
+
+def in_blocks(placed: DataFrame) -> DataFrame:
+    """Adds x <= y, a pair of blocks of the row's cell, and side, the row's own block. A cell of up to MOST_CELL rows is one block."""
+    large = cut(placed.groupBy("cell").count().where(F.col("count") > MOST_CELL).select("cell", F.ceil(F.col("count") / MOST_CELL).alias("blocks")))
+    blocks = F.coalesce("blocks", F.lit(1))
+    dealt = placed.join(broadcast_if_small(large), "cell", "left").withColumn("side", F.pmod(F.xxhash64("cls", "cell"), blocks))
+    met = dealt.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    return met.select("cls", "sig", "cell", F.least("side", "o").alias("x"), F.greatest("side", "o").alias("y"), "side")
+
+
 def cell_candidates(cls: np.ndarray, sig: np.ndarray, radii: list[float], enough: int) -> np.ndarray:
     """Pairs (a, b), a < b, of the cell's classes that collide often enough.
 
@@ -171,24 +206,22 @@ def cell_candidates(cls: np.ndarray, sig: np.ndarray, radii: list[float], enough
     """
     found = []
     need = round(SHARE * sig.shape[1])
-    for part in cell_parts(sig):
-        c, s = cls[part], sig[part]
-        for start in range(0, len(c), 256):
-            rows = np.arange(start, min(len(c), start + 256))
-            hit = collisions(s, rows, radii[-1]) >= need
-            hit[np.arange(len(rows)), rows] = False
-            dense = np.flatnonzero(hit.sum(1) > enough)
-            for radius in reversed(radii[:-1]):
-                if not len(dense):
-                    break
-                narrow = collisions(s, rows[dense], radius) >= need
-                narrow[np.arange(len(dense)), rows[dense]] = False
-                keeps = narrow.sum(1) >= enough
-                hit[dense[keeps]] = narrow[keeps]
-                dense = dense[keeps]
-            r, o = np.nonzero(hit)
-            if len(r):
-                found.append(np.stack([np.minimum(c[rows[r]], c[o]), np.maximum(c[rows[r]], c[o])], 1))
+    for start in range(0, len(cls), 256):
+        rows = np.arange(start, min(len(cls), start + 256))
+        hit = collisions(sig, rows, radii[-1]) >= need
+        hit[np.arange(len(rows)), rows] = False
+        dense = np.flatnonzero(hit.sum(1) > enough)
+        for radius in reversed(radii[:-1]):
+            if not len(dense):
+                break
+            narrow = collisions(sig, rows[dense], radius) >= need
+            narrow[np.arange(len(dense)), rows[dense]] = False
+            keeps = narrow.sum(1) >= enough
+            hit[dense[keeps]] = narrow[keeps]
+            dense = dense[keeps]
+        r, o = np.nonzero(hit)
+        if len(r):
+            found.append(np.stack([np.minimum(cls[rows[r]], cls[o]), np.maximum(cls[rows[r]], cls[o])], 1))
     if not found:
         return np.zeros((0, 2), np.int64)
     pairs = np.unique(np.concatenate(found), axis=0)
@@ -196,7 +229,7 @@ def cell_candidates(cls: np.ndarray, sig: np.ndarray, radii: list[float], enough
 
 
 def candidate_pairs(units: DataFrame, size: int, least: float, k: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(candidate pairs of classes (a, b), dense members (cls, cell, part), membership (job_id, cls))."""
+    """(candidate pairs of classes (a, b), dense members (cls, cell, x, y, side), membership (job_id, cls))."""
     spark = units.sparkSession
     members = cut(units.select("job_id", "cls").distinct())
     n = members.select("cls").distinct().count()
@@ -221,39 +254,20 @@ def candidate_pairs(units: DataFrame, size: int, least: float, k: int, seed: int
                 cells = np.concatenate([t.cells(v) + k * MOST_PIVOTS * 4 for k, t in enumerate(tables)], 1)
                 yield pa.RecordBatch.from_arrays([part.column("cls"), pa.array([r.tobytes() for r in sig], pa.binary()), pa.array(list(cells), pa.list_(pa.int64()))], names=["cls", "sig", "cells"])
 
-    signed = units.select("cls", "vec").mapInArrow(sign, "cls long, sig binary, cells array<long>").groupBy("cls").agg(F.first("sig").alias("sig"), F.first("cells").alias("cells"))
-    placed = signed.select("cls", "sig", F.explode(F.array_distinct("cells")).alias("cell")).repartition("cell").sortWithinPartitions("cell")
+    signed = cut(units.select("cls", "vec").mapInArrow(sign, "cls long, sig binary, cells array<long>").groupBy("cls").agg(F.first("sig").alias("sig"), F.first("cells").alias("cells")))
+    key = ["cell", "x", "y"]
+    placed = in_blocks(signed.select("cls", "sig", F.explode(F.array_distinct("cells")).alias("cell"))).repartition(*key).sortWithinPartitions(*key)
     radius = math.sqrt(2 - 2 * least)
+    names = ["a", "b", *key, "side"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(cell: int, cls: list, sig: list) -> Iterator[pa.RecordBatch]:
-            if sum(map(len, cls)) < 2:
-                return
-            c, s = np.concatenate(cls), np.concatenate(sig)
-            for i, part in enumerate(cell_parts(s)):
-                p, dense = cell_hits(c[part], s[part], radius, ENOUGH * k)
-                n, none = len(dense), pa.nulls(len(p), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), none, none], names=["a", "b", "cell", "part"])
-                yield pa.RecordBatch.from_arrays([pa.array(dense), pa.nulls(n, pa.int64()), pa.array(np.full(n, cell)), pa.array(np.full(n, i))], names=["a", "b", "cell", "part"])
-
-        last, cls, sig = None, [], []
-        for b in batches:
-            cell = b.column("cell").to_numpy(zero_copy_only=False)
-            c = b.column("cls").to_numpy(zero_copy_only=False)
-            s = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.int8).reshape(-1, PROJECTIONS)
-            cuts = np.r_[0, np.flatnonzero(np.diff(cell)) + 1, len(cell)]
-            for i, j in zip(cuts[:-1], cuts[1:]):
-                if i == j:
-                    continue
-                if cell[i] != last:
-                    yield from done(last, cls, sig)
-                    last, cls, sig = cell[i], [], []
-                cls.append(c[i:j])
-                sig.append(s[i:j])
-        yield from done(last, cls, sig)
-
-    out = cut(placed.mapInArrow(count, "a long, b long, cell long, part long").distinct())
-    return out.where("b is not null").select("a", "b"), out.where("b is null").select(F.col("a").alias("cls"), "cell", "part"), members
+        for group, cls, sig, side in in_groups(batches, key, "sig", np.int8):
+            p, dense = cell_hits(cls, sig, side, radius, ENOUGH * k)
+            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), *[pa.nulls(len(p), pa.int64())] * 4], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(cls[dense]), pa.nulls(len(dense), pa.int64()), *[pa.array(np.full(len(dense), g)) for g in group], pa.array(side[dense])], names=names)
+
+    out = cut(placed.mapInArrow(count, "a long, b long, cell long, x long, y long, side long").distinct())
+    return out.where("b is not null").select("a", "b"), out.where("b is null").select(F.col("a").alias("cls"), *key, "side"), members
 
 
 def class_vectors(units: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -263,30 +277,14 @@ def class_vectors(units: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def compared(dense: DataFrame, units: DataFrame, least: float, enough: int) -> DataFrame:
     """(a, b, sim): the `enough` most similar of each dense member of a cell among the cell's others, as whole vectors."""
-    met = dense.join(class_vectors(units, dense.select("cls").distinct()), "cls").select("cell", "part", "cls", "vec")
+    key = ["cell", "x", "y"]
+    met = dense.join(class_vectors(units, dense.select("cls").distinct()), "cls").select("cls", *key, "side", "vec")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(cls: list, vec: list) -> Iterator[pa.RecordBatch]:
-            if sum(map(len, cls)) > 1:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in exact_best(np.concatenate(cls), np.concatenate(vec), least, enough)], names=["a", "b", "sim"])
+        for _, cls, vec, side in in_groups(batches, key, "vec", np.float32):
+            yield pa.RecordBatch.from_arrays([pa.array(f) for f in exact_best(cls, vec, side, least, enough)], names=["a", "b", "sim"])
 
-        last, cls, vec = None, [], []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            key = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "part")], 1)
-            c = b.column("cls").to_numpy(zero_copy_only=False)
-            v = np.frombuffer(b"".join(b.column("vec").to_pylist()), np.float32).reshape(b.num_rows, -1)
-            cuts = np.r_[0, np.flatnonzero((np.diff(key, axis=0) != 0).any(1)) + 1, len(key)]
-            for i, j in zip(cuts[:-1], cuts[1:]):
-                if tuple(key[i]) != last:
-                    yield from done(cls, vec)
-                    last, cls, vec = tuple(key[i]), [], []
-                cls.append(c[i:j])
-                vec.append(v[i:j])
-        yield from done(cls, vec)
-
-    return met.repartition("cell", "part").sortWithinPartitions("cell", "part").mapInArrow(run, "a long, b long, sim double")
+    return met.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long, sim double")
 
 
 def verified(pairs: DataFrame, units: DataFrame) -> DataFrame:

@@ -169,6 +169,22 @@ def test_dense_groups_keep_the_five_best(spark, n):
     assert len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.95 * len(got)
 
 
+@pytest.mark.parametrize("cosine", [0.82, 0.9])
+def test_all_blocks_of_a_large_cell_meet(spark, monkeypatch, cosine):
+    monkeypatch.setattr(neighbours, "PER_CELL", 10**6)  # one pivot, one cell, three blocks
+    monkeypatch.setattr(neighbours, "TABLES", 1)
+    r = np.random.default_rng(5)
+    base = r.standard_normal(384)
+    base *= math.sqrt(0.58 / (base @ base))
+    own = r.standard_normal((1500, 384)) * math.sqrt((cosine - 0.58) / 384)
+    x = (base + np.repeat(own, 6, 0) + r.standard_normal((9000, 384)) * math.sqrt((1 - cosine) / 384)).astype(np.float32)
+    df = spark.createDataFrame([(f"j{i:05d}", v.tolist()) for i, v in enumerate(x)], "job_id string, embedding array<float>")
+    got = {(int(a[1:]), int(b[1:])) for a, b in neighbours.similar_pairs(df).collect()}
+    x = x.astype(float)
+    want = five_best(x / np.linalg.norm(x, axis=1, keepdims=True))
+    assert len(want) > 10_000 and len(got & want) >= 0.98 * len(want) and got <= want
+
+
 # 5 co-occurrence
 
 

@@ -211,7 +211,7 @@ def salary_gate(spark: SparkSession, d: str) -> DataFrame:
 
     w = Warehouse(spark, d)
     rows = w.wide_postings.where("has_salary").select("job_id", F.col("role_name").alias("role"), F.col("seniority_effective").alias("seniority"), F.col("loc_state").alias("state"), F.col("is_remote").alias("remote"), "skills", F.col("salary_mid_annual").alias("salary"), F.col("employer_name").alias("employer"))
-    return salary.use_model(salary.cross_validated(rows, trees=10))
+    return salary.use_model(salary.cross_validated(rows))
 
 
 def weekly_stream(spark: SparkSession, d: str) -> DataFrame:

@@ -250,6 +250,27 @@ def test_topics_on_planted_groups(spark):
     assert all((x["topic_id"] == -1) == (x["topic_probability"] == 0) and 0 <= x["topic_probability"] <= 1 for x in t.values())
 
 
+def test_number_of_trees_is_chosen_by_held_out_employers(spark, monkeypatch):
+    import random
+
+    from quarrymill.plans import q_text
+
+    r = random.Random(4)
+    names = [f"s{i}" for i in range(12)]
+    data = []
+    for i in range(1500):
+        sk = [s for s in names if r.random() < 0.5]
+        data.append((str(i), "de", "mid", "TX", None, sk, 80_000 * 1.1 ** len(sk) * r.uniform(0.97, 1.03), f"e{i % 60}"))
+    rows = spark.createDataFrame(data, "job_id string, role string, seniority string, state string, remote boolean, skills array<string>, salary double, employer string")
+    spec = salary.fit_spec(rows)
+    assert salary.fit(rows, spec).getNumTrees > 20  # a single tree that brings little isn't the end
+    ceilings = []
+    monkeypatch.setattr(salary, "cross_validated", lambda rows, trees=2000: ceilings.append(trees))
+    monkeypatch.setattr(salary, "use_model", lambda cv: cv)
+    q_text.QUERIES["gbt_salary_gate"](spark, "/root/testdata/sf0.001")
+    assert ceilings == [2000]
+
+
 def test_salary_model_recovers_planted_effects(spark):
     import random
 

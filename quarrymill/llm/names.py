@@ -3,7 +3,7 @@
 Distinct spellings are reduced to forms: case, accents, legal forms, offices, bracketed remarks and usual short words are evened out.
 Forms become vectors of character n-grams weighted by TF-IDF over all forms. A distributed sparse cosine join finds, for each form,
 all forms of at least `NEAR` (no cap): weights of shared grams are multiplied and summed, partly before the exchange, which gives the
-exact cosine. An exact comparison of the parts of both names scores each candidate, and average linkage
+exact cosine. Own words within the allowed edits that share no gram meet by deletion neighbourhoods. An exact comparison of the parts of both names scores each candidate, and average linkage
 groups the forms: in each round all pairs of clusters that are each other's nearest merge at once, which for average linkage gives
 the same groups as merging one pair at a time. Pairs that were no candidates count as 0.
 
@@ -31,6 +31,8 @@ from quarrymill.session import broadcast_if_small, cut
 NEAR, LINK = 0.05, 0.34
 #: Characters of a gram: shorter ones are shared by names that have nothing else in common.
 GRAM = 4
+#: Words beyond this length keep a common gram of 4 after three edits, each of which touches five at most.
+LONGEST_KEYED = 18
 
 #: Entries that name nobody.
 NOBODY = frozenset(
@@ -248,8 +250,42 @@ def vectors(forms: DataFrame) -> DataFrame:
     return w.join(norm, "form").select("form", "gram", (F.col("idf") / F.col("norm")).alias("w"))
 
 
+def deletions(word: str) -> set[str]:
+    """The word with up to its allowed edits of characters left out; words within that many edits have one in common."""
+    out = last = {word}
+    for _ in range(allowed(len(word))):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out = out | last
+    return out
+
+
+def near_words(forms: DataFrame) -> DataFrame:
+    """(a, b), a < b: forms with own words within the allowed edits of each other that share no gram, so that the cosine join may miss them."""
+
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"form": b["form"], "word": [sorted(set(form_parts(f)[0])) for f in b["form"]]})
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"word": b["word"], "key": [sorted(deletions(w)) for w in b["word"]]})
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [(x, y) for x, y in zip(b["x"], b["y"]) if edits(x, y, m := allowed(min(len(x), len(y)))) <= m and not set(grams_of([x])) & set(grams_of([y]))]
+            yield pd.DataFrame(out, columns=["x", "y"])
+
+    words = cut(forms.mapInPandas(own, "form string, word array<string>").select("form", F.explode("word").alias("word")))
+    short = words.where(F.length("word").between(4, LONGEST_KEYED)).select("word").distinct()
+    keys = cut(short.mapInPandas(keyed, "word string, key array<string>").select("word", F.explode("key").alias("key")))
+    met = keys.alias("k").join(keys.alias("l"), "key").where("k.word < l.word").select(F.col("k.word").alias("x"), F.col("l.word").alias("y")).distinct()
+    pairs = cut(met.mapInPandas(near, "x string, y string"))
+    both = pairs.join(words.select(F.col("word").alias("x"), F.col("form").alias("f")), "x").join(words.select(F.col("word").alias("y"), F.col("form").alias("g")), "y")
+    return both.where("f <> g").select(F.least("f", "g").alias("a"), F.greatest("f", "g").alias("b")).distinct()
+
+
 def scored_pairs(forms: DataFrame, near: float = NEAR) -> DataFrame:
-    """(a, b, sim), a < b: the forms of cosine `near` and more, with the score of the exact comparison."""
+    """(a, b, sim), a < b: the forms of cosine `near` and more or with near words, with the score of the exact comparison."""
     v = cut(vectors(forms))
     met = v.alias("x").join(v.alias("y"), "gram").where("x.form < y.form").groupBy(F.col("x.form").alias("a"), F.col("y.form").alias("b")).agg(F.sum(F.col("x.w") * F.col("y.w")).alias("cosine")).where(F.col("cosine") >= near)
 
@@ -260,7 +296,8 @@ def scored_pairs(forms: DataFrame, near: float = NEAR) -> DataFrame:
 
     # few bytes but much work a row: a fixed number of partitions isn't joined into one
     parts_ = int(forms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return met.select("a", "b").repartition(parts_).mapInPandas(run, "a string, b string, sim double")
+    candidates = met.select("a", "b").unionByName(near_words(forms)).distinct()
+    return candidates.repartition(parts_).mapInPandas(run, "a string, b string, sim double")
 
 
 def average_linkage(edges: DataFrame, least: float = LINK) -> DataFrame:

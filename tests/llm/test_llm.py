@@ -87,6 +87,12 @@ def test_average_linkage_equals_one_merge_at_a_time(spark):
     assert {frozenset(v) for v in got.values() if len(v) > 1} == {v for v in label.values() if len(v) > 1}
 
 
+def test_single_words_two_edits_apart_without_a_common_gram_meet(spark, rows):
+    data = ["Fopfumleb Credit Union", "Foofulmeb Credit Union", "Lonlebgov Hospital", "Lonelbogv Hospital", "Sartikdon Hospital"]
+    want = [("Foofulmeb Credit Union", "Fopfumleb Credit Union"), ("Lonelbogv Hospital", "Lonlebgov Hospital")]
+    assert rows(names.same_pairs(spark.createDataFrame([(n,) for n in data], "employer string"))) == want
+
+
 # 3 neighbours
 
 

@@ -248,7 +248,9 @@ def mapped(jobs: DataFrame, reference: DataFrame) -> DataFrame:
     """(job_id, ref_kind, ref_key) of the typed titles and states of all postings."""
     kept = jobs.where(F.col("job_id").isNotNull()).groupBy("job_id").agg(F.max(F.struct(F.col("_loaded_at").alias("at"), F.col("title"), F.col("state"))).alias("m")).select("job_id", "m.title", "m.state")
     kept = cut(kept)
-    places = [r[0] for r in reference.where("ref_kind = 'state' and ref_key is not null").select("ref_key").limit(1000).collect()]
+    places = sorted(r[0] for r in reference.where("ref_kind = 'state' and ref_key is not null").select("ref_key").distinct().limit(MOST_ENTRIES + 1).collect())
+    if len(places) > MOST_ENTRIES:
+        raise ValueError(f"the reference list has more than {MOST_ENTRIES} states")
     titles = map_values(kept.select("job_id", F.col("title").alias("value")), reference, "title", title_core(F.col("value"), places), TITLE_SYNONYMS, False, TITLE_NOISE)
     states = map_values(kept.select("job_id", F.col("state").alias("value")), reference, "state", state_core(F.col("value")), STATE_SYNONYMS, True, STATE_NOISE)
     return titles.unionByName(states)

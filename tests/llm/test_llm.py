@@ -253,6 +253,13 @@ def test_canonical_repeats_and_empty(spark, rows):
     assert rows(canonical.mapped(jobs, ref.limit(0))) == [("a", "title", "UNMATCHED")]
 
 
+def test_titles_lose_places_of_long_state_lists(spark, rows):
+    codes = [f"Q{a}{b}{c}" for a in "ABCDEFGHIJKLM" for b in "ABCDEFGHIJ" for c in "ABCDEFGHIJ"]
+    ref = spark.createDataFrame([("title", "T1", "Data Engineer")] + [("state", c, f"Land of {c}") for c in codes], "ref_kind string, ref_key string, ref_label string").coalesce(1)
+    jobs = spark.createDataFrame([("j", "Data Engineer, Foo QMJJ", None, T0)], "job_id string, title string, state string, _loaded_at timestamp")
+    assert rows(canonical.mapped(jobs, ref)) == [("j", "title", "T1")]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("abc", max_size=7), st.text("abc", max_size=7))
 def test_string_alignment_distance(a, b):

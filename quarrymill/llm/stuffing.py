@@ -1,79 +1,92 @@
 """Keyword-stuffed and link-list pages (problem 10).
 
-Each page's words become a suffix automaton; the words covered by maximal substrings that occur `TIMES` times or more are repeated
-phrases, measured in characters and words. Clause structure is looked for in what lies between separators: runs of words without
-function words are bare keywords; links and tags count as they stand. A page is stuffed if repeated phrases outside of clauses or
-at high coverage, bare keywords, tags and links together make up more than half of its words.
-
-The automaton takes time and space in proportion to the words, and pages are independent: one pass, no exchange.
-
-Defined cases. Null, empty and blank texts aren't stuffed. A link with its markup is one word. Repeated rows each get their result.
-Whole texts are read, however long. Columns besides id and text don't matter.
+Each page's words, links and tags become symbols of a suffix automaton; the maximal substrings that occur `TIMES` times or more are repeated
+phrases, and the characters under them are the page's coverage. A compound ("sql-jobs-near-me") has a symbol for each of its parts, all
+numbers are one symbol, all links and tags are another. Coverage also decides where clauses are: a clause is a stretch between
+separators, line breaks and sentence ends of `CLAUSE` words of which no more than half of the characters are covered. A page is stuffed
+if more than half of its words lie outside of clauses and coverage there is at least `COVER`. No list of words and no language is involved: a list of
+different bullet points or skills lacks coverage, and repeated phrases are no clauses even if punctuated.
+
+The automaton takes time and space in proportion to the symbols that belong to a pair that occurs `TIMES` times; others can't lie under a
+repeated phrase and are left out beforehand, which changes no result. Pages are independent: one pass, no exchange.
+
+Defined cases. Null, empty and blank texts, and texts without a letter, digit or link, aren't stuffed. A link with its markup is one word. Repeated rows each get
+their result. Whole texts are read, however long. Columns besides id and text don't matter.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-#: Occurrences and words that make a substring a repeated phrase.
+#: Occurrences and symbols that make a substring a repeated phrase.
 TIMES, PHRASE = 3, 2
-#: Words to each side in which a clause shows a function word.
-NEAR = 5
-#: Function words of English, Spanish and German that clauses can hardly do without.
-FUNCTION_WORDS = frozenset(
-    """a an the this that these those of to in for with by on at from into about than as if and or but because since while when whenever
-    so until after before during through between over under within without is are was were be been being am has have had do does did
-    will would can could should may might must not no nor you your we our us i my he she his her they their them it its who whom whose
-    which what why how where there each every all some any
-    el la los las un una unos unas de del al en por para con sin sobre entre que se su sus lo le les y o pero no es son fue ser como más
-    muy mi nos nuestro nuestra hay cada este esta esto quien cuando donde desde hasta porque si
-    der die das den dem des ein eine einen einem einer und oder aber nicht ist sind war waren wird werden wir ihr ihre sie er es ich mein
-    im in am an auf aus bei mit nach von vor zu zum zur für über durch ohne als wie dass wenn weil jemand niemand per wer sich hat haben
-    um danach dem kein keine""".split()
-)
-#: Prepositions; search phrases have them too ("jobs in Boston"), so outside of a punctuated sentence they show no clause.
-PREPOSITIONS = frozenset("of to in for with by on at from into about de del al en por para con sin sobre entre desde hasta im am an auf aus bei mit nach von vor zu zum zur für über durch ohne um per".split())
+#: Fewest and most words of a clause; longer stretches without any break are enumerations.
+CLAUSE = (5, 60)
+#: Least share of the characters outside of clauses that repeated phrases cover.
+COVER = 0.25
+#: Characters that a link or tag counts for.
+LINK_SIZE = 8
+#: What a token may be besides a word: a link or tag, the end of a sentence.
+LINK, END = 2, 1
 _LINK = re.compile(r"<a\s[^<>]*>[^<]*</a\s*>|\[[^\[\]\n]*\]\(\s*[^()\s]*\s*\)|(?:https?://|www\.)[^\s<>|»]+", re.I)
-_TOKEN = re.compile(r"\x02|\n+|[|·•»;/]|(?<=\s)[-–—](?=\s)|[^\s|·•»;\x02]+")
-_SEPARATORS = frozenset("|·•»;/-–—")
+_TOKEN = re.compile(r"\x02|\n+|[|·•»;]|(?<=\s)[-–—](?=\s)|[^\s|·•»;\x02]+")
+_SEPARATORS = frozenset("|·•»;-–—")
 _WRAP = re.compile(r"(?<=[^\s.!?:\x02])(?:<br\s*/?>)?[ \t]*\n[ \t>]*(?=[a-z])")  # a line that goes on in the next
 _END = re.compile(r"[.!?:]+[\"')\]]*$")
-_CORE = re.compile(r"\w[\w+#.'’&-]*", re.U)
-_TAG = re.compile(r"^#\w")
+_PART = re.compile(r"\d[\d.,]*|[^\W\d_]+")
 
 
 class Automaton:
-    """Suffix automaton over a sequence of ints, with the number of occurrences of each state's substrings."""
+    """Suffix automaton over a sequence of ints, with the number of occurrences of each state's substrings.
+
+    Transitions are one dictionary for all states, and edges are chained in arrays, so that a long page takes no dictionary a word.
+    """
 
     def __init__(self, seq: list[int]):
-        nxt, link, length, count = [{}], [-1], [0], [0]
-        last, self.ends = 0, []
+        link, length, count = array("q", [-1]), array("q", [0]), array("q", [0])
+        to: dict[tuple[int, int], int] = {}
+        first, after, symbol = array("q", [-1]), array("q"), array("q")  # edges of a state: a chain of symbols
+
+        def edge(state: int, c: int, target: int) -> None:
+            to[state, c] = target
+            symbol.append(c)
+            after.append(first[state])
+            first[state] = len(symbol) - 1
+
+        last, self.ends = 0, array("q")
         for c in seq:
-            cur = len(nxt)
-            nxt.append({})
+            cur = len(link)
             link.append(0)
             length.append(length[last] + 1)
             count.append(1)
+            first.append(-1)
             p = last
-            while p != -1 and c not in nxt[p]:
-                nxt[p][c] = cur
+            while p != -1 and (p, c) not in to:
+                edge(p, c, cur)
                 p = link[p]
             if p != -1:
-                q = nxt[p][c]
+                q = to[p, c]
                 if length[p] + 1 == length[q]:
                     link[cur] = q
                 else:
-                    clone = len(nxt)
-                    nxt.append(nxt[q].copy())
+                    clone = len(link)
                     link.append(link[q])
                     length.append(length[p] + 1)
                     count.append(0)
-                    while p != -1 and nxt[p].get(c) == q:
-                        nxt[p][c] = clone
+                    first.append(-1)
+                    e = first[q]
+                    while e != -1:
+                        edge(clone, symbol[e], to[q, symbol[e]])
+                        e = after[e]
+                    while p != -1 and to.get((p, c)) == q:
+                        to[p, c] = clone
                         p = link[p]
                     link[q] = link[cur] = clone
             last = cur
@@ -87,7 +100,7 @@ class Automaton:
 
     def repeated(self, times: int, least: int) -> list[bool]:
         """For each position, whether a substring of `least` or more symbols with `times` or more occurrences covers it."""
-        reach = [0] * len(self.length)  # longest suffix of the state's strings that occurs often enough
+        reach = array("q", bytes(8 * len(self.length)))  # longest suffix of the state's strings that occurs often enough
         for v in self.order:
             reach[v] = self.length[v] if self.count[v] >= times else reach[self.link[v]]
         covered, until = [False] * len(self.ends), len(self.ends)
@@ -102,72 +115,112 @@ class Automaton:
         return covered
 
 
-def measures(text: str | None) -> tuple[int, int, int, int, int, float]:
-    """(words, links and tags, bare keywords, repeated words, stuffed words, share of characters under repeated substrings)."""
+def coverage(seq: list[int], times: int = TIMES, least: int = PHRASE) -> np.ndarray:
+    """For each symbol, whether a substring of `least` (two or more) symbols with `times` occurrences covers it.
+
+    A repeated phrase consists of pairs that occur as often; all that isn't in such a pair becomes a break before the automaton is built.
+    """
+    covered = np.zeros(len(seq), bool)
+    pairs = list(zip(seq, seq[1:]))
+    often = {p for p, n in Counter(pairs).items() if n >= times}
+    if not often:
+        return covered
+    at, lean, broken = [], [], -1
+    kept = [p in often for p in pairs]
+    for i, c in enumerate(seq):
+        before, behind = i > 0 and kept[i - 1], i < len(kept) and kept[i]
+        if before or behind:
+            if not before and lean:
+                lean.append(broken)
+                at.append(-1)
+                broken -= 1
+            lean.append(c)
+            at.append(i)
+    hit = [i for i, c in zip(at, Automaton(lean).repeated(times, least)) if c and i >= 0]
+    covered[hit] = True
+    return covered
+
+
+class Symbols:
+    """Token -> (numbers of its symbols, their characters, LINK or END or 0), remembered from page to page within a worker."""
+
+    MOST = 500_000
+
+    def __init__(self):
+        self.ids, self.known = {}, {}
+
+    def fresh(self) -> dict:
+        """What is known at the start of a page; numbers hold for the whole page. Forgetting starts over, so a worker's memory is bounded."""
+        if len(self.known) > self.MOST:
+            self.ids, self.known = {}, {}
+        return self.known
+
+    def add(self, token: str) -> tuple[tuple[int, ...], tuple[int, ...], int]:
+        if token == "\x02" or (token[0] == "#" and len(token) > 1 and (token[1].isalnum() or token[1] == "_")):
+            got = ((self.ids.setdefault("\x02", len(self.ids)),), (LINK_SIZE,), LINK)
+        else:
+            parts = ["0" if p[0].isdigit() else p for p in _PART.findall(token.lower())]
+            got = (tuple(self.ids.setdefault(p, len(self.ids)) for p in parts), tuple(map(len, parts)), END if _END.search(token) else 0)
+        self.known[token] = got
+        return got
+
+
+_SYMBOLS = Symbols()
+
+
+def measures(text: str | None) -> tuple[int, int, int, int, float, float]:
+    """(words, links and tags, words outside of clauses, covered words, coverage of all characters, coverage outside of clauses)."""
+    nothing = (0, 0, 0, 0, 0.0, 0.0)
     if not text or not text.strip():
-        return 0, 0, 0, 0, 0, 0.0
-    words: list[str] = []  # normal form; "" for a link or tag
-    segment: list[int] = []
-    s, link_or_tag, sentences = 0, 0, set()  # sentences: the segments that end in punctuation
+        return nothing
+    known, add = _SYMBOLS.fresh(), _SYMBOLS.add
+    symbols: list[int] = []
+    size, starts, breaks = [], [], []  # of each symbol; first symbols of words; first symbols of segments
+    links = 0
     for t in _TOKEN.findall(_WRAP.sub(" ", _LINK.sub(" \x02 ", text))):
-        if t == "\x02" or _TAG.match(t):
-            link_or_tag += 1
-            s += 1
-            words.append("")
-            segment.append(s)
-            s += 1
-        elif t in _SEPARATORS or t[0] == "\n":
-            s += 1
-        else:
-            m = _CORE.search(t)
-            if m:
-                words.append(m.group().rstrip(".").lower())
-                segment.append(s)
-            if _END.search(t):
-                if not t.endswith(":"):
-                    sentences.add(s)
-                s += 1
-    n = len(words)
+        if t in _SEPARATORS or t[0] == "\n":
+            breaks.append(len(symbols))
+            continue
+        own, chars, end = known.get(t) or add(t)
+        if own:
+            starts.append(len(symbols))
+            if end == LINK:
+                links += 1
+                breaks.append(len(symbols))
+            symbols += own
+            size += chars
+        if end:
+            breaks.append(len(symbols))
+    n = len(symbols)
     if not n:
-        return 0, 0, 0, 0, 0, 0.0
-    clause = [False] * n
-    start = 0
-    for i in range(1, n + 1):
-        if i == n or segment[i] != segment[start]:
-            inside = [j for j in range(start, i) if words[j] in FUNCTION_WORDS and (segment[start] in sentences or words[j] not in PREPOSITIONS)]
-            if inside and (i - start) <= 2 * NEAR + 2:
-                clause[start:i] = [True] * (i - start)
-            else:
-                for j in inside:
-                    for k in range(max(start, j - NEAR), min(i, j + NEAR + 1)):
-                        clause[k] = True
-            start = i
-    ids: dict[str, int] = {}
-    covered = Automaton([ids.setdefault(w, len(ids)) for w in words]).repeated(TIMES, PHRASE)
-    chars = [len(w) or 8 for w in words]
-    bare = sum(1 for w, c in zip(words, clause) if w and not c)
-    again = sum(1 for w, c in zip(words, covered) if w and c)
-    share = sum(k for k, c in zip(chars, covered) if c) / sum(chars)
-    heavy = share > 0.5  # then also the clauses that come again and again are stuffing
-    stuffed = sum(1 for w, cl, co in zip(words, clause, covered) if not w or not cl or (co and heavy))
-    return n, link_or_tag, bare, again, stuffed, share
+        return nothing
+    covered, chars = coverage(symbols), np.array(size)
+    first, new = np.zeros(n, bool), np.zeros(n + 1, bool)
+    first[starts] = True
+    new[breaks] = True
+    segment = np.cumsum(new[:n])
+    words, whole, under = np.bincount(segment, first), np.bincount(segment, chars), np.bincount(segment, chars * covered)
+    clause = (words >= CLAUSE[0]) & (words <= CLAUSE[1]) & (2 * under <= whole)
+    out = ~clause[segment]
+    outside = chars[out].sum()
+    return len(starts), links, int((first & out).sum()), int((first & covered).sum()), float(chars[covered].sum() / chars.sum()), float(chars[covered & out].sum() / max(1, outside))
 
 
 def page_measures(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_links, n_bare, n_repeated, n_stuffed, repeated_share) of every row with an id."""
+    """(doc_id, n_words, n_links, n_outside, n_covered, coverage, outside_coverage) of every row with an id."""
     kind = docs.schema[id_].dataType.simpleString()
+    columns = ["n_words", "n_links", "n_outside", "n_covered", "coverage", "outside_coverage"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            m = [measures(t) for t in b["t"]]
-            out = pd.DataFrame(m, columns=["n_words", "n_links", "n_bare", "n_repeated", "n_stuffed", "repeated_share"])
+            out = pd.DataFrame([measures(t) for t in b["t"]], columns=columns)
             out.insert(0, "doc_id", b["i"].values)
             yield out
 
     rows = docs.where(docs[id_].isNotNull()).select(docs[id_].alias("i"), docs[text].alias("t"))
-    return rows.mapInPandas(run, f"doc_id {kind}, n_words long, n_links long, n_bare long, n_repeated long, n_stuffed long, repeated_share double")
+    return rows.mapInPandas(run, f"doc_id {kind}, n_words long, n_links long, n_outside long, n_covered long, coverage double, outside_coverage double")
 
 
 def stuffed(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id) of the stuffed pages, each once."""
-    return page_measures(docs, id_, text).where("2 * n_stuffed > n_words").select("doc_id").distinct()
+    return page_measures(docs, id_, text).where(f"2 * n_outside > n_words and outside_coverage >= {COVER}").select("doc_id").distinct()

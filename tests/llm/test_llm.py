@@ -397,8 +397,24 @@ PROSE = "The panel liked that the analyst reviewed the plan and wrote down why.
     ("Looking for cheap jobs in Boston? We list cheap jobs in Boston. Find cheap jobs in Boston now. " * 8 + PROSE, True), (PROSE * 2 + "data engineer jobs\n" * 3, False), (PROSE + "See https://a.example/guide", False), (PROSE * 4000, True),
 ])
 def test_stuffed_pages(text, stuffed):
-    n, *_, k, _ = stuffing.measures(text)
-    assert (2 * k > n) == stuffed
+    n, _, outside, _, _, coverage = stuffing.measures(text)
+    assert (2 * outside > n and coverage >= stuffing.COVER) == stuffed
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=40), st.integers(2, 4), st.integers(2, 3))
+def test_breaking_at_rare_pairs_changes_no_coverage(seq, times, least):
+    assert list(stuffing.coverage(seq, times, least)) == stuffing.Automaton(seq).repeated(times, least)
+
+
+def test_pages_need_coverage_and_no_list_of_words():
+    assert stuffing.measures("Palka, Mibro, Serune, Toxil, Vanqo, Wepra, Zidon, Quvel, Karbo, Limne")[5] == 0.0  # different words only
+    polish = "Zespół szuka osoby, która pisze jasno i dba o szczegóły. Biuro w tym mieście otwiera późno w piątki. "
+    n, _, outside, *_ = stuffing.measures(polish * 2)
+    assert 2 * outside < n
+    assert stuffing.measures("praca zdalna dla programisty | " * 30)[5] == 1.0
+    long = "tani kurs jazdy | praca w sklepie | " * 40_000
+    assert stuffing.measures(long)[2] == 240_000
 
 
 def test_stuffed_over_rows(spark, rows):

@@ -1,21 +1,28 @@
 """What changed between full deliveries of a table (problem 6).
 
-A delivery is kept as an index from key to a 64-bit hash of the normalised content, hash-partitioned ("bucketed") by key. A new
-delivery is probed against the index of the one before; only keys whose hash differs have their old values fetched. Then the new
-index takes the place of the old one. `changes_between_deliveries` runs that probe for all consecutive deliveries at once: the
-index of all deliveries is exchanged by key a single time and each entry meets its neighbour within its bucket.
+`SnapshotIndex` keeps the last delivery as a table from key to a 64-bit hash of the normalised content, bucketed by key. A new
+delivery is written as the next generation, bucketed alike, and probed against the one in force without an exchange of either; only for
+keys whose hash differs are old values fetched. Then the new generation takes the place of the old one. `changes_by_index` feeds a table that
+holds many deliveries through the index, one after another: the table is read once and split by delivery, so the cost of a delivery doesn't
+grow with the number of those before it.
+
+Defined cases. Rows without key or time take no part. Rows of a key within a delivery: the latest holds; of equal times, the greatest hash.
+Fewer than two deliveries, or an empty table: no rows. Null differs from every value; blank equals null; case and outer or repeated spaces don't count.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import os
+import json
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarrymill.session import cut, shared_dir
+
 
 def squeezed(c: Column) -> Column:
     """Lower case, outer spaces off, inner spaces single; blank becomes null."""
@@ -39,41 +46,33 @@ def utc_date(c: Column) -> Column:
     return F.to_date(F.to_utc_timestamp(c, F.current_timezone()))
 
 
-def delivery_index(df: DataFrame, key: str, at: str, columns: list[str], keep: list[str] = ()) -> DataFrame:
-    """One row (delivery, key, hash, ...keep) for each key of each delivery; the delivery is the UTC date of `at`.
+def hashed(df: DataFrame, key: str, at: str, columns: list[str], keep: list[str] = ()) -> DataFrame:
+    """(delivery, key, at, hash, ...keep) of the rows that can be followed; the delivery is the UTC date of `at`."""
+    rows = df.where(F.col(key).isNotNull() & F.col(at).isNotNull())
+    return rows.select(utc_date(F.col(at)).alias("delivery"), F.col(key).alias("key"), F.col(at).alias("at"), content_hash(df, columns).alias("hash"), *[F.col(c).alias(f"v_{c}") for c in keep])
 
-    The row with the latest `at` holds; of rows with the same `at`, the one with the greatest hash (a fixed choice). Rows without
-    key or `at` can't be followed and take no part. Rows are combined before the exchange, so a key that holds a third of all
-    rows costs one row a task.
-    """
-    h = content_hash(df, columns)
-    best = F.max(F.struct(F.col(at).alias("at"), h.alias("hash"), *[F.col(c).alias(f"v_{c}") for c in keep])).alias("best")
-    got = df.where(F.col(key).isNotNull() & F.col(at).isNotNull()).groupBy(utc_date(F.col(at)).alias("delivery"), F.col(key).alias("key")).agg(best)
-    return got.select("delivery", "key", F.col("best.hash").alias("hash"), *[F.col(f"best.v_{c}").alias(c) for c in keep])
 
+def latest(rows: DataFrame) -> DataFrame:
+    """One row (key, hash, v_...) a key of a delivery's hashed rows.
 
-def delivery_dates(df: DataFrame, at: str) -> list[dt.date]:
-    """The deliveries in order. The list is bounded by the calendar, not by the rows."""
-    return sorted(r[0] for r in df.where(F.col(at).isNotNull()).select(utc_date(F.col(at)).alias("d")).distinct().collect())
+    Rows are combined before the exchange, so a key that holds a third of all rows costs one row a task.
+    """
+    kept = ["at", "hash", *[c for c in rows.columns if c.startswith("v_")]]
+    return rows.groupBy("key").agg(F.max(F.struct(*kept)).alias("best")).select("key", *[f"best.{c}" for c in kept[1:]])
 
 
-def changes_between_deliveries(index: DataFrame, dates: list[dt.date]) -> DataFrame:
-    """(snapshot_date, dedup_key, change_kind) of all consecutive deliveries in `dates`. No rows for fewer than two deliveries."""
-    days = F.array(*[F.lit(d) for d in dates]) if dates else F.array().cast("array<date>")
-    w = Window.partitionBy("key").orderBy("i")
-    e = index.select("key", "hash", F.array_position(days, F.col("delivery")).cast("int").alias("i")).select(
-        "key", "i", "hash", F.lag("i").over(w).alias("pi"), F.lag("hash").over(w).alias("ph"), F.lead("i").over(w).alias("ni")
-    )
-    was, last = F.col("pi") == F.col("i") - 1, len(dates)
-    arrived = F.when((F.col("i") > 1) & ~F.coalesce(was, F.lit(False)), F.struct(F.col("i").alias("at"), F.lit("added").alias("kind")))
-    changed = F.when(was & (F.col("hash") != F.col("ph")), F.struct(F.col("i").alias("at"), F.lit("changed").alias("kind")))
-    left = F.when((F.col("i") < last) & F.coalesce(F.col("ni") != F.col("i") + 1, F.lit(True)), F.struct((F.col("i") + 1).alias("at"), F.lit("removed").alias("kind")))
-    out = e.select("key", F.explode(F.array_compact(F.array(arrived, changed, left))).alias("c"))
-    return out.select(F.date_format(F.get(days, F.col("c.at") - 1), "yyyy-MM-dd").alias("snapshot_date"), F.col("key").alias("dedup_key"), F.col("c.kind").alias("change_kind"))
+def split_deliveries(rows: DataFrame, path: str) -> tuple[DataFrame, list[dt.date]]:
+    """Writes hashed rows by delivery, without an exchange, and gives the written table and its deliveries in order.
+
+    The list is bounded by the calendar, not by the rows.
+    """
+    rows.write.partitionBy("delivery").parquet(path)
+    written = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    return written, sorted(r[0] for r in written.select("delivery").distinct().collect())
 
 
 def probe(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(key, change_kind) of two indexes (key, hash): a full outer join on the key they are both partitioned by."""
+    """(key, change_kind) of two indexes (key, hash): a full outer join on the key they are both bucketed by."""
     o, n = old.select("key", F.col("hash").alias("oh"), F.lit(True).alias("o")), new.select("key", F.col("hash").alias("nh"), F.lit(True).alias("n"))
     j = o.join(n, "key", "full_outer")
     kind = F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").when(F.col("oh") != F.col("nh"), "changed")
@@ -88,41 +87,130 @@ def fetch_values(changes: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 class SnapshotIndex:
     """The index of the last delivery, kept under `path`, bucketed by key, and swapped when a new delivery was probed.
 
-    Each generation is written whole under a name of its own; the pointer file CURRENT is replaced last, so a run that dies
-    leaves the former index in force.
+    A swap writes a pointer of the next number under a name of its own and renames it, which is one step; the pointer with the greatest number is in force,
+    so a run that dies at any point leaves the former index or the new one, never none. The pointer names the generation in force and
+    the one before: a delivery that is run again after its swap is probed against the generation before. Older generations are deleted.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path, buckets
+    POINTER = "CURRENT-"
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def _path(self, name: str = ""):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
 
     def _fs(self):
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm
+        return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _pointers(self) -> list[str]:
+        fs = self._fs()
+        if not fs.exists(self._path()):
+            return []
+        return sorted(n for n in (f.getPath().getName() for f in fs.listStatus(self._path())) if n.startswith(self.POINTER))
+
+    def in_force(self) -> dict | None:
+        """What the newest pointer says: number, label, generation, before, buckets, schema."""
+        got = self._pointers()
+        return json.loads(self.spark.read.text(f"{self.path}/{got[-1]}", wholetext=True).first()[0]) if got else None
+
+    def generation(self, name: str, about: dict) -> DataFrame:
+        """A generation as a bucketed table; one that another session wrote is made known to this one."""
+        if not self.spark.catalog.tableExists(name):
+            at = f"{self.path}/{name}".replace("'", "\\'")
+            self.spark.sql(f"CREATE TABLE `{name}` ({about['schema']}) USING parquet OPTIONS (path '{at}') CLUSTERED BY (key) SORTED BY (key) INTO {about['buckets']} BUCKETS")
+        return self.spark.table(name)
 
     def current(self) -> DataFrame | None:
-        fs, jvm = self._fs()
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")
-        if not fs.exists(p):
-            return None
-        name = self.spark.read.text(f"{self.path}/CURRENT").first()[0]
-        return self.spark.read.parquet(f"{self.path}/{name}")
-
-    def advance(self, delivery: DataFrame) -> DataFrame:
-        """Probe `delivery` (key, hash) against the index in force, then swap. Returns (key, change_kind); the first has none."""
-        fs, jvm = self._fs()
-        name = f"gen-{uuid.uuid4().hex}"
+        """(key, hash) of the delivery in force."""
+        now = self.in_force()
+        return self.generation(now["generation"], now) if now else None
+
+    def advance(self, delivery: DataFrame, label: str | None = None) -> DataFrame:
+        """Probe `delivery` (key, hash; keys unique) against the index in force, then swap. Returns (key, change_kind); the first has none."""
+        now = self.in_force()
+        if now and label is not None and now["label"] == label:
+            return self._changes(now["before"], now["generation"], now)
+        name = f"generation_{uuid.uuid4().hex}"
         new = delivery.select("key", "hash")
-        new.repartition(self.buckets, "key").sortWithinPartitions("key").write.parquet(f"{self.path}/{name}")
-        new, old = self.spark.read.parquet(f"{self.path}/{name}"), self.current()
-        out = probe(old, new) if old is not None else new.select("key", F.lit(None).cast("string").alias("change_kind")).where(F.lit(False))
-        from quarrymill.session import cut
+        new.write.bucketBy(self.buckets, "key").sortBy("key").option("path", f"{self.path}/{name}").format("parquet").saveAsTable(name)
+        about = {"number": now["number"] + 1 if now else 1, "label": label, "generation": name, "before": now["generation"] if now else None, "buckets": self.buckets, "schema": ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in new.schema.fields)}
+        out = self._changes(about["before"], name, about)
+        self._swap(about)
+        return out
 
-        out = cut(out)
-        tmp, to = (jvm.org.apache.hadoop.fs.Path(os.path.join(self.path, x)) for x in (f".CURRENT-{name}", "CURRENT"))
+    def _changes(self, old: str | None, new: str, about: dict) -> DataFrame:
+        fresh = self.generation(new, about)
+        if old is None:
+            return fresh.select("key", F.lit(None).cast("string").alias("change_kind")).where(F.lit(False))
+        return cut(probe(self.generation(old, about), fresh))
+
+    def _swap(self, about: dict) -> None:
+        fs, pointer = self._fs(), f"{self.POINTER}{about['number']:012d}"
+        tmp = self._path(f"new-{uuid.uuid4().hex}")
         s = fs.create(tmp, True)
-        s.write(bytearray(name.encode()))
+        s.write(bytearray(json.dumps(about).encode()))
         s.close()
-        fs.delete(to, False)
-        fs.rename(tmp, to)
-        return out
+        if not fs.rename(tmp, self._path(pointer)):
+            raise OSError(f"{pointer} can't be put in force")
+        self._clean(about)
+
+    def _clean(self, about: dict) -> None:
+        """Deletes what is neither in force nor the generation before it, also the leavings of runs that died."""
+        fs, kept = self._fs(), {about["generation"], about["before"], f"{self.POINTER}{about['number']:012d}"}
+        for f in fs.listStatus(self._path()):
+            name = f.getPath().getName()
+            if name not in kept:
+                fs.delete(f.getPath(), True)
+                if name.startswith("generation_"):
+                    self.spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+
+    def drop(self) -> None:
+        """Deletes the index and all that belongs to it."""
+        now = self.in_force()
+        for name in (now["generation"], now["before"]) if now else ():
+            if name:
+                self.spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+        self._fs().delete(self._path(), True)
+
+
+def _advanced(df: DataFrame, key: str, at: str, columns: list[str], keep: list[str] = ()) -> Iterator[tuple[dt.date, DataFrame, DataFrame | None, DataFrame]]:
+    """(delivery, its changes, latest rows of the delivery before, latest rows of the delivery), delivery by delivery; the store is deleted at the end."""
+    root = f"{shared_dir(df.sparkSession)}/snapshots-{uuid.uuid4().hex}"
+    index = SnapshotIndex(df.sparkSession, f"{root}/index")
+    split, days = split_deliveries(hashed(df, key, at, columns, keep), f"{root}/deliveries")
+    before = None
+    for day in days:
+        rows = latest(split.where(F.col("delivery") == F.lit(day)))
+        yield day, index.advance(rows, str(day)), before, rows
+        before = rows
+    index.drop()
+    index._fs().delete(df.sparkSession._jvm.org.apache.hadoop.fs.Path(root), True)
+
+
+def changes_by_index(df: DataFrame, key: str, at: str, columns: list[str]) -> DataFrame:
+    """(snapshot_date, dedup_key, change_kind) of all consecutive deliveries. No rows for fewer than two deliveries."""
+    out = df.sparkSession.createDataFrame([], T.StructType([T.StructField("snapshot_date", T.StringType()), T.StructField("dedup_key", df.schema[key].dataType), T.StructField("change_kind", T.StringType())]))
+    for day, changes, before, _ in _advanced(df, key, at, columns):
+        if before is not None:
+            out = out.unionAll(changes.select(F.lit(str(day)), "key", "change_kind"))
+    return out
+
+
+def as_text(c: Column, kind: T.DataType) -> Column:
+    return c.cast("decimal(28,2)").cast("string") if isinstance(kind, (T.DoubleType, T.FloatType)) else c.cast("string")
+
+
+def changed_values(df: DataFrame, key: str, at: str, columns: list[str]) -> DataFrame:
+    """(snapshot_date, dedup_key, column_name, old_value, new_value): what changed in the changed keys. Values are fetched for those only."""
+    out = df.sparkSession.createDataFrame([], T.StructType([T.StructField("snapshot_date", T.StringType()), T.StructField("dedup_key", df.schema[key].dataType), *[T.StructField(c, T.StringType()) for c in ("column_name", "old_value", "new_value")]]))
+    kinds = {c: df.schema[c].dataType for c in columns}
+    for day, changes, before, rows in _advanced(df, key, at, columns, columns):
+        if before is None:
+            continue
+        changed = changes.where("change_kind = 'changed'")
+        old, new = (fetch_values(changed, r, "key").select("key", *[(squeezed(F.col(f"v_{c}")) if isinstance(k, T.StringType) else F.col(f"v_{c}")).alias(f"{side}_{c}") for c, k in kinds.items()]) for side, r in (("o", before), ("n", rows)))
+        each = [F.when(~F.col(f"o_{c}").eqNullSafe(F.col(f"n_{c}")), F.struct(F.lit(c).alias("column_name"), as_text(F.col(f"o_{c}"), k).alias("old_value"), as_text(F.col(f"n_{c}"), k).alias("new_value"))) for c, k in kinds.items()]
+        met = cut(old.join(new, "key").select("key", F.explode(F.array_compact(F.array(*each))).alias("c")))
+        out = out.unionAll(met.select(F.lit(str(day)), "key", "c.column_name", "c.old_value", "c.new_value"))
+    return out

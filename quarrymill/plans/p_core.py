@@ -21,8 +21,12 @@ def p4_annual_pay(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    df = table(spark, d, "posting_snapshots")
-    return S.changes_between_deliveries(S.delivery_index(df, "dedup_key", "fetched_at", CHANGE_COLUMNS), S.delivery_dates(df, "fetched_at"))
+    return S.changes_by_index(table(spark, d, "posting_snapshots"), "dedup_key", "fetched_at", CHANGE_COLUMNS)
+
+
+def p6_changed_values(spark: SparkSession, d: str) -> DataFrame:
+    """Which columns changed, from what to what."""
+    return S.changed_values(table(spark, d, "posting_snapshots"), "dedup_key", "fetched_at", CHANGE_COLUMNS)
 
 
 def p6_change_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -51,8 +55,22 @@ FROM a FULL OUTER JOIN b ON a.d = b.d AND a.k = b.k
 WHERE a.k IS NULL OR b.k IS NULL OR a.v <> b.v)
 """
 
-QUERIES = {"p4_found": p4_found, "p4_annual_pay": p4_annual_pay, "p6_found": p6_found, "p6_change_counts": p6_change_counts}
+_NORMAL = {"publisher": True, "employment_type": True, "is_remote": False, "salary_min_raw": False, "salary_max_raw": False, "salary_period_raw": True, "apply_link": True}
+_P6_VALUES = f"""
+WITH s AS (
+  SELECT CAST(fetched_at AT TIME ZONE 'UTC' AS DATE) AS d, dedup_key AS k, fetched_at,
+    {", ".join((_SQUEEZE.format(c=c) if text else c if c == "is_remote" else f"CAST({c} AS DECIMAL(28,2))") + f" AS {c}" for c, text in _NORMAL.items())}
+  FROM posting_snapshots WHERE dedup_key IS NOT NULL AND fetched_at IS NOT NULL
+), one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY d, k ORDER BY fetched_at DESC) AS r FROM s) WHERE r = 1),
+dates AS (SELECT d, lag(d) OVER (ORDER BY d) AS p FROM (SELECT DISTINCT d FROM one)),
+j AS (SELECT dates.d, n.k, {", ".join(f"o.{c} AS o_{c}, n.{c} AS n_{c}" for c in _NORMAL)}
+  FROM dates JOIN one n ON n.d = dates.d JOIN one o ON o.d = dates.p AND o.k = n.k)
+{" UNION ALL ".join(f"SELECT strftime(d, '%Y-%m-%d') AS snapshot_date, k AS dedup_key, '{c}' AS column_name, CAST(o_{c} AS VARCHAR) AS old_value, CAST(n_{c} AS VARCHAR) AS new_value FROM j WHERE o_{c} IS DISTINCT FROM n_{c}" for c in _NORMAL)}
+"""
+
+QUERIES = {"p4_found": p4_found, "p4_annual_pay": p4_annual_pay, "p6_found": p6_found, "p6_change_counts": p6_change_counts, "p6_changed_values": p6_changed_values}
 ORACLES = {
     "p6_found": _P6 + "SELECT * FROM found",
     "p6_change_counts": _P6 + "SELECT snapshot_date, change_kind, count(*) AS n_keys FROM found GROUP BY 1, 2",
+    "p6_changed_values": _P6_VALUES,
 }

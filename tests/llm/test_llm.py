@@ -130,25 +130,32 @@ def test_neighbours_copies_bad_vectors_and_repeats(spark, rows):
     assert rows(neighbours.similar_pairs(df.limit(0), size=4)) == [] and rows(neighbours.similar_pairs(df.where("job_id = 'o'"), size=4)) == []
 
 
-def test_large_cells_are_searched_in_windows(monkeypatch):
-    monkeypatch.setattr(neighbours, "MOST_CELL", 40)
-    r = np.random.default_rng(1)
-    base = r.integers(-120, 120, (60, 128))
-    sig = np.clip(np.concatenate([base, base + r.integers(-3, 4, base.shape)]), -127, 127).astype(np.int8)
-    got = {tuple(p) for p in neighbours.cell_candidates(np.arange(120), sig, [0.3, 0.63], 15)}
-    assert len({(i, i + 60) for i in range(60)} & got) >= 57
-
-
-def test_dense_regions_get_narrow_windows():
-    r = np.random.default_rng(0)
+def test_sorted_arrays_count_what_windows_hold():
+    r = np.random.default_rng(3)
+    p, width = r.standard_normal((50, 6)), 0.4
+    arrays = neighbours.SortedArrays(p, 1.0)
+    first, last = arrays.windows(p[:7], width)
+    counts = np.zeros((7, 50), np.int16)
+    arrays.count(counts, first, last - first)
+    want = (np.abs(p[:7, None, :] - p[None]) <= width).sum(2)
+    assert (counts == want).all()
+    lo, hi = arrays.windows(p[:7], 0.9)  # widening counts only what is new
+    arrays.count(counts, lo, first - lo)
+    arrays.count(counts, last, hi - last)
+    assert (counts == (np.abs(p[:7, None, :] - p[None]) <= 0.9).sum(2)).all()
+
+
+@pytest.mark.parametrize("noise", [1e-4, 0.3])
+def test_members_that_bytes_cannot_tell_apart_are_compared_exactly(spark, noise):
+    r = np.random.default_rng(8)
     base = r.standard_normal(384)
-    x = base / np.linalg.norm(base) + 0.33 * r.standard_normal((1200, 384)) / math.sqrt(384)
+    x = (base + noise * r.standard_normal((300, 384))).astype(np.float32)
+    df = spark.createDataFrame([(f"j{i:05d}", v.tolist()) for i, v in enumerate(x)], "job_id string, embedding array<float>")
+    got = {(int(a[1:]), int(b[1:])) for a, b in neighbours.similar_pairs(df).collect()}
+    x = x.astype(float)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    sig = np.clip(np.rint(x @ r.standard_normal((384, 128)) * neighbours.SCALE), -127, 127).astype(np.int8)
-    radii = [math.sqrt(0.4) * 0.85**j for j in range(12, -1, -1)]
-    pairs = neighbours.cell_candidates(np.arange(1200), sig, radii, 15)
-    of = np.bincount(pairs.ravel(), minlength=1200)
-    assert of.min() >= 15 and len(pairs) < 150 * 1200  # every query has enough, and not all 719,400 pairs are candidates
+    want = five_best(x)
+    assert len(got & want) >= 0.99 * len(want) and len(got) <= 1.02 * len(want)
 
 
 def near_each_other(r, n, cosine=0.9, size=384):

@@ -1,13 +1,15 @@
 """Variant spellings of names typed by people (problem 2).
 
-Distinct spellings are reduced to forms: case, accents, legal forms, offices, bracketed remarks and usual short words are evened out.
-Forms become vectors of character n-grams weighted by TF-IDF over all forms. A distributed sparse cosine join finds, for each form,
-all forms of at least `NEAR` (no cap): weights of shared grams are multiplied and summed, partly before the exchange, which gives the
-exact cosine. Own words within the allowed edits that share no gram meet by deletion neighbourhoods. An exact comparison of the parts of both names scores each candidate, and average linkage
-groups the forms: in each round all pairs of clusters that are each other's nearest merge at once, which for average linkage gives
-the same groups as merging one pair at a time. Pairs that were no candidates count as 0.
+Distinct spellings are reduced to forms: case, accents, legal forms, bracketed remarks and usual short forms of given names are evened out.
+Forms become unit vectors of character n-grams weighted by TF-IDF over all forms, so what many names share, such as words of trade, counts for little
+without a list of such words. A distributed sparse cosine join gives all pairs of at least `NEAR`: the products of
+weights of shared grams are summed, partly before the exchange. All partners above the threshold are kept; there is no top-n cut, which would lose variants of names with many.
+An exact check then drops pairs that contradict each other: each side has a word that is no misspelling, abbreviation, joined form or initial of any of the other's.
+Average linkage of the cosines groups the forms; pairs below `NEAR` or in contradiction count as 0. In each round
+all pairs of clusters that are each other's nearest merge at once, which for average linkage gives the same groups as merging one pair at a time.
 
-Rows are combined to distinct spellings before the first exchange, so an employer with a third of all rows is one row.
+Rows are combined to distinct spellings before the first exchange, so an employer with a third of all rows is one row. A gram of more than `BLOCK` forms is
+dealt to blocks, and each two blocks meet in a task of their own; the work of a gram is the square of its forms all the same.
 
 Defined cases. Null and blank names and names that name nobody (`NOBODY`) take no part. Equal spellings are one spelling; spellings that
 differ in case, space or punctuation are different and pair up. Names without a letter or digit form groups of equal form. Ties between merges: the
@@ -19,6 +21,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,12 +30,12 @@ from pyspark.sql import functions as F
 from quarrymill.operators.joins import lookup
 from quarrymill.session import broadcast_if_small, cut
 
-#: Least cosine of a candidate; least average score of a group.
-NEAR, LINK = 0.05, 0.34
-#: Characters of a gram: shorter ones are shared by names that have nothing else in common.
-GRAM = 4
-#: Words beyond this length keep a common gram of 4 after three edits, each of which touches five at most.
-LONGEST_KEYED = 18
+#: Least cosine of a candidate; least average cosine of a group.
+NEAR, LINK = 0.15, 0.2
+#: Characters of a gram; words are padded, so that first and last letters have grams of their own.
+GRAM = 3
+#: Forms of one gram that meet in one task.
+BLOCK = 4000
 
 #: Entries that name nobody.
 NOBODY = frozenset(
@@ -40,20 +43,8 @@ NOBODY = frozenset(
     |private|private advertiser|private company|private employer|anonymous|anonymous employer|not specified|not disclosed|not available|unspecified|unknown|unknown employer|unknown company|n a|na|none|null|nil|hidden
     |hidden employer|tba|tbd|company|employer|client|our client|various|various employers|name withheld|withheld|blind ad|no name|xxx|test""".replace("\n", "").replace("    ", "").split("|")
 )
-#: Legal forms and words beside a name.
-LEGAL = frozenset("inc incorporated llc ltd limited corp corporation co company plc llp lp gmbh ag sa bv nv pty pbc pc and of the at for careers career jobs hiring us usa hq headquarters uk de".split())
-#: Words of trade or kind that many names share, and their usual short forms.
-KINDS = {
-    "analytics": "analytics anlytcs analyt anlytics", "media": "media med mdia", "insurance": "insurance ins insur insce", "engineering": "engineering engrg engr eng engg",
-    "financial": "financial fin finl fincl finance", "services": "services svcs svc servs service serv", "laboratories": "laboratories labs lab laboratory", "technologies": "technologies tech technology techs technol",
-    "international": "international intl intnl internatl int", "university": "university univ uni u", "consulting": "consulting cons consult conslt consultants", "health": "health hlth healthcare",
-    "pharmaceuticals": "pharmaceuticals pharma pharm pharmaceutical", "solutions": "solutions sol solns soln sols solution", "energy": "energy enrgy engy", "manufacturing": "manufacturing mfg manuf manufg mfrs", "systems": "systems sys syst system",
-    "software": "software sw softw sftw", "logistics": "logistics log logis lgstcs logist", "robotics": "robotics robo robot rob robots", "data": "data dta", "group": "group grp", "holdings": "holdings hldgs",
-    "partners": "partners ptnrs", "associates": "associates assoc assocs", "industries": "industries ind inds", "management": "management mgmt mgt", "department": "department dept", "hospital": "hospital hosp", "valley": "valley vly",
-    "credit": "credit cr", "union": "union un", "port": "port", "authority": "authority auth", "county": "county cnty", "schools": "schools school schls", "foundation": "foundation fdn fndn found", "paper": "paper", "mills": "mills mill",
-    "college": "college coll", "institute": "institute inst", "bank": "bank bk", "center": "center centre ctr", "medical": "medical", "staffing": "staffing", "recruiting": "recruiting", "talent": "talent", "workforce": "workforce",
-    "placement": "placement", "bureau": "bureau", "communications": "communications comm comms", "construction": "construction constr", "transportation": "transportation transp trans", "electric": "electric elec", "national": "national natl", "american": "american amer",
-}
+#: Legal forms, and words that link names.
+LEGAL = frozenset("inc incorporated llc ltd limited corp corporation co company plc llp lp gmbh ag sa bv nv pty pbc pc and of the".split())
 #: Given names and their short forms.
 GIVEN = {
     "alexander": "alexander alex al sandy xander", "andrew": "andrew andy drew", "anthony": "anthony tony", "benjamin": "benjamin ben benny benji", "catherine": "catherine cathy", "charles": "charles charlie chuck", "christopher": "christopher chris", "daniel": "daniel dan danny",
@@ -62,7 +53,6 @@ GIVEN = {
     "margaret": "margaret maggie meg peggy marge madge", "matthew": "matthew matt", "michael": "michael mike mick mickey", "nicholas": "nicholas nick", "patricia": "patricia pat patty trish", "patrick": "patrick paddy", "rebecca": "rebecca becky", "richard": "richard dick rick rich richie",
     "robert": "robert bob rob bobby robbie", "ronald": "ronald ron", "samuel": "samuel sam", "stephen": "stephen steve", "susan": "susan sue susie", "theodore": "theodore ted teddy theo", "thomas": "thomas tom tommy", "timothy": "timothy tim", "victoria": "victoria vicky tori", "william": "william bill will billy liam",
 }
-_KIND = {s: k for k, all_ in KINDS.items() for s in all_.split()}
 _GIVEN = {s: k for k, all_ in GIVEN.items() for s in all_.split()}
 
 
@@ -71,59 +61,24 @@ def plain(name: str) -> str:
     return "".join(c for c in s if not unicodedata.combining(c))
 
 
-def parts(name: str) -> dict | None:
-    """core (own words), kinds, given (first name), initials; None if the name names nobody or is blank."""
+def form_of(name: str) -> str | None:
+    """The name's words in order of the alphabet, without what doesn't count; None if it names nobody or is blank."""
     s = plain(name).strip()
     bare = " ".join(re.findall(r"[a-z0-9]+", s.lower()))
     if bare in NOBODY or not bare:
         return None
-    s = re.sub(r"^(?:https?://)?(?:www\.)?([A-Za-z0-9-]{4,})\.(?:example|com|org|net|io|co|gov|edu|us)(?:/.*)?$", r"\1", s)
-    whole = s
+    s = re.sub(r"^(?:https?://)?(?:www\.)?([\w-]{4,})\.[a-z]{2,8}(?:/\S*)?$", r"\1", s, flags=re.I)  # a web address
     s = re.sub(r"\([^()]*\)|\[[^\[\]]*\]|\{[^{}]*\}", " ", s)
     s = re.sub(r"[/|,–—-]\s*[\w .']{0,60}\b(?:office|branch|campus|location|division|dept|department)\s*$", " ", s, flags=re.I)
     s = re.sub(r"(?<=[a-z])(?=[A-Z][a-z])", " ", s)
     s = re.sub(r"\b((?:[A-Za-z]\.){2,})", lambda m: m.group(1).replace(".", ""), s)
-    core, kinds, given, initials = [], set(), None, ""
-    words = re.findall(r"[^\W_]+", s)
-    own = 0
-    for w in words:
-        low = w.lower()
-        if low in LEGAL:
-            continue
-        if len(w) <= 4 and own and (w.isupper() and not s.isupper() or len(w) == 1 and low != "u"):
-            initials += low  # "Acme DI", "Acme D."
-        elif low in _KIND:
-            kinds.add(_KIND[low])
-        elif low in _GIVEN and given is None:
-            given = _GIVEN[low]
-        else:
-            core.append(low)
-            own += 1
-    if not core:  # only common words: they are the name
-        core = [w for w in re.findall(r"[a-z0-9]+", whole.lower()) if w not in LEGAL] or [bare]
-        return {"core": core, "kinds": [], "given": given, "initials": ""}
-    if any(len(w) < 3 for w in core) and any(len(w) >= 3 for w in core):
-        core = [w for w in core if len(w) >= 3]
-    return {"core": core, "kinds": sorted(kinds), "given": given, "initials": initials}
-
-
-def form_of(p: dict) -> str:
-    """Text of the parts; equal for spellings that differ only in what doesn't count."""
-    return "|".join([" ".join(sorted(p["core"])), " ".join(p["kinds"]), p["given"] or "", p["initials"]])
-
-
-def form_parts(form: str) -> tuple[list[str], set[str], str, str]:
-    core, kinds, given, initials = form.split("|")
-    return core.split(), set(kinds.split()), given, initials
-
-
-def grams_of(core: list[str]) -> list[str]:
-    """n-grams of the own words; words of kind are left to the exact comparison."""
-    out = set()
-    for w in core:
-        t = f" {w} " if len(w) < GRAM else w
-        out |= {t[i : i + GRAM] for i in range(max(1, len(t) - GRAM + 1))}
-    return sorted(out)
+    words = re.findall(r"[a-z0-9]+", s.lower())
+    own = [_GIVEN.get(w, w) for w in words if w not in LEGAL]
+    return " ".join(sorted(own or words)) or bare
+
+
+def grams_of(form: str) -> list[str]:
+    return sorted({t[i : i + GRAM] for w in form.split() for t in [f"^{w}$"] for i in range(len(t) - GRAM + 1)})
 
 
 def edits(a: str, b: str, most: int) -> int:
@@ -150,75 +105,68 @@ def allowed(length: int) -> int:
     return 0 if length < 4 else 1 if length < 6 else 2 if length < 10 else 3
 
 
-def words_match(a: list[str], b: list[str]) -> tuple[int, int]:
-    """(words of `a` that have a partner of their own in `b`, edits in all), closest first."""
-    options = sorted((d, i, j) for i, x in enumerate(a) for j, y in enumerate(b) if (d := edits(x, y, m := allowed(min(len(x), len(y))))) <= m)
-    used_a, used_b, total = set(), set(), 0
-    for d, i, j in options:
-        if i not in used_a and j not in used_b:
-            used_a.add(i)
-            used_b.add(j)
-            total += d
-    return len(used_a), total
-
-
-def initials_fit(initials: str, words: list[str], kinds: set[str]) -> bool:
-    """Whether the letters start the remaining words and then words of kind, as far as they go."""
-    if not initials:
+def fits(a: str, b: str) -> bool:
+    """Whether one word is the other misspelt (optimal string alignment) or abbreviated (first letter, then letters in order)."""
+    if len(a) > len(b):
+        a, b = b, a
+    most = allowed(len(a))
+    if edits(a, b, most) <= most:
         return True
-    heads = [w[0] for w in words]
-    rest = initials
-    for h in heads:
-        if rest.startswith(h):
-            rest = rest[1:]
-    kind_heads = [k[0] for k in kinds]
-    for c in rest:
-        if c not in kind_heads:
-            return False
-        kind_heads.remove(c)
-    return bool(not heads or initials[0] in heads)
-
-
-def score(x: str, y: str) -> float:
-    """How surely two forms name the same organisation, 0 to 1."""
-    a, ka, ga, ia = form_parts(x)
-    b, kb, gb, ib = form_parts(y)
-    if ga and gb and edits(ga, gb, 2) > 2:
-        return 0.0
-    if len(a) > len(b) or len(a) == len(b) and ia < ib:
-        (a, ka, ga, ia), (b, kb, gb, ib) = (b, kb, gb, ib), (a, ka, ga, ia)
-    alike = bool(ka & kb) or not ka or not kb  # words of kind agree or one has none
-    ja, jb = "".join(a), "".join(b)
-    n, d = words_match(a, b)
-    most = allowed(min(len(ja), len(jb)))
-    joined = min((edits(ja, "".join(o), most) for o in ([b, b[::-1]] if len(b) <= 3 else [b])), default=99) if len(a) != len(b) or n < len(a) else 99
-    if joined <= most and min(len(ja), len(jb)) >= 8:
-        return (0.95 if alike else 0.3) - 0.03 * joined
-    if n < len(a):
-        return 0.0
-    if len(a) == len(b):
-        if len(a) == 1:
-            if ia and ib:
-                return 0.9 if ia.startswith(ib[0]) else 0.0
-            if ia or ib:  # one has initials, the other a kind or nothing
-                return 0.85 - 0.03 * d if not (ka | kb) or initials_fit((ia or ib)[-1], [], ka | kb) else 0.2
-            if bool(ka) != bool(kb):
-                return 0.35  # a bare word and a word with a kind: too little
-            return (1.0 if ka == kb else 0.75 if ka & kb else 0.0) - 0.03 * d
-        return (1.0 if ka == kb else 0.9 if alike else 0.3) - 0.02 * d
-    # `a` has fewer own words: shortened, or another organisation that shares the word
-    if len(a) == 1 and len(a[0]) < 5:
-        return 0.0
-    left = list(b)
-    for w in a:
-        m = allowed(len(w))
-        best = min(left, key=lambda t: edits(w, t, m))
-        left.remove(best)
-    if ia:
-        return 0.9 - 0.03 * d if initials_fit(ia, left, kb) else 0.0
-    if ka:
-        return 0.85 - 0.03 * d if ka <= kb else 0.0
-    return 0.85 - 0.03 * d
+    if len(a) < 2 or len(b) < len(a) + 2 or a[0] != b[0] or len(a) > 5 and 2 * len(a) > len(b):
+        return False
+    letters = iter(b)
+    return all(c in letters for c in a)
+
+
+def _take_joined(p: list[str], q: list[str]) -> None:
+    """Takes a word of p that is several words of q written together, and those."""
+    for x in list(p):
+        inside = [y for y in q if len(y) >= 3 and y in x and y != x]
+        if len(inside) > 1 and abs(len(x) - sum(map(len, inside))) <= allowed(len(x)):
+            p.remove(x)
+            for y in inside:
+                q.remove(y)
+            continue
+        for y, z in combinations(q, 2):
+            most = allowed(len(y) + len(z))
+            if abs(len(x) - len(y) - len(z)) <= most and min(edits(x, y + z, most), edits(x, z + y, most)) <= most:
+                p.remove(x)
+                q.remove(y)
+                q.remove(z)
+                break
+
+
+def _take_initials(p: list[str], q: list[str]) -> None:
+    """Takes a short word of p whose letters begin words of q ("DI" for "Dikmeg International"), and those."""
+    for x in [w for w in p if len(w) <= 4]:
+        left, used = list(q), []
+        for c in x:
+            y = next((w for w in left if w[0] == c), None)
+            if y is None:
+                break
+            left.remove(y)
+            used.append(y)
+        if len(used) == len(x):
+            p.remove(x)
+            for y in used:
+                q.remove(y)
+
+
+def agree(x: str, y: str) -> bool:
+    """False if each form has a word that nothing in the other accounts for."""
+    a, b = x.split(), y.split()
+    for same in (str.__eq__, fits):
+        for w in list(a):
+            v = next((v for v in b if same(w, v)), None)
+            if v is not None:
+                a.remove(w)
+                b.remove(v)
+    for take in (_take_joined, _take_initials):
+        if a and b:
+            take(a, b)
+        if a and b:
+            take(b, a)
+    return not (a and b)
 
 
 def spellings(df: DataFrame, column: str) -> DataFrame:
@@ -226,78 +174,50 @@ def spellings(df: DataFrame, column: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            p = [parts(n) for n in b["name"]]
-            keep = [i for i, x in enumerate(p) if x]
-            yield pd.DataFrame({"name": [b["name"].iloc[i] for i in keep], "form": [form_of(p[i]) for i in keep]})
+            out = pd.DataFrame({"name": b["name"], "form": [form_of(n) for n in b["name"]]})
+            yield out[out["form"].notna()]
 
     names = df.select(F.col(column).alias("name")).where(F.trim("name") != "").groupBy("name").agg(F.lit(1).alias("one")).select("name")
     return names.mapInPandas(run, "name string, form string")
 
 
 def vectors(forms: DataFrame) -> DataFrame:
-    """(form, gram, w): sparse vectors of unit length."""
+    """(id, gram, w, df): sparse vectors of unit length of forms (id, form); df is how many forms have the gram."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            p = [form_parts(f) for f in b["form"]]
-            yield pd.DataFrame({"form": b["form"], "gram": [grams_of(c) for c, _, _, _ in p]})
+            yield pd.DataFrame({"id": b["id"], "gram": [grams_of(f) for f in b["form"]]})
 
-    grams = cut(forms.mapInPandas(run, "form string, gram array<string>").select("form", F.explode("gram").alias("gram")))
+    grams = cut(forms.mapInPandas(run, "id long, gram array<string>").select("id", F.explode("gram").alias("gram")))
     n = forms.count()
-    counts = grams.groupBy("gram").agg((F.lit(1.0) + F.ln(F.lit(float(n)) / F.count("*"))).alias("idf"))
+    counts = grams.groupBy("gram").agg(F.count("*").alias("df")).withColumn("idf", F.ln(1 + F.lit(float(n)) / F.col("df")))
     w = lookup(grams, cut(counts), "gram")
-    norm = w.groupBy("form").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
-    return w.join(norm, "form").select("form", "gram", (F.col("idf") / F.col("norm")).alias("w"))
-
+    norm = w.groupBy("id").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
+    return w.join(norm, "id").select("id", "gram", (F.col("idf") / F.col("norm")).alias("w"), "df")
 
-def deletions(word: str) -> set[str]:
-    """The word with up to its allowed edits of characters left out; words within that many edits have one in common."""
-    out = last = {word}
-    for _ in range(allowed(len(word))):
-        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
-        out = out | last
-    return out
-
-
-def near_words(forms: DataFrame) -> DataFrame:
-    """(a, b), a < b: forms with own words within the allowed edits of each other that share no gram, so that the cosine join may miss them."""
-
-    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"form": b["form"], "word": [sorted(set(form_parts(f)[0])) for f in b["form"]]})
-
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"word": b["word"], "key": [sorted(deletions(w)) for w in b["word"]]})
-
-    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = [(x, y) for x, y in zip(b["x"], b["y"]) if edits(x, y, m := allowed(min(len(x), len(y)))) <= m and not set(grams_of([x])) & set(grams_of([y]))]
-            yield pd.DataFrame(out, columns=["x", "y"])
 
-    words = cut(forms.mapInPandas(own, "form string, word array<string>").select("form", F.explode("word").alias("word")))
-    short = words.where(F.length("word").between(4, LONGEST_KEYED)).select("word").distinct()
-    keys = cut(short.mapInPandas(keyed, "word string, key array<string>").select("word", F.explode("key").alias("key")))
-    met = keys.alias("k").join(keys.alias("l"), "key").where("k.word < l.word").select(F.col("k.word").alias("x"), F.col("l.word").alias("y")).distinct()
-    pairs = cut(met.mapInPandas(near, "x string, y string"))
-    both = pairs.join(words.select(F.col("word").alias("x"), F.col("form").alias("f")), "x").join(words.select(F.col("word").alias("y"), F.col("form").alias("g")), "y")
-    return both.where("f <> g").select(F.least("f", "g").alias("a"), F.greatest("f", "g").alias("b")).distinct()
+def similar_forms(forms: DataFrame, near: float = NEAR) -> DataFrame:
+    """(a, b, cosine), a < b: the ids of all forms of cosine `near` and more."""
+    blocks = F.ceil(F.col("df") / BLOCK)
+    dealt = vectors(forms).withColumn("side", F.pmod("id", blocks))
+    dealt = cut(dealt.select("id", "gram", "w", "side", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("o")).select("id", "gram", "w", "side", F.least("side", "o").alias("p"), F.greatest("side", "o").alias("q")))
+    x, y = (dealt.select("gram", "p", "q", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "w", "side")]) for k in "xy")
+    met = x.join(y, ["gram", "p", "q"]).where((F.col("id_x") < F.col("id_y")) & ((F.col("p") == F.col("q")) | (F.col("side_x") != F.col("side_y"))))
+    return met.groupBy(F.col("id_x").alias("a"), F.col("id_y").alias("b")).agg(F.sum(F.col("w_x") * F.col("w_y")).alias("cosine")).where(F.col("cosine") >= near)
 
 
-def scored_pairs(forms: DataFrame, near: float = NEAR) -> DataFrame:
-    """(a, b, sim), a < b: the forms of cosine `near` and more or with near words, with the score of the exact comparison."""
-    v = cut(vectors(forms))
-    met = v.alias("x").join(v.alias("y"), "gram").where("x.form < y.form").groupBy(F.col("x.form").alias("a"), F.col("y.form").alias("b")).agg(F.sum(F.col("x.w") * F.col("y.w")).alias("cosine")).where(F.col("cosine") >= near)
+def checked(similar: DataFrame, forms: DataFrame) -> DataFrame:
+    """(a, b, sim), the forms themselves, of the pairs that don't contradict each other."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(x, y, s) for x, y in zip(b["a"], b["b"]) if (s := score(x, y)) > 0]
-            yield pd.DataFrame(out, columns=["a", "b", "sim"])
+            yield b[[agree(x, y) for x, y in zip(b["a"], b["b"])]]
 
+    named = lookup(lookup(similar, forms.select(F.col("id").alias("a"), F.col("form").alias("x")), "a"), forms.select(F.col("id").alias("b"), F.col("form").alias("y")), "b")
+    pairs = named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.col("cosine").alias("sim"))
     # few bytes but much work a row: a fixed number of partitions isn't joined into one
-    parts_ = int(forms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    candidates = met.select("a", "b").unionByName(near_words(forms)).distinct()
-    return candidates.repartition(parts_).mapInPandas(run, "a string, b string, sim double")
+    parts = int(forms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.repartition(parts).mapInPandas(run, "a string, b string, sim double")
 
 
 def average_linkage(edges: DataFrame, least: float = LINK) -> DataFrame:
@@ -329,8 +249,9 @@ def average_linkage(edges: DataFrame, least: float = LINK) -> DataFrame:
 def groups(df: DataFrame, column: str) -> DataFrame:
     """(name, label): the group of every spelling that names somebody."""
     names = cut(spellings(df, column))
-    forms = cut(names.select("form").distinct())
-    labels = average_linkage(scored_pairs(forms))
+    forms = cut(names.select("form").distinct().withColumn("id", F.xxhash64("form")))
+    labels = average_linkage(checked(cut(similar_forms(forms)), forms))
+    # a form has few spellings next to the forms of all names, and a label is joined once per spelling: no form is hot
     return lookup(names, labels.select(F.col("node").alias("form"), "label"), "form", salts=1).select("name", F.coalesce("label", "form").alias("label"))
 
 

@@ -10,17 +10,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MOST_YEARS, CONTEXT, LEAD = 30, 8, 3
+#: Numbers in words.
 _SMALL = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split()
 NUMBERS = {w: i for i, w in enumerate(_SMALL)} | {"thirty": 30}
+#: Words that lead to, or stand around, a number of years.
 LEAD_WORDS = frozenset("least minimum min over than".split())
 CONTEXT_WORDS = frozenset("experience experienced exp".split())
 _UNITS = frozenset("year years yr yrs".split())
-_TOKEN = re.compile(r"\d[\d,]*|\w+|[^\w\s]")
+_TOKEN = re.compile(r"\d[\d,]*(?:\.\d+)?|\w+|[^\w\s]")
 
 
-def _number(t: str) -> int | None:
+def _number(t: str) -> float | None:
     t = t.lower().replace(",", "")
-    return int(t) if t.isdigit() else NUMBERS.get(t)
+    return float(t) if re.fullmatch(r"[0-9]+(?:\.[0-9]+)?", t) else NUMBERS.get(t)
 
 
 def mentions(text: str | None) -> list[tuple[str, float, float | None]]:

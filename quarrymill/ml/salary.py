@@ -11,7 +11,7 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.operators.relational import group_fold, median_with_fallback
+from quarrymill.operators.relational import group_fold
 from quarrymill.session import cut
 
 SKILL_FLOOR, WHAT_IF_FLOOR, FOLDS = 10, 5, 5
@@ -91,12 +91,13 @@ def predict(model: GBTRegressionModel, rows: DataFrame, spec: dict) -> DataFrame
 def cross_validated(rows: DataFrame, trees: int = MOST_TREES) -> DataFrame:
     """Every row with the prediction of a model that saw none of its employer's rows, and the role median of those other rows."""
     rows = cut(rows.withColumn("fold", group_fold(F.col("employer"), FOLDS)))
-    spec = fit_spec(rows)
+    roles = fit_spec(rows)["role"]  # a role of the held-out fold alone has no pay to learn from, but is no error
 
     def one(k: int) -> DataFrame | None:
         train, test = rows.where(F.col("fold") != k), rows.where(F.col("fold") == k)
         if train.isEmpty() or test.isEmpty():
             return None
+        spec = fit_spec(train) | {"role": roles}  # levels, states and skills are those the training part knows
         medians = train.groupBy("role").agg(F.median("salary").alias("role_median"))
         return predict(fit(train, spec, trees), test, spec).join(medians, "role", "left").select("job_id", "role", "salary", "predicted", "role_median", "fold")
 
@@ -130,5 +131,3 @@ def what_if(model: GBTRegressionModel, profile: DataFrame, skills: list[str], sp
     base = p.where("add = ''").select(F.col("predicted").alias("base"))
     return p.where("add <> ''").crossJoin(F.broadcast(base)).select(F.col("add").alias("skill"), (F.col("predicted") - F.col("base")).alias("delta")).orderBy(F.desc("delta"), "skill")
 
-
-__all__ = ["assembled", "cross_validated", "estimate", "features", "fit", "fit_spec", "median_with_fallback", "predict", "use_model", "what_if", "what_if_skills"]

@@ -152,6 +152,11 @@ def shared_in_order(own: Column, other: Column) -> Column:
     return F.filter(own, lambda x: F.array_contains(other, x))
 
 
+def delimited(text: Column, mark: str = ", ") -> Column:
+    """The parts of a delimited text; null gives an empty array."""
+    return F.coalesce(F.split(text, mark), F.array().cast("array<string>"))
+
+
 def group_fold(key: Column, folds: int = 5) -> Column:
     """Fold of a group from its hash: a group is never split."""
     return (F.conv(F.substring(F.md5(F.coalesce(key, F.lit(""))), 1, 8), 16, 10).cast("long") % folds).cast("int")

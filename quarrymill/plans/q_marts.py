@@ -9,6 +9,7 @@ from quarrymill.functions import postings as P
 from quarrymill.operators import relational as R
 from quarrymill.plans.marts import ROLE_SEED, Warehouse
 from quarrymill.session import within
+from quarrymill.sources.raw import normalise
 
 
 def texts(df: DataFrame) -> DataFrame:
@@ -125,12 +126,10 @@ def sightings_distinct(spark, d):
 
 
 def normalise_flags(spark, d):
-    j = Warehouse(spark, d).stg_jobs.withColumnsRenamed({})
-    lo, hi, per = F.col("salary_min_raw"), F.col("salary_max_raw"), F.col("salary_period")
-    flag = P.salary_flag(lo, hi, per)
-    a, b = (F.when(flag.isNull(), P.annual(c, per)) for c in (lo, hi))
-    raw_mid = F.when(flag.isNull(), P.midpoint(lo, hi) * P.literal_map(P.ANNUAL_FACTOR)[F.upper(per)])
-    return j.select("job_id", flag.alias("flag"), a.alias("low"), b.alias("high"), F.round(raw_mid, 4).alias("mid"))
+    """Flags and annual pay by the cleaning rules from the raw pay of each posting's latest load."""
+    j = R.best_per_key(Warehouse(spark, d).raw("jobs_clean").where("job_id is not null"), ["job_id"], [F.col("_loaded_at").desc_nulls_last(), F.col("fetched_at").desc_nulls_last()])
+    n = normalise(j.select("job_id", "title", "employer", "city", "state", "salary_min_raw", "salary_max_raw", "salary_period_raw"))
+    return n.select("job_id", F.col("salary_flag").alias("flag"), F.col("salary_min_annual").alias("low"), F.col("salary_max_annual").alias("high"), F.col("salary_mid_annual").alias("mid"))
 
 
 def states(spark, d):
@@ -289,8 +288,6 @@ QUERIES = {
     "impact_status_buckets": impact_buckets, "estimate_range": estimate_range, "semi_anti_vectors": embedded_postings, "shared_skills_intersect": shared_skills,
 }
 
-_STATE_CASE = "CASE lower(trim(state)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in P.STATES.items()) + " ELSE CASE WHEN length(trim(state)) = 2 THEN upper(trim(state)) END END"
-_FACTOR = "CASE upper(salary_period_raw) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in P.ANNUAL_FACTOR.items()) + " END"
 _KIND = "CASE WHEN has_salary THEN 'salary' WHEN location_key = md5('unknown') THEN 'no_location' ELSE 'other' END"
 ORACLES = {
     "stg_jobs_latest": sql(f"SELECT job_id, job_title, employer_name, search_role, state_code, salary_mid_annual, strftime(fetched_at {_F}, '%Y-%m-%d %H:%M:%S') AS fetched_at FROM stg_jobs"),
@@ -311,12 +308,9 @@ SELECT dedup_key, job_id, salary_mid_annual, strftime(fetched_at {_F}, '%Y-%m-%d
     "mart_role_skill_profile": sql("SELECT * FROM profile", PROFILE),
     "postings_wide": sql("""SELECT e.job_id, role_name, location_name, coalesce(s.skills, '') AS skills, coalesce(s.n, 0) AS n_skills FROM enriched e JOIN dim_role USING (role_key) JOIN dim_location USING (location_key)
   LEFT JOIN (SELECT job_id, string_agg(skill_name, ', ' ORDER BY skill_name) AS skills, count(*) AS n FROM stg_skills GROUP BY 1) s ON s.job_id = e.job_id"""),
-    "salary_normalise_flags": f"""WITH j AS (SELECT *, {_FACTOR} AS f FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY _loaded_at DESC NULLS LAST, fetched_at DESC NULLS LAST) AS r FROM jobs_clean WHERE job_id IS NOT NULL) WHERE r = 1),
-g AS (SELECT *, CASE WHEN (salary_min_raw IS NOT NULL OR salary_max_raw IS NOT NULL) AND f IS NULL THEN 'unknown_period' WHEN salary_min_raw * f NOT BETWEEN 20000 AND 1000000 OR salary_max_raw * f NOT BETWEEN 20000 AND 1000000 THEN 'out_of_range'
-  WHEN salary_min_raw > salary_max_raw THEN 'inverted_range' END AS flag FROM j)
-SELECT job_id, flag, CASE WHEN flag IS NULL THEN round(salary_min_raw * f) END AS low, CASE WHEN flag IS NULL THEN round(salary_max_raw * f) END AS high,
-  CASE WHEN flag IS NULL THEN round(coalesce((salary_min_raw + salary_max_raw) / 2, salary_min_raw, salary_max_raw) * f, 4) END AS mid FROM g""",
-    "state_code_lookup": f"SELECT state AS typed, {_STATE_CASE} AS code, count(*) AS n FROM jobs_clean GROUP BY state",
+    "salary_normalise_flags": """SELECT job_id, salary_flag AS flag, salary_min_annual AS low, salary_max_annual AS high, salary_mid_annual AS mid
+  FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY _loaded_at DESC NULLS LAST, fetched_at DESC NULLS LAST) AS r FROM jobs_clean WHERE job_id IS NOT NULL) WHERE r = 1""",
+    "state_code_lookup": "SELECT state AS typed, state_code AS code, count(*) AS n FROM jobs_clean GROUP BY 1, 2",
     "core_skills_flagged": sql(f"SELECT role_name, skill_name, share_of_role_postings, demand_rank, skill_name IN {_OWN} AS on_resume FROM profile WHERE share_of_role_postings >= 0.10", PROFILE),
     "match_pct_weighted": sql(f"SELECT role_name, round(sum(CASE WHEN skill_name IN {_OWN} THEN share_of_role_postings ELSE 0e0 END) / sum(share_of_role_postings), 4) AS match_pct FROM profile WHERE share_of_role_postings >= 0.10 GROUP BY 1", PROFILE),
     "top_missing_skills": sql(f"""SELECT role_name, skill_name, share_of_role_postings, demand_rank, CASE WHEN ok THEN median_salary_difference END AS median_salary_difference, CASE WHEN ok THEN 'ok' ELSE 'too_few_salaries' END AS median_difference_status

@@ -304,7 +304,7 @@ SELECT p_brand, count(*) FILTER (WHERE has) AS n_with, count(*) FILTER (WHERE NO
     "latest_per_key": "SELECT user_id, event_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1",
     "weekly_demand_zero_fill": """WITH e AS (SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, event_type, user_id FROM events), w AS (SELECT week, count(DISTINCT user_id) AS users FROM e GROUP BY 1), s AS (SELECT week, event_type, count(DISTINCT user_id) AS n FROM e GROUP BY 1, 2)
 SELECT w.week, t.event_type, coalesce(s.n, 0) AS n, w.users FROM w CROSS JOIN (SELECT DISTINCT event_type FROM e) t LEFT JOIN s ON s.week = w.week AND s.event_type = t.event_type""",
-    "row_count_reconciliation": "SELECT count(DISTINCT job_id) AS source_rows, count(DISTINCT job_id) AS sink_rows, true AS equal FROM jobs_clean",
+    "row_count_reconciliation": "WITH a AS (SELECT count(*) AS n FROM (SELECT 1 FROM jobs_clean WHERE job_id IS NOT NULL GROUP BY job_id)), b AS (SELECT count(DISTINCT job_id) AS n FROM jobs_clean) SELECT a.n AS source_rows, b.n AS sink_rows, a.n = b.n AS equal FROM a, b",
     "source_freshness": "SELECT strftime(max(_loaded_at) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS newest, max(_loaded_at) AT TIME ZONE 'UTC' < TIMESTAMP '2026-10-30' - INTERVAL 2 DAY AS stale FROM jobs_clean",
     "dq_checks": BASE.rstrip().rstrip(",") + """
 , f AS (

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarrymill.plans import app, p_core, q_marts, q_text
+from quarrymill.plans import app, p_core, q_marts, q_raw, q_text
 
-MODULES = [q_marts, q_text, app, p_core]
+MODULES = [q_marts, q_raw, q_text, app, p_core]
 
 
 def queries() -> dict:

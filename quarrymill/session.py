@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,9 @@ BROADCAST_ROWS = 20_000
 
 def get_spark(master: str = "local[*]", partitions: int = 8, **conf) -> SparkSession:
     """A session with UTC time, ANSI SQL and adaptive execution."""
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.pathsep.join(dict.fromkeys([home, *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))]))
+    os.environ["PYTHONPATH"] = path  # Python workers of a local session find the package from any folder; on a cluster it is installed or sent along
     b = SparkSession.builder.master(master).appName("quarrymill")
     base = {
         "spark.sql.session.timeZone": "UTC",
@@ -43,7 +48,7 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="quarrymill-")
     spark.conf.set("spark.checkpoint.dir", path)

@@ -22,12 +22,13 @@ _RENAMED = {
 }
 
 
-def read_envelopes(spark: SparkSession, glob: str) -> DataFrame:
-    return spark.read.schema(ENVELOPE).option("multiLine", True).json(glob)
+def read_envelopes(spark: SparkSession, glob: str, lines: bool = False) -> DataFrame:
+    """Envelopes, one a file or, with `lines`, one a line."""
+    return spark.read.schema(ENVELOPE).option("multiLine", not lines).json(glob)
 
 
-def read_occupations(spark: SparkSession, glob: str) -> DataFrame:
-    return spark.read.schema(OCCUPATIONS).option("multiLine", True).json(glob)
+def read_occupations(spark: SparkSession, glob: str, lines: bool = False) -> DataFrame:
+    return spark.read.schema(OCCUPATIONS).option("multiLine", not lines).json(glob)
 
 
 def read_seed(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:

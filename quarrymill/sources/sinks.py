@@ -47,7 +47,10 @@ def write_once(df: DataFrame, path: str) -> bool:
 
 
 def replace_all(tables: dict[str, DataFrame]) -> dict[str, int]:
-    """Replaces several tables together: all are written beside their targets and counted, and only then renamed into place."""
+    """Replaces several tables together: all are written beside their targets and counted, and only then renamed into place.
+
+    If a rename fails, the tables renamed before are put back.
+    """
     staged, counts = {}, {}
     for path, df in tables.items():
         tmp = f"{path.rstrip('/')}._new_{uuid.uuid4().hex}"
@@ -59,14 +62,27 @@ def replace_all(tables: dict[str, DataFrame]) -> dict[str, int]:
                 fs.delete(p, True)
             raise ValueError(f"{path}: no rows; nothing was replaced")
     spark = next(iter(tables.values())).sparkSession
-    old = {}
-    for path, tmp in staged.items():
-        target, fs = _path(spark, path)
-        if fs.exists(target):
-            old[path] = f"{path.rstrip('/')}._old_{uuid.uuid4().hex}"
-            fs.rename(target, _path(spark, old[path])[0])
-        if not fs.rename(_path(spark, tmp)[0], target):
-            raise OSError(f"{tmp} can't take the place of {path}")
+    old, done = {}, []
+    try:
+        for path, tmp in staged.items():
+            target, fs = _path(spark, path)
+            if fs.exists(target):
+                aside = f"{path.rstrip('/')}._old_{uuid.uuid4().hex}"
+                if not fs.rename(target, _path(spark, aside)[0]):
+                    raise OSError(f"{path} can't be set aside")
+                old[path] = aside
+            if not fs.rename(_path(spark, tmp)[0], target):
+                raise OSError(f"{tmp} can't take the place of {path}")
+            done.append(path)
+    except Exception:
+        for path in tables:  # all tables stand again as they were
+            target, fs = _path(spark, path)
+            if path in done:
+                fs.delete(target, True)
+            if path in old:
+                fs.rename(_path(spark, old[path])[0], target)
+            fs.delete(_path(spark, staged[path])[0], True)
+        raise
     for o in old.values():
         p, fs = _path(spark, o)
         fs.delete(p, True)

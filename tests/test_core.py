@@ -119,7 +119,7 @@ def test_skills_native_equals_pandas(spark):
 
 
 @pytest.mark.parametrize("t,want", [
-    ("5+ years", (5, None)), ("3–5 yrs", (3, 5)), ("three to five years", (3, 5)), ("at least 4 years", (4, None)), ("Experience: 7 years", (7, 7)), ("(5+) years", (5, None)), ("5+years of Python", (5, None)),
+    ("2.5 years of experience", (2.5, 2.5)), ("1.5 to 3 years of experience", (1.5, 3)), ("at least 1.5 yrs", (1.5, None)), ("5+ years", (5, None)), ("3–5 yrs", (3, 5)), ("three to five years", (3, 5)), ("at least 4 years", (4, None)), ("Experience: 7 years", (7, 7)), ("(5+) years", (5, None)), ("5+years of Python", (5, None)),
     ("a 4-year degree", None), ("for 25 years we have built software", None), ("10 years ago with experience", None), ("18 years old, experience", None), ("50+ years", None), (None, None), ("", None), ("2 or 3 years", (2, 3)),
 ])
 def test_years(t, want):
@@ -322,3 +322,36 @@ def test_zero_fill_keeps_gaps_apart_from_zeros(spark):
     periods = spark.createDataFrame([(1, "r", 9), (2, "r", 9), (3, "r", 9), (1, "q", 4)], "week int, role string, total int")
     got = {(r["week"], r["role"], r["item"]): r["n"] for r in R.zero_filled(counts, periods, "week", ["role"], ["item"], "n").collect()}
     assert got == {(1, "r", "a"): 5, (2, "r", "a"): 0, (3, "r", "a"): 0, (1, "r", "b"): 0, (2, "r", "b"): 0, (3, "r", "b"): 2, (1, "q", "a"): 1}
+
+
+def test_replacing_several_tables_rolls_back(spark, tmp_path, monkeypatch):
+    from quarrymill.sources import sinks
+
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    sinks.replace_all({a: spark.range(3), b: spark.range(4)})
+    real = sinks._path
+
+    class Fails:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def rename(self, x, y):
+            return False if y.toString().endswith("/b") and "_new_" in x.toString() else self.fs.rename(x, y)
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "_path", lambda s, p: (real(s, p)[0], Fails(real(s, p)[1])))
+        with pytest.raises(OSError):
+            sinks.replace_all({a: spark.range(30), b: spark.range(40)})
+    assert (spark.read.parquet(a).count(), spark.read.parquet(b).count()) == (3, 4)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a", "b"]
+    assert sinks.refresh(spark.range(7), a) == 7
+
+
+def test_delimited_text_becomes_an_array(spark):
+    from quarrymill.operators.relational import delimited
+
+    df = spark.createDataFrame([("a, b",), (None,), ("",)], "t string").select(delimited(F.col("t")).alias("x"))
+    assert [r["x"] for r in df.collect()] == [["a", "b"], [], [""]]

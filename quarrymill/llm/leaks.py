@@ -1,14 +1,14 @@
 """Evaluation texts leaking into training text (problem 8).
 
-Latent semantic retrieval: documents are cut into passages; words are hashed to `FEATURES` columns and weighted by TF-IDF over all
-passages; a distributed randomised SVD (each task multiplies its passages into a sketch, the sketches are added, the driver
-orthonormalises one matrix of fixed size) gives a basis; passages and items are compared by cosine in it. The items are a stated
-query set against all passages, in blocks of a document batch. Every document with a passage near an item is then checked as a
-whole: words common to both are kept where they lie in dense runs (at most two of ten neighbours altered), the longest common
-subsequence over them is taken, and the item's share that it holds decides.
+Latent semantic retrieval. Texts are cut into words once; their 32-bit hashes are kept as a table, and all later steps read that. Words are hashed to `FEATURES` columns,
+and passages of `PASSAGE` words, each half overlapping the next, are weighted by TF-IDF over all passages. A distributed randomised SVD (each task multiplies its
+passages into a sketch, the sketches are added, the driver orthonormalises one matrix of fixed size) gives a basis; passages are
+compared in it with the passages of the items by cosine, and a document with a passage of at least `NEAR` is a candidate for the item. The items are a stated
+query set against all passages, in blocks of `ITEMS`. A candidate is then checked as a whole: words common to both are kept where they lie in dense runs
+(at most two of ten neighbours altered), the longest common subsequence over them is taken, and the item's share that it holds decides.
+The answer check looks for paraphrases: candidates that don't hold the item in its order, but most of its words in any order and the words of its end, where the answer stands, in order (`paraphrased`).
 
-Three passes over the texts (frequencies, sketch, search) and no exchange of texts; what is exchanged has a size that FEATURES and
-RANK fix. The items are counted before they are sent to the tasks (`MOST_ITEMS`), more are refused.
+What is exchanged has a size that FEATURES and RANK fix. More than ITEMS items are searched block by block over the same table of words.
 
 Defined cases. Null and blank texts and items hold no words. Null ids give no row. Repeated rows give one pair. Markup, case, punctuation,
 line breaks, end-of-line hyphens and accents in composed or decomposed form don't matter. Items of fewer than ten words must be
@@ -23,24 +23,30 @@ import unicodedata
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FEATURES, RANK, OVERSAMPLE = 4096, 240, 16
+from quarrymill.session import stored
+
+FEATURES, RANK, OVERSAMPLE = 2048, 200, 16
 PASSAGE, STEP = 60, 30
-#: Least latent cosine of a passage and an item for the check.
-NEAR = 0.30
-#: Share of an item's words, in any order, without which a document can't hold it (HELD, less the altered words).
-BAG = 0.38
+#: Least latent cosine of a passage and a passage of an item for the check.
+NEAR = 0.45
 #: Words of a run's window, and how many of them must agree.
 RUN, AGREE = 10, 8
+#: Share of an item's words, in any order, without which a document can't hold HELD of them (altered words inside of runs count there).
+LEAST_BAG = 0.38
 #: Share of the item's words that a leak holds; a half, less the words lost at the ends of runs.
 HELD = 0.48
-MOST_ITEMS = 20_000
-BLOCKS = 16
+#: Words of an item's end that hold its answer; share of them, and of all its words in any order, that a paraphrase has.
+ANSWER, ANSWERED, BAG = 12, 0.9, 0.6
+#: Items that are searched at a time, and sent to the tasks.
+ITEMS = 20_000
+BLOCKS, ROWS = 16, 1024
 
 _MARKUP = re.compile(r"<[^<>]{0,2000}>")
 _HYPHEN = re.compile(r"(\w)[-­]\s*\n[\s>*#|]*(\w)")
@@ -54,35 +60,125 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(_HYPHEN.sub(r"\1\2", t).lower())
 
 
-class Hasher:
-    """Word -> feature column, remembering up to a million words a worker."""
+def hashes(words: list[str], known: dict[str, int]) -> list[int]:
+    return [known[w] if w in known else known.setdefault(w, zlib.crc32(w.encode())) for w in words]
+
+
+def word_table(texts: DataFrame, id_: str, text: str) -> DataFrame:
+    """(id, words): the hashes of the words of each text that has any; written once, as later steps read it several times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for b in batches:
+            if len(known) > 1_000_000:
+                known.clear()
+            rows = [hashes(words_of(t), known) for t in b.column("text").to_pylist()]
+            flat = np.fromiter((h for r in rows for h in r), np.uint32).view(np.int32)
+            ends = np.cumsum([0, *map(len, rows)], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.LargeListArray.from_arrays(ends, pa.array(flat)).cast(pa.list_(pa.int32()))], names=["id", "words"])
+
+    kind = texts.schema[id_].dataType.simpleString()
+    rows = texts.select(F.col(id_).alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & (F.trim("text") != ""))
+    return stored(rows.mapInArrow(run, f"id {kind}, words array<int>").where(F.size("words") > 0))
+
+
+class Passages:
+    """The words of a batch of texts in blocks of STEP words; a passage is a block and the next one of the same text."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
+        starts = np.cumsum(sizes) - sizes
+        blocks = -(-sizes // STEP)
+        self.owner = np.repeat(np.arange(len(sizes)), blocks)
+        self.place = np.arange(len(self.owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        within = np.arange(len(flat)) - np.repeat(starts, sizes)
+        self.block = np.repeat(np.cumsum(blocks) - blocks, sizes) + within // STEP
+        self.feature = (flat.view(np.uint32) % FEATURES).astype(np.int64)
+
+    def counts(self, s: int, e: int) -> np.ndarray:
+        """Uses of each feature by the passages s to e - 1."""
+        last = min(e, len(self.owner) - 1)
+        lo, hi = np.searchsorted(self.block, [s, last + 1])
+        a = np.zeros((last + 1 - s) * FEATURES, np.float32)
+        np.add.at(a, (self.block[lo:hi] - s) * FEATURES + self.feature[lo:hi], np.float32(1))
+        a = a.reshape(-1, FEATURES)
+        out, more = a[: e - s].copy(), a[1:]
+        out[: len(more)] += more * (self.owner[s + 1 : last + 1] == self.owner[s:last])[:, None]
+        return out
+
+
+def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(ids, words of all rows, words of each row)."""
+    for b in batches:
+        if b.num_rows:
+            w = b.column("words")
+            yield b.column("id"), w.flatten().to_numpy(zero_copy_only=False), w.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    counts *= idf
+    counts /= np.maximum(np.linalg.norm(counts, axis=1, keepdims=True), 1e-9)
+    return counts
 
-    def __init__(self):
-        self.known: dict[str, int] = {}
 
-    def __call__(self, words: list[str]) -> np.ndarray:
-        if len(self.known) > 1_000_000:
-            self.known.clear()
-        k = self.known
-        return np.fromiter((k[w] if w in k else k.setdefault(w, zlib.crc32(w.encode()) % FEATURES) for w in words), np.int64, len(words))
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    df, n = np.zeros(FEATURES, np.int64), 0
+    for _, flat, sizes in batches_of(batches):
+        p = Passages(flat, sizes)
+        for s in range(0, len(p.owner), ROWS):
+            df += (p.counts(s, min(s + ROWS, len(p.owner))) > 0).sum(0)
+        n += len(p.owner)
+    yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([np.r_[df, n].tobytes()], pa.binary())], names=["block", "part"])
 
 
-def passages(x: np.ndarray, step: int) -> list[np.ndarray]:
-    return [x[s : s + PASSAGE] for s in range(0, max(1, len(x) - PASSAGE + step), step)]
+def _sum_of(parts: DataFrame, kind: type) -> DataFrame:
+    """(block, part): the sums of the arrays of each block; tasks have added their own before."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, part in zip(b.column("block").to_pylist(), b.column("part").to_pylist()):
+                x = np.frombuffer(part, kind)
+                sums[k] = sums[k] + x if k in sums else x.copy()
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["block", "part"])
+
+    return parts.repartition(BLOCKS, "block").mapInArrow(run, "block long, part binary")
+
+
+def fit(words: DataFrame, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """(idf, basis of FEATURES x RANK) from all passages of all documents."""
+    sc = words.sparkSession.sparkContext
+    got = _sum_of(words.mapInArrow(_frequencies, "block long, part binary"), np.int64).collect()
+    counted = np.frombuffer(got[0]["part"], np.int64) if got else np.zeros(FEATURES + 1, np.int64)
+    df, total = counted[:-1], int(counted[-1])
+    idf = np.log1p(total / (df + 0.5)).astype(np.float32)
+    if not total:
+        return np.ones(FEATURES, np.float32), np.eye(FEATURES, RANK, dtype=np.float32)
+    omega = np.linalg.qr(np.random.default_rng(seed).standard_normal((FEATURES, RANK + OVERSAMPLE)).astype(np.float32))[0].astype(np.float32)
+    sent = sc.broadcast((idf, omega))
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, omega = sent.value
+        y = np.zeros((FEATURES, omega.shape[1]), np.float64)
+        for _, flat, sizes in batches_of(batches):
+            p = Passages(flat, sizes)
+            for s in range(0, len(p.owner), ROWS):
+                e = min(s + ROWS, len(p.owner))
+                a = weighted(p.counts(s, e)[p.place[s:e] % 2 == 0], idf)  # each word once
+                y += a.T @ (a @ omega)
+        size = FEATURES // BLOCKS
+        yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS)), pa.array([y[k * size : (k + 1) * size].tobytes() for k in range(BLOCKS)], pa.binary())], names=["block", "part"])
 
-def tfidf(parts: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
-    """Unit rows (passages, FEATURES)."""
-    a = np.zeros((len(parts), FEATURES), np.float32)
-    rows = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    if len(rows):
-        np.add.at(a, (rows, np.concatenate(parts)), 1.0)
-    a *= idf
-    return a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-9)
+    y, size = np.zeros((FEATURES, RANK + OVERSAMPLE)), FEATURES // BLOCKS
+    for r in _sum_of(words.mapInArrow(sketch, "block long, part binary"), np.float64).collect():
+        y[r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(r["part"]).reshape(size, -1)
+    u, s, _ = np.linalg.svd(y, full_matrices=False)
+    kept = s > s.max(initial=0) * 1e-9
+    return idf, u[:, kept][:, :RANK].astype(np.float32)
 
 
 def held_share(doc: np.ndarray, item: np.ndarray) -> float:
-    """Share of the item's words that lie, in the item's order, in dense common runs."""
+    """Share of the item's words that lie, in the item's order, in dense common runs: a longest common subsequence over those runs."""
     m = len(item)
     if not m or not len(doc):
         return 0.0
@@ -130,153 +226,79 @@ def held_share(doc: np.ndarray, item: np.ndarray) -> float:
     return (len(qs) + filled) / m
 
 
-def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    h, df, n = Hasher(), np.zeros(FEATURES, np.int64), 0
-    for b in batches:
-        for t in b["text"]:
-            x = h(words_of(t))
-            if len(x):
-                for part in passages(x, PASSAGE):
-                    df[np.unique(part)] += 1
-                    n += 1
-    at = np.flatnonzero(df)
-    yield pd.DataFrame({"feature": np.r_[at, -1], "n": np.r_[df[at], n]})
+def item_blocks(items: DataFrame) -> list[list[tuple]]:
+    """The items (id, words) in blocks of at most ITEMS, each collected on its own as the search comes to it."""
+    listed = word_table(items.select("item_id", "item_text").distinct(), "item_id", "item_text")
+    n = -(-max(1, listed.count()) // ITEMS)
+    return [listed.where(F.pmod(F.xxhash64("id"), F.lit(n)) == k) for k in range(n)]
 
 
-def fit(docs: DataFrame, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """(idf, basis of FEATURES x RANK) from all passages of all documents."""
-    sc = docs.sparkSession.sparkContext
-    texts = docs.select("text").where(F.trim("text") != "")
-    counted = dict(tuple(r) for r in texts.mapInPandas(_frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect())
-    total = counted.pop(-1, 0)
-    df = np.zeros(FEATURES)
-    for k, v in counted.items():
-        df[k] = v
-    idf = np.log1p(total / (df + 0.5)).astype(np.float32)
-    idf[df == 0] = np.log1p(total + 1.0) if total else 1.0
-    omega = np.random.default_rng(seed).standard_normal((FEATURES, RANK + OVERSAMPLE)).astype(np.float32)
-    omega = np.linalg.qr(omega * (1 / np.maximum(idf, 1e-6))[:, None])[0].astype(np.float32) if total else omega
-    sent = sc.broadcast((idf, omega))
-
-    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        idf, omega = sent.value
-        h, y, held = Hasher(), np.zeros((FEATURES, omega.shape[1]), np.float32), []
+def _search(words: DataFrame, listed: DataFrame, idf: np.ndarray, basis: np.ndarray, kind: str, item_kind: str) -> DataFrame:
+    rows = sorted(((r["id"], np.array(r["words"], np.int32)) for r in listed.collect()), key=lambda r: (r[0], r[1].tobytes()))
+    sent = words.sparkSession.sparkContext.broadcast((idf, basis, rows))
+    types = words.schema["id"].dataType.simpleString()
 
-        def add():
-            nonlocal held
-            for s in range(0, len(held), 512):
-                a = tfidf(held[s : s + 512], idf)
-                y[:] += a.T @ (a @ omega)
-            held = []
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, basis, rows = sent.value
+        if not rows:
+            return
 
-        for b in batches:
-            for t in b["text"]:
-                x = h(words_of(t))
-                if len(x):
-                    held += passages(x, PASSAGE)
-                    if len(held) >= 512:
-                        add()
-        add()
-        size = FEATURES // BLOCKS
-        for k in range(BLOCKS):
-            yield pd.DataFrame({"block": [k], "part": [y[k * size : (k + 1) * size].tobytes()]})
+        def latent(counts: np.ndarray) -> np.ndarray:
+            v = weighted(counts, idf) @ basis
+            return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
-    def total_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, part in zip(b["block"], b["part"]):
-                x = np.frombuffer(part, np.float32)
-                sums[k] = sums[k] + x if k in sums else x.astype(np.float64)
-        for k, x in sums.items():
-            yield pd.DataFrame({"block": [k], "part": [x.astype(np.float32).tobytes()]})
-
-    kind = "block int, part binary"
-    parts = texts.mapInPandas(sketch, kind).repartition(BLOCKS, "block").mapInPandas(total_of, kind).collect()
-    y = np.zeros((FEATURES, RANK + OVERSAMPLE), np.float32)
-    size = FEATURES // BLOCKS
-    for r in parts:
-        y[r["block"] * size : (r["block"] + 1) * size] += np.frombuffer(r["part"], np.float32).reshape(size, -1)
-    u, s, _ = np.linalg.svd(y, full_matrices=False)
-    kept = s > s.max(initial=0) * 1e-6
-    return idf, u[:, kept][:, :RANK].astype(np.float32)
+        # an item is looked for as a whole and by its passages
+        flat, sizes = np.concatenate([w for _, w in rows]), np.array([len(w) for _, w in rows])
+        p = Passages(flat, sizes)
+        whole = np.zeros((len(rows), FEATURES), np.float32)
+        np.add.at(whole, (p.owner[p.block], p.feature), np.float32(1))
+        target = np.concatenate([latent(whole), *[latent(p.counts(s, min(s + ROWS, len(p.owner)))) for s in range(0, len(p.owner), ROWS)]])
+        owner = np.r_[np.arange(len(rows)), p.owner]
+        texts = [w.astype(np.int64) for _, w in rows]
+        for ids, flat, sizes in batches_of(batches):
+            p, seen, best = Passages(flat, sizes), [], []
+            for s in range(0, len(p.owner), ROWS):
+                e = min(s + ROWS, len(p.owner))
+                cosine = latent(p.counts(s, e)) @ target.T
+                r, c = np.nonzero(cosine >= NEAR)
+                seen.append(p.owner[r + s] * len(rows) + owner[c])
+                best.append(cosine[r, c])
+            pairs, at = np.unique(np.concatenate(seen), return_inverse=True)
+            top = np.zeros(len(pairs), np.float32)
+            np.maximum.at(top, at, np.concatenate(best))
+            ends, out, last = np.cumsum(sizes), [], -1
+            for pair, cosine in zip(pairs.tolist(), top.tolist()):
+                d, k = divmod(pair, len(rows))
+                if d != last:
+                    last, doc = d, flat[ends[d] - sizes[d] : ends[d]].astype(np.int64)
+                bag = float(np.isin(texts[k], doc).mean())
+                if bag >= LEAST_BAG:
+                    out.append((d, k, cosine, held_share(doc, texts[k]), held_share(doc, texts[k][-ANSWER:]) if bag >= BAG else 0.0, bag))
+            if out:
+                d, k, *figures = zip(*out)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(d)), pa.array([rows[i][0] for i in k]), *[pa.array(f, pa.float64()) for f in figures]], names=["doc_id", "item_id", "cosine", "held", "answer", "bag"])
+
+    return words.mapInArrow(search, f"doc_id {kind}, item_id {item_kind}, cosine double, held double, answer double, bag double")
+
+
+def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, cosine, held, answer, bag): documents near an item, the share of its words held in order, of its end's words in order, of its words in any order."""
+    words = word_table(docs, "doc_id", "text")
+    idf, basis = fit(words)
+    kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
+    found = reduce(DataFrame.unionAll, [_search(words, block, idf, basis, kind, item_kind) for block in item_blocks(items)])
+    return found.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("cosine", "held", "answer", "bag")])
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, held): the documents that hold an item for a good part, and the share of its words held."""
-    listed = items.where(F.col("item_id").isNotNull() & (F.trim("item_text") != "")).select("item_id", "item_text").distinct()
-    rows = [tuple(r) for r in listed.limit(MOST_ITEMS + 1).collect()]
-    if len(rows) > MOST_ITEMS:
-        raise ValueError(f"more than {MOST_ITEMS} items")
-    rows = sorted((i, words_of(t)) for i, t in rows)
-    rows = [(i, w) for i, w in rows if w]
-    idf, basis = fit(docs)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    item_kind = items.schema["item_id"].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast((idf, basis, rows))
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        idf, basis, rows = sent.value
-        h, ids = Hasher(), {}
-        item_words = [np.array([ids.setdefault(x, len(ids)) for x in w], np.int64) for _, w in rows]
+    return candidates(docs, items).where(F.col("held") >= HELD).select("doc_id", "item_id", "held")
 
-        def latent(parts: list[np.ndarray]) -> np.ndarray:
-            v = tfidf(parts, idf) @ basis
-            return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
-        # an item longer than a passage is also looked for by its parts
-        item_parts, owner = [], []
-        for k, (_, w) in enumerate(rows):
-            x = h(w)
-            own = [x] + (passages(x, STEP) if len(x) > 2 * PASSAGE else [])
-            item_parts += own
-            owner += [k] * len(own)
-        bag = np.zeros((FEATURES, len(rows)), np.float32)  # uses of each feature by each item
-        for k, (_, w) in enumerate(rows):
-            np.add.at(bag[:, k], h(w), 1.0)
-        sizes = np.maximum(bag.sum(0), 1.0)
-        target, owner = (latent(item_parts) if rows else None), np.array(owner, np.int64)
-        for b in batches:
-            out, held, of = [], [], []
-
-            def flush():
-                nonlocal held, of
-                if not held:
-                    return
-                of = np.array(of, np.int64)
-                seen = set()
-                for s in range(0, len(held), 512):
-                    r, c = np.nonzero(latent(held[s : s + 512]) @ target.T >= NEAR)
-                    seen.update(zip(of[r + s], owner[c]))
-                bags = {d: np.unique(h(texts[d])) for d in {d for d, _ in seen}}
-                has = {}
-                for d, f in bags.items():
-                    has[d] = bag[f].sum(0) / sizes >= BAG
-                seen = sorted((d, k) for d, k in seen if has[d][k])
-                last, doc_words = None, None
-                for d, k in seen:
-                    if d != last:
-                        last, doc_words = d, np.array([ids.get(x, -1) for x in texts[d]], np.int64)
-                    share = held_share(doc_words, item_words[k])
-                    if share >= HELD:
-                        out.append((b["doc_id"].iloc[d], rows[k][0], share))
-                held, of = [], []
-
-            texts = {}
-            for d, t in enumerate(b["text"]):
-                w = words_of(t)
-                if w and rows:
-                    texts[d] = w
-                    parts = passages(h(w), STEP)
-                    held += parts
-                    of += [d] * len(parts)
-                    if len(held) >= 512:
-                        flush()
-                        texts = {}
-            flush()
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "held"])
-
-    found = docs.where(F.col("doc_id").isNotNull() & (F.trim("text") != "")).select("doc_id", "text").mapInPandas(search, f"doc_id {kind}, item_id {item_kind}, held double")
-    return found.groupBy("doc_id", "item_id").agg(F.max("held").alias("held"))
+def paraphrased(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, cosine): the documents that hold an item's answer and most of its words, but not in its order."""
+    c = candidates(docs, items)
+    return c.where((F.col("held") < HELD) & (F.col("answer") >= ANSWERED) & (F.col("bag") >= BAG)).select("doc_id", "item_id", "cosine")
 
 
 def leaked_items(found: DataFrame, items: DataFrame) -> DataFrame:

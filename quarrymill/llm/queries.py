@@ -66,6 +66,10 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(p8_found(spark, d), table(spark, d, "eval_items"))
 
 
+def p8_paraphrased(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.paraphrased(spread(table(spark, d, "documents")), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(spread(table(spark, d, "documents")), table(spark, d, "mix_targets"))[0]
 
@@ -88,7 +92,7 @@ QUERIES = {
     "p3_found": p3_found,
     "p5_found": p5_found, "p5_pairs": p5_pairs,
     "p7_found": p7_found,
-    "p8_found": p8_found, "p8_items": p8_items,
+    "p8_found": p8_found, "p8_items": p8_items, "p8_paraphrased": p8_paraphrased,
     "p9_mix": p9_mix, "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_measures": p10_measures,
 }

@@ -336,6 +336,27 @@ def test_leaks_against_planted_cases(spark, rows):
     assert leaks.leaks(df.limit(0), it).count() == 0 and leaks.leaks(df, it.limit(0)).count() == 0
 
 
+def test_items_beyond_a_block_are_searched_too(spark, rows, monkeypatch):
+    r = random.Random(6)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    items = [[r.choice(vocabulary) for _ in range(70)] for _ in range(9)]
+    docs = [(i, " ".join([r.choice(vocabulary) for _ in range(90)] + w[5:60] + [r.choice(vocabulary) for _ in range(90)])) for i, w in enumerate(items)]
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, item_text string")
+    monkeypatch.setattr(leaks, "ITEMS", 2)
+    assert len(leaks.item_blocks(it)) == 5
+    assert rows(leaks.leaks(df, it).select("doc_id", "item_id")) == [(i, i) for i in range(9)]
+
+
+def test_paraphrases_show_by_their_answer(spark, rows):
+    r = random.Random(7)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    item, other = ([r.choice(vocabulary) for _ in range(60)] for _ in range(2))
+    told = [w for i in range(0, 48, 3) for w in reversed(item[i : i + 3])] + item[48:]  # other order, same answer
+    docs = [(1, " ".join(told)), (2, " ".join(item)), (3, " ".join(told[:48] + other[48:])), (4, " ".join(other))]
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, item_text string")
+    assert [x[:2] for x in rows(leaks.paraphrased(df, it))] == [(1, 1)] and [x[:2] for x in rows(leaks.leaks(df, it))] == [(2, 1)]
+
+
 def test_held_share_of_one_run():
     r = random.Random(8)
     for _ in range(30):

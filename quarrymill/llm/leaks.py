@@ -3,7 +3,7 @@
 Latent semantic retrieval. Texts are cut into words once; their 32-bit hashes are kept as a table, and all later steps read that. Words are hashed to `FEATURES` columns,
 and passages of `PASSAGE` words, each half overlapping the next, are weighted by TF-IDF over all passages. A distributed randomised SVD (each task multiplies its
 passages into a sketch, the sketches are added, the driver orthonormalises one matrix of fixed size) gives a basis; passages are
-compared in it with the passages of the items by cosine, and a document with a passage of at least `NEAR` is a candidate for the item. The items are a stated
+compared in it with the passages of the items by cosine, and a document with a passage of at least `NEAR` that has some of the item's pairs of neighbours is a candidate for the item. The items are a stated
 query set against all passages, in blocks of `ITEMS`. A candidate is then checked as a whole: words common to both are kept where they lie in dense runs
 (at most two of ten neighbours altered), the longest common subsequence over them is taken, and the item's share that it holds decides.
 The answer check looks for paraphrases: candidates that don't hold the item in its order, but most of its words in any order and the words of its end, where the answer stands, in order (`paraphrased`).
@@ -38,15 +38,15 @@ PASSAGE, STEP = 60, 30
 NEAR = 0.45
 #: Words of a run's window, and how many of them must agree.
 RUN, AGREE = 10, 8
-#: Share of an item's words, in any order, without which a document can't hold HELD of them (altered words inside of runs count there).
-LEAST_BAG = 0.38
+#: Share of an item's pairs of neighbours without which a document can't hold HELD of its words: eight of ten words in a run leave five of nine pairs whole.
+PAIRS = 0.22
 #: Share of the item's words that a leak holds; a half, less the words lost at the ends of runs.
 HELD = 0.48
 #: Words of an item's end that hold its answer; share of them, and of all its words in any order, that a paraphrase has.
 ANSWER, ANSWERED, BAG = 12, 0.9, 0.6
 #: Items that are searched at a time, and sent to the tasks.
 ITEMS = 20_000
-BLOCKS, ROWS = 16, 1024
+BLOCKS, ROWS = 16, 256
 
 _MARKUP = re.compile(r"<[^<>]{0,2000}>")
 _HYPHEN = re.compile(r"(\w)[-­]\s*\n[\s>*#|]*(\w)")
@@ -92,6 +92,8 @@ class Passages:
         self.place = np.arange(len(self.owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         within = np.arange(len(flat)) - np.repeat(starts, sizes)
         self.block = np.repeat(np.cumsum(blocks) - blocks, sizes) + within // STEP
+        #: a last block that isn't the only one lies within the passage before
+        self.own = (self.place == 0) | (self.place < np.repeat(blocks, blocks) - 1)
         self.feature = (flat.view(np.uint32) % FEATURES).astype(np.int64)
 
     def counts(self, s: int, e: int) -> np.ndarray:
@@ -233,7 +235,7 @@ def item_blocks(items: DataFrame) -> list[list[tuple]]:
     return [listed.where(F.pmod(F.xxhash64("id"), F.lit(n)) == k) for k in range(n)]
 
 
-def _search(words: DataFrame, listed: DataFrame, idf: np.ndarray, basis: np.ndarray, kind: str, item_kind: str) -> DataFrame:
+def _search(words: DataFrame, listed: DataFrame, idf: np.ndarray, basis: np.ndarray, kind: str, item_kind: str, answers: bool) -> DataFrame:
     rows = sorted(((r["id"], np.array(r["words"], np.int32)) for r in listed.collect()), key=lambda r: (r[0], r[1].tobytes()))
     sent = words.sparkSession.sparkContext.broadcast((idf, basis, rows))
     types = words.schema["id"].dataType.simpleString()
@@ -247,33 +249,37 @@ def _search(words: DataFrame, listed: DataFrame, idf: np.ndarray, basis: np.ndar
             v = weighted(counts, idf) @ basis
             return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
-        # an item is looked for as a whole and by its passages
-        flat, sizes = np.concatenate([w for _, w in rows]), np.array([len(w) for _, w in rows])
-        p = Passages(flat, sizes)
-        whole = np.zeros((len(rows), FEATURES), np.float32)
-        np.add.at(whole, (p.owner[p.block], p.feature), np.float32(1))
-        target = np.concatenate([latent(whole), *[latent(p.counts(s, min(s + ROWS, len(p.owner)))) for s in range(0, len(p.owner), ROWS)]])
-        owner = np.r_[np.arange(len(rows)), p.owner]
-        texts = [w.astype(np.int64) for _, w in rows]
-        for ids, flat, sizes in batches_of(batches):
-            p, seen, best = Passages(flat, sizes), [], []
+        def passages(p: Passages) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            """(text number, latent vector) of the passages, in parts."""
             for s in range(0, len(p.owner), ROWS):
                 e = min(s + ROWS, len(p.owner))
-                cosine = latent(p.counts(s, e)) @ target.T
+                own = p.own[s:e]
+                yield p.owner[s:e][own], latent(p.counts(s, e)[own])
+
+        owner, target = (np.concatenate(x) for x in zip(*passages(Passages(np.concatenate([w for _, w in rows]), np.array([len(w) for _, w in rows])))))
+        pairs_of = lambda w: set((w[:-1] * 1_000_003 ^ w[1:]).tolist())
+        texts = [w.astype(np.int64) for _, w in rows]
+        words_in, pairs_in = [set(t.tolist()) for t in texts], [pairs_of(t) for t in texts]
+        for ids, flat, sizes in batches_of(batches):
+            seen, best = [], []
+            for d, v in passages(Passages(flat, sizes)):
+                cosine = v @ target.T
                 r, c = np.nonzero(cosine >= NEAR)
-                seen.append(p.owner[r + s] * len(rows) + owner[c])
+                seen.append(d[r] * len(rows) + owner[c])
                 best.append(cosine[r, c])
-            pairs, at = np.unique(np.concatenate(seen), return_inverse=True)
-            top = np.zeros(len(pairs), np.float32)
+            found, at = np.unique(np.concatenate(seen), return_inverse=True)
+            top = np.zeros(len(found), np.float32)
             np.maximum.at(top, at, np.concatenate(best))
             ends, out, last = np.cumsum(sizes), [], -1
-            for pair, cosine in zip(pairs.tolist(), top.tolist()):
+            for pair, cosine in zip(found.tolist(), top.tolist()):
                 d, k = divmod(pair, len(rows))
                 if d != last:
                     last, doc = d, flat[ends[d] - sizes[d] : ends[d]].astype(np.int64)
-                bag = float(np.isin(texts[k], doc).mean())
-                if bag >= LEAST_BAG:
-                    out.append((d, k, cosine, held_share(doc, texts[k]), held_share(doc, texts[k][-ANSWER:]) if bag >= BAG else 0.0, bag))
+                    words, pairs = set(doc.tolist()), pairs_of(doc)
+                ordered = len(pairs & pairs_in[k]) >= PAIRS * len(pairs_in[k])
+                bag = len(words & words_in[k]) / len(words_in[k]) if answers else 0.0
+                if ordered or bag >= BAG:
+                    out.append((d, k, cosine, held_share(doc, texts[k]) if ordered else 0.0, held_share(doc, texts[k][-ANSWER:]) if bag >= BAG else 0.0, bag))
             if out:
                 d, k, *figures = zip(*out)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(d)), pa.array([rows[i][0] for i in k]), *[pa.array(f, pa.float64()) for f in figures]], names=["doc_id", "item_id", "cosine", "held", "answer", "bag"])
@@ -281,12 +287,12 @@ def _search(words: DataFrame, listed: DataFrame, idf: np.ndarray, basis: np.ndar
     return words.mapInArrow(search, f"doc_id {kind}, item_id {item_kind}, cosine double, held double, answer double, bag double")
 
 
-def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, cosine, held, answer, bag): documents near an item, the share of its words held in order, of its end's words in order, of its words in any order."""
+def candidates(docs: DataFrame, items: DataFrame, answers: bool = False) -> DataFrame:
+    """(doc_id, item_id, cosine, held, answer, bag): documents near an item, the share of its words held in order, of its end's words in order, of its words in any order (these two only with `answers`)."""
     words = word_table(docs, "doc_id", "text")
     idf, basis = fit(words)
     kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
-    found = reduce(DataFrame.unionAll, [_search(words, block, idf, basis, kind, item_kind) for block in item_blocks(items)])
+    found = reduce(DataFrame.unionAll, [_search(words, block, idf, basis, kind, item_kind, answers) for block in item_blocks(items)])
     return found.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("cosine", "held", "answer", "bag")])
 
 
@@ -297,7 +303,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def paraphrased(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, cosine): the documents that hold an item's answer and most of its words, but not in its order."""
-    c = candidates(docs, items)
+    c = candidates(docs, items, answers=True)
     return c.where((F.col("held") < HELD) & (F.col("answer") >= ANSWERED) & (F.col("bag") >= BAG)).select("doc_id", "item_id", "cosine")
 
 

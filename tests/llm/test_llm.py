@@ -239,6 +239,16 @@ def test_pairs_against_brute_force(spark, data):
         assert abs(r["odds_ratio"] - (c + 0.5) * (n - ca - cb + c + 0.5) / ((ca - c + 0.5) * (cb - c + 0.5))) < 1e-9
 
 
+def test_more_items_than_are_sent_to_the_tasks_are_joined(spark, monkeypatch):
+    r = random.Random(2)
+    df = spark.createDataFrame([(b, f"i{r.randrange(60):02d}") for b in range(80) for _ in range(r.randrange(9))], "job_id long, skill string")
+    want = {tuple(x) for x in cooccurrence.pairs(df, "job_id", "skill").collect()}
+    monkeypatch.setattr(cooccurrence, "BROADCAST_ROWS", 5)
+    monkeypatch.setattr(cooccurrence, "BLOCK", 3)
+    monkeypatch.setattr(cooccurrence, "RUN", 10)
+    assert {tuple(x) for x in cooccurrence.pairs(df, "job_id", "skill").collect()} == want
+
+
 def test_wide_baskets_and_pruning(spark):
     wide = [("big", f"i{k:03d}") for k in range(600)] + [(f"s{k}", x) for k in range(30) for x in ("hot", f"i{k % 3:03d}")] + [(f"q{k}", x) for k in range(5) for x in ("r1", "r2")]
     df = spark.createDataFrame(wide, "job_id string, skill string")

@@ -14,16 +14,27 @@ ERROR = 0.01
 POINTS = {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
 
 
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.select(*columns, "n", *[F.round(x, 2).alias(x) for x in POINTS])
+
+
+def _days(spark: SparkSession, d: str) -> DataFrame:
+    return percentiles.sketch(table(spark, d, "jobs_clean"), "salary_mid_annual", ["search_role", "state_code", "ingest_date"], ERROR)
+
+
 def p1_salary_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles for every day, role and state, for every role and state, and for each role alone, from sketches a day that are merged."""
+    """Percentiles for every role and state, and for each role alone, from the sketches of the days, merged."""
     by = ["search_role", "state_code"]
-    days = percentiles.sketch(table(spark, d, "jobs_clean"), "salary_mid_annual", [*by, "ingest_date"], ERROR)
-    both = percentiles.merge(days, by)
-    daily = percentiles.percentiles(days, [*by, "ingest_date"], POINTS, ERROR).withColumn("grain", F.lit("day_role_state"))
+    both = percentiles.merge(_days(spark, d), by)
     cells = percentiles.percentiles(both, by, POINTS, ERROR).withColumn("grain", F.lit("role_state"))
     roles = percentiles.percentiles(percentiles.merge(both, by[:1]), by[:1], POINTS, ERROR).withColumn("state_code", F.lit(None).cast("string")).withColumn("grain", F.lit("role"))
-    out = daily.unionByName(cells, allowMissingColumns=True).unionByName(roles, allowMissingColumns=True)
-    return out.select("grain", F.col("ingest_date").cast("string").alias("ingest_date"), *by, "n", *[F.round(x, 2).alias(x) for x in POINTS])
+    return _rounded(cells.unionByName(roles), "grain", *by)
+
+
+def p1_daily_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """The same for every day by itself."""
+    by = ["search_role", "state_code", "ingest_date"]
+    return _rounded(percentiles.percentiles(_days(spark, d), by, POINTS, ERROR).withColumn("ingest_date", F.col("ingest_date").cast("string")), *by)
 
 
 def p1_daily_sketch(spark: SparkSession, d: str) -> DataFrame:
@@ -87,7 +98,7 @@ def p10_measures(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_salary_percentiles": p1_salary_percentiles, "p1_daily_sketch": p1_daily_sketch,
+    "p1_salary_percentiles": p1_salary_percentiles, "p1_daily_percentiles": p1_daily_percentiles, "p1_daily_sketch": p1_daily_sketch,
     "p2_found": p2_found, "p2_groups": p2_groups,
     "p3_found": p3_found,
     "p5_found": p5_found, "p5_pairs": p5_pairs,
@@ -110,13 +121,13 @@ def _disc(name: str, p: float) -> str:
     return f"list_extract(bs, CAST(floor({p} * (n - 1)) AS BIGINT) + 1) AS {name}"
 
 
-_P1 = f"""
-WITH v AS (SELECT CAST(ingest_date AS VARCHAR) AS ingest_date, search_role, state_code, {_BUCKET} AS b {_VALUES}),
-g AS (SELECT 'role_state' AS grain, NULL AS ingest_date, search_role, state_code, list_sort(list(b)) AS bs, count(*) AS n FROM v GROUP BY search_role, state_code
-  UNION ALL SELECT 'day_role_state', ingest_date, search_role, state_code, list_sort(list(b)), count(*) FROM v GROUP BY ingest_date, search_role, state_code
-  UNION ALL SELECT 'role', NULL, search_role, NULL, list_sort(list(b)), count(*) FROM v GROUP BY search_role),
-q AS (SELECT grain, ingest_date, search_role, state_code, n, {", ".join(_disc(k, p) for k, p in POINTS.items())} FROM g)
-SELECT grain, ingest_date, search_role, state_code, n, {", ".join(f"{_MIDDLE.replace('(b)', f'({k})')} AS {k}" for k in POINTS)} FROM q"""
+def _p1(grains: list[tuple[str, list[str]]], columns: str) -> str:
+    keys = ("search_role", "state_code", "ingest_date")
+    g = " UNION ALL ".join(f"SELECT '{name}' AS grain, {', '.join(c if c in by else f'NULL AS {c}' for c in keys)}, list_sort(list(b)) AS bs, count(*) AS n FROM v GROUP BY {', '.join(by)}" for name, by in grains)
+    return f"""WITH v AS (SELECT CAST(ingest_date AS VARCHAR) AS ingest_date, search_role, state_code, {_BUCKET} AS b {_VALUES}), g AS ({g}),
+q AS (SELECT grain, search_role, state_code, ingest_date, n, {", ".join(_disc(k, p) for k, p in POINTS.items())} FROM g)
+SELECT {columns}, n, {", ".join(f"{_MIDDLE.replace('(b)', f'({k})')} AS {k}" for k in POINTS)} FROM q"""
+
 
 _P5 = """
 WITH b AS (SELECT DISTINCT job_id, skill FROM job_skills WHERE job_id IS NOT NULL AND trim(skill) <> ''),
@@ -127,7 +138,8 @@ r AS (SELECT p.*, ca.c AS n_a, cb.c AS n_b, n.n FROM p JOIN c ca ON ca.skill = s
 """
 
 ORACLES = {
-    "p1_salary_percentiles": _P1,
+    "p1_salary_percentiles": _p1([("role_state", ["search_role", "state_code"]), ("role", ["search_role"])], "grain, search_role, state_code"),
+    "p1_daily_percentiles": _p1([("day", ["search_role", "state_code", "ingest_date"])], "search_role, state_code, ingest_date"),
     "p1_daily_sketch": f"SELECT CAST(ingest_date AS VARCHAR) AS ingest_date, search_role, state_code, {_BUCKET} AS bucket, count(*) AS n {_VALUES} GROUP BY 1, 2, 3, 4",
     "p5_found": _P5 + "SELECT skill_a, skill_b FROM r WHERE n_both >= 5 AND n_both >= 0.003 * n AND n_both * n >= 3 * n_a * n_b",
     "p5_pairs": _P5 + """SELECT skill_a, skill_b, n_both, n_a, n_b, round(n_both * 1e0 * n / n_a / n_b, 6) AS lift,

@@ -5,7 +5,8 @@ joined to the reference vocabulary by edit distance (a deletion-neighbourhood in
 abbreviation or initialism; the corrected tokens are combined by soft TF-IDF to rank complete entries. A value whose best entry
 stays under the threshold is reported as UNMATCHED. All work runs over distinct strings; results are joined back to all rows.
 
-The vocabulary is the reference list's; it is sent to the tasks only after its rows were counted (`MOST_ENTRIES`), else refused.
+The vocabulary with its keys (spellings, initials, prefixes, deletions) is a table, and so is an inverted list from token to entries; tokens and values are joined to
+them, so the list may have any length. An entry stands in the inverted list under its rarest tokens only: one that scores `LEAST` has hit one of those.
 
 Defined cases. Null and blank values, and values that are letter for letter a label of their kind, give no row. A value with
 nothing left besides noise is UNMATCHED. Equal scores: the smaller key. A job loaded several times counts once, with its latest
@@ -15,17 +16,17 @@ _loaded_at (ties: the greater value). Null ids give no row. An empty list makes
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.operators.joins import lookup, lookup_counted
-from quarrymill.session import cut
+from quarrymill.session import broadcast_if_small, cut
 
-MOST_ENTRIES = 20_000
+#: States whose codes the pattern of places in titles may hold; more are refused.
+MOST_STATES = 20_000
 #: Least soft TF-IDF cosine of a match.
 LEAST = 0.84
 #: Words of level, work mode and terms that say nothing about the occupation.
@@ -36,7 +37,7 @@ TITLE_NOISE = frozenset(
 ) - {"site", "full", "time", "part"}
 STATE_NOISE = frozenset("us usa u s a united states state of america the commonwealth".split())
 #: Usual short forms that no rule of abbreviation gives.
-TITLE_SYNONYMS = {"swe": "software engineer", "sde": "software engineer", "dba": "database administrator", "dwh": "data warehouse", "db": "database", "sw": "software", "fe": "frontend", "be": "backend", "fs": "full stack", "statistcn": "statistician"}
+TITLE_SYNONYMS = {"swe": "software engineer", "sde": "software engineer", "dba": "database administrator", "dwh": "data warehouse", "db": "database", "sw": "software", "fe": "frontend", "be": "backend", "fs": "full stack"}
 #: Traditional short forms of state names.
 STATE_SYNONYMS = {
     "ala": "alabama", "ariz": "arizona", "ark": "arkansas", "cal": "california", "cali": "california", "calif": "california", "colo": "colorado",
@@ -78,84 +79,122 @@ def edits_for(length: int) -> int:
     return 0 if length < 3 else 1 if length < 8 else 2
 
 
-class Vocabulary:
-    """What a token can stand for: runs of reference tokens, by spelling, joined spelling, abbreviation, initialism or synonym."""
-
-    def __init__(self, entries: list[tuple[str, str]], synonyms: dict[str, str], key_is_name: bool = False, noise: frozenset[str] = frozenset()):
-        self.entries = [(key, tuple(t for t in tokens_of(label) if t not in noise)) for key, label in entries]
-        docs = defaultdict(int)
-        for _, ts in self.entries:
-            for t in set(ts):
-                docs[t] += 1
-        n = len(self.entries)
-        self.idf = {t: 1 + math.log((n + 1) / (c + 0.5)) for t, c in docs.items()}
-        self.rare = max(self.idf.values(), default=1.0)
-        self.items: dict[str, set[tuple[str, ...]]] = defaultdict(set)
-        self.exact_only: dict[str, set[tuple[str, ...]]] = defaultdict(set)
-        for key, ts in self.entries:
-            for i in range(len(ts)):
-                for j in range(i + 1, len(ts) + 1):
-                    self.items["".join(ts[i:j])].add(ts[i:j])
-                    if j - i > 1:
-                        self.exact_only["".join(t[0] for t in ts[i:j])].add(ts[i:j])
-            if key_is_name:
-                self.exact_only[key.lower()].add(ts)
-        for s, long in synonyms.items():
-            self.exact_only[s].add(tuple(tokens_of(long)))
-        self.near: dict[str, list[str]] = defaultdict(list)
-        for s in self.items:
-            for d in deletions(s, edits_for(len(s))):
-                self.near[d].append(s)
-
-    def repair(self, token: str) -> list[tuple[list[str], float]]:
-        """[(reference tokens, similarity)]: all readings of the token."""
-        got: dict[tuple[str, ...], float] = {}
-        for run in self.items.get(token, ()):
-            got[run] = 1.0
-        for run in self.exact_only.get(token, ()):
-            got[run] = max(got.get(run, 0), 0.97)
-        if not got:
-            most = edits_for(len(token) + 1)
-            seen = {s for d in deletions(token, most) for s in self.near.get(d, ())}
-            for s in seen:
-                d = osa(token, s, most)
-                if d <= min(most, edits_for(max(len(s), len(token)))):
-                    for run in self.items[s]:
-                        got[run] = max(got.get(run, 0), 1 - 0.03 * d)
-            if len(token) == 1:  # "N. Carolina": one letter stands only for part of a longer name
-                for s in {t for _, ts in self.entries if len(ts) > 1 for t in ts if t[0] == token}:
-                    got[(s,)] = 0.93
-            if len(token) >= 2:
-                for s in self.idf:
-                    if s[0] == token[0] and len(token) <= len(s) - 2 and (s.startswith(token) or len(token) >= 3 and subsequence(token, s)):
-                        got[(s,)] = max(got.get((s,), 0), 0.95 if s.startswith(token) else 0.92)
-        return [(list(r), v) for r, v in got.items()]
-
-    def rank(self, tokens: list[str], readings: dict[str, list[tuple[list[str], float]]]) -> tuple[str | None, float]:
-        """The best entry of the tokens in their order; adjacent tokens may also be read as one ("front end")."""
-        best, tokens = (0.0, None), list(dict.fromkeys(tokens))  # a repeated token says nothing new
-        for units in {tuple(tokens), *merged(tokens, readings)}:
-            wanted = {t for u in units for run, _ in readings.get(u, ()) for t in run}
-            for key, ts in self.entries:
-                if not wanted.intersection(ts):
-                    continue
-                hit: dict[str, float] = {}
-                loose = 0
-                for u in units:
-                    fits = [(sum(v for _ in run), run, v) for run, v in readings.get(u, ()) if all(t in ts for t in run)]
-                    fits = [f for f in fits if any(t not in hit for t in f[1])]
-                    if fits:
-                        _, run, v = max(fits)
-                        for t in run:
-                            hit[t] = max(hit.get(t, 0), v)
-                    else:
-                        loose += 1
-                own = math.sqrt(sum(self.idf[t] ** 2 for t in set(ts)))
-                typed = math.sqrt(sum(self.idf[t] ** 2 for t in hit) + loose * self.rare**2)
-                score = sum(v * self.idf[t] ** 2 for t, v in hit.items()) / (own * typed) if hit else 0.0
-                if score > best[0] + 1e-9 or score > best[0] - 1e-9 and best[1] is not None and key < best[1]:
-                    best = (max(score, best[0]), key)
-        return best[1], best[0]
+RUNS = "kind string, key string, word string, run array<string>"
+
+
+def vocabulary_keys(listed: DataFrame, synonyms: dict[str, str], key_is_name: bool, noise: frozenset[str]) -> DataFrame:
+    """(kind, key, word, run): what a token can stand for, a run of an entry's tokens, by the key under which it is looked up.
+
+    kind e: joined spelling; x: initials, key of the entry, or synonym; l: first letter of a part of a longer name; d: spelling with
+    characters left out; p: prefix of a token; s: first letter and two later letters of a token.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = set()
+            for key, label in zip(b["ref_key"], b["ref_label"]):
+                ts = tuple(t for t in tokens_of(label) if t not in noise)
+                if key_is_name:
+                    out.add(("x", key.lower(), "", ts))
+                for i in range(len(ts)):
+                    for j in range(i + 1, len(ts) + 1):
+                        word = "".join(ts[i:j])
+                        out.add(("e", word, word, ts[i:j]))
+                        out |= {("d", d, word, ts[i:j]) for d in deletions(word, edits_for(len(word)))}
+                        if j - i > 1:
+                            out.add(("x", "".join(t[0] for t in ts[i:j]), "", ts[i:j]))
+                for t in set(ts):
+                    if len(ts) > 1:
+                        out.add(("l", t[0], t, (t,)))
+                    out |= {("p", t[:n], t, (t,)) for n in range(2, len(t) - 1)}
+                    out |= {("s", t[0] + x + y, t, (t,)) for i, x in enumerate(t[1:], 1) for y in t[i + 1 :]}
+            yield pd.DataFrame([(k, key, w, list(r)) for k, key, w, r in sorted(out) if r], columns=["kind", "key", "word", "run"])
+
+    keys = listed.mapInPandas(run, RUNS)
+    if synonyms:
+        keys = keys.unionByName(listed.sparkSession.createDataFrame([("x", s, "", tokens_of(long)) for s, long in synonyms.items()], RUNS))
+    return cut(keys.distinct())
+
+
+def readings_of(tokens: DataFrame, keys: DataFrame) -> DataFrame:
+    """(token, readings): all readings (run, sim) of each token (token) that has any. Where the token is spelled out, only what it spells counts."""
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for t in b["token"]:
+                out += [("l", t, t)] if len(t) == 1 else [("p", t, t)]
+                out += [("s", t[:3], t)] if len(t) >= 3 else []
+                out += [("d", d, t) for d in deletions(t, edits_for(len(t) + 1))]
+            yield pd.DataFrame(out, columns=["kind", "key", "token"])
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sims = []
+            for kind, t, w in zip(b["kind"], b["token"], b["word"]):
+                if kind == "d":
+                    most = edits_for(len(t) + 1)
+                    d = osa(t, w, most)
+                    sims.append(1 - 0.03 * d if d <= min(most, edits_for(max(len(w), len(t)))) else 0.0)
+                elif kind == "l":
+                    sims.append(0.93)
+                else:
+                    sims.append(0.0 if len(t) > len(w) - 2 else 0.95 if kind == "p" else 0.92 if subsequence(t, w) else 0.0)
+            out = pd.DataFrame({"token": b["token"], "run": b["run"], "sim": sims})
+            yield out[out["sim"] > 0]
+
+    spelled = keys.where("kind in ('e', 'x')").select(F.col("key").alias("token"), "run", F.when(F.col("kind") == "e", 1.0).otherwise(0.97).alias("sim"))
+    exact = cut(tokens.join(spelled, "token"))
+    rest = tokens.join(exact.select("token").distinct(), "token", "left_anti")
+    met = rest.mapInPandas(keyed, "kind string, key string, token string").join(keys, ["kind", "key"]).select("kind", "token", "word", "run").distinct()
+    found = exact.unionByName(met.mapInPandas(near, "token string, run array<string>, sim double"))
+    best = found.groupBy("token", "run").agg(F.max("sim").alias("sim"))
+    return best.groupBy("token").agg(F.collect_list(F.struct("run", "sim")).alias("readings"))
+
+
+def inverted_list(listed: DataFrame, noise: frozenset[str]) -> tuple[DataFrame, float]:
+    """((token, ref_key, terms: token and weight), the greatest weight): each entry under its rarest tokens, those without which its score stays under LEAST."""
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [(key, t) for key, label in zip(b["ref_key"], b["ref_label"]) for t in sorted({t for t in tokens_of(label) if t not in noise})]
+            yield pd.DataFrame(out, columns=["ref_key", "token"])
+
+    n = listed.count()
+    terms = cut(listed.mapInPandas(split, "ref_key string, token string"))
+    idf = terms.groupBy("token").agg((1 + F.ln(F.lit(n + 1.0) / (F.count("*") + 0.5))).alias("idf"))
+    weighted = cut(terms.join(idf, "token"))
+    rare = weighted.agg(F.max("idf")).first()[0] or 1.0
+    mass = F.col("idf") * F.col("idf")
+    order = Window.partitionBy("ref_key").orderBy(F.desc("idf"), "token").rowsBetween(Window.unboundedPreceding, -1)
+    first = weighted.withColumn("before", F.coalesce(F.sum(mass).over(order), F.lit(0.0))).withColumn("all", F.sum(mass).over(Window.partitionBy("ref_key")))
+    first = first.where(F.col("before") <= (1 - LEAST * LEAST + 1e-9) * F.col("all")).select("token", "ref_key")
+    entries = weighted.groupBy("ref_key").agg(F.sort_array(F.collect_list(F.struct("token", "idf"))).alias("terms"))
+    return cut(first.join(entries, "ref_key")), rare
+
+
+def best_entry(tokens: list[str], readings: dict[str, list[tuple[list[str], float]]], entries: list[tuple[str, dict[str, float]]], rare: float) -> tuple[str | None, float]:
+    """The best of `entries` (key, weights of its tokens) for the tokens in their order; adjacent tokens may also be read as one ("front end")."""
+    best, tokens = (0.0, None), list(dict.fromkeys(tokens))  # a repeated token says nothing new
+    for units in {tuple(tokens), *merged(tokens, readings)}:
+        for key, idf in entries:
+            hit: dict[str, float] = {}
+            loose = 0
+            for u in units:
+                fits = [(sum(v for _ in run), run, v) for run, v in readings.get(u, ()) if all(t in idf for t in run)]
+                fits = [f for f in fits if any(t not in hit for t in f[1])]
+                if fits:
+                    _, run, v = max(fits)
+                    for t in run:
+                        hit[t] = max(hit.get(t, 0), v)
+                else:
+                    loose += 1
+            own = math.sqrt(sum(w**2 for w in idf.values()))
+            typed = math.sqrt(sum(idf[t] ** 2 for t in hit) + loose * rare**2)
+            score = sum(v * idf[t] ** 2 for t, v in hit.items()) / (own * typed) if hit else 0.0
+            if score > best[0] + 1e-9 or score > best[0] - 1e-9 and best[1] is not None and key < best[1]:
+                best = (max(score, best[0]), key)
+    return best[1], best[0]
 
 
 def subsequence(a: str, b: str) -> bool:
@@ -202,32 +241,22 @@ def state_core(c: Column) -> Column:
 
 def map_values(rows: DataFrame, reference: DataFrame, kind: str, core: Column, synonyms: dict[str, str], key_is_name: bool, noise: frozenset[str]) -> DataFrame:
     """(job_id, ref_kind, ref_key) of `rows` (job_id, value); `core` makes the array of tokens of `value`."""
-    listed = reference.where((F.col("ref_kind") == kind) & F.col("ref_key").isNotNull() & F.col("ref_label").isNotNull()).select("ref_key", "ref_label")
-    entries = [(r[0], r[1]) for r in listed.limit(MOST_ENTRIES + 1).collect()]
-    if len(entries) > MOST_ENTRIES:
-        raise ValueError(f"the reference list has more than {MOST_ENTRIES} entries")
-    entries.sort()
-
-    def repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = Vocabulary(entries, synonyms, key_is_name, noise)
-        for b in batches:
-            got = [v.repair(t) for t in b["token"]]
-            keep = [i for i, g in enumerate(got) if g]
-            if keep:
-                yield pd.DataFrame({"token": [b["token"].iloc[i] for i in keep], "readings": [[{"run": r, "sim": s} for r, s in got[i]] for i in keep]})
+    listed = cut(reference.where((F.col("ref_kind") == kind) & F.col("ref_key").isNotNull() & F.col("ref_label").isNotNull()).select("ref_key", "ref_label").distinct())
+    keys = vocabulary_keys(listed, synonyms, key_is_name, noise)
+    index, rare = inverted_list(listed, noise)
 
     def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = Vocabulary(entries, synonyms, key_is_name, noise)
         for b in batches:
-            keys = []
-            for tokens, found in zip(b["tokens"], b["found"]):
+            out = []
+            for tokens, found, entries in zip(b["tokens"], b["found"], b["entries"]):
                 readings = {f["token"]: [(list(r["run"]), r["sim"]) for r in f["readings"]] for f in found}
-                key, score = v.rank(list(tokens), readings)
-                keys.append(key if score >= LEAST else "UNMATCHED")
-            yield pd.DataFrame({"core": b["core"], "ref_key": keys})
+                near = sorted((e["ref_key"], {t["token"]: t["idf"] for t in e["terms"]}) for e in entries) if entries is not None else []
+                key, score = best_entry(list(tokens), readings, near, rare)
+                out.append(key if score >= LEAST else "UNMATCHED")
+            yield pd.DataFrame({"core": b["core"], "ref_key": out})
 
-    labels = [label for _, label in entries]
-    typed = rows.where((F.trim(F.regexp_replace("value", r"\s+", " ")) != "") & (~F.col("value").isin(*labels) if labels else F.lit(True)))
+    labels = broadcast_if_small(listed.select(F.col("ref_label").alias("value")).distinct())
+    typed = rows.where(F.trim(F.regexp_replace("value", r"\s+", " ")) != "").join(labels, "value", "left_anti")
     values = cut(typed.groupBy("value").agg(F.count("*").alias("n")).select("value", "n", F.array_join(core, " ").alias("core")))
     cores = values.select("core").distinct().select("core", F.split("core", " ").alias("tokens"))
 
@@ -236,10 +265,13 @@ def map_values(rows: DataFrame, reference: DataFrame, kind: str, core: Column, s
         return F.transform(at, lambda i: F.array_join(F.slice("tokens", i, n), ""))
 
     words = cores.select("core", "tokens", F.explode(F.array_distinct(F.concat("tokens", joins(2), joins(3)))).alias("token"))
-    repaired = words.select("token").where("token <> ''").distinct().mapInPandas(repair, "token string, readings array<struct<run array<string>, sim double>>")
-    found = lookup(words, cut(repaired), "token").where(F.col("readings").isNotNull())
-    per_core = found.groupBy("core").agg(F.first("tokens").alias("tokens"), F.collect_list(F.struct("token", "readings")).alias("found"))
-    ranked = per_core.mapInPandas(rank, "core string, ref_key string")
+    repaired = cut(readings_of(words.select("token").where("token <> ''").distinct(), keys))
+    found = cut(lookup(words, repaired, "token").where(F.col("readings").isNotNull()))
+    hits = found.select("core", F.explode(F.flatten(F.transform("readings", lambda r: r["run"]))).alias("token")).distinct()
+    near = hits.join(index, "token").select("core", "ref_key", "terms").distinct().groupBy("core").agg(F.collect_list(F.struct("ref_key", "terms")).alias("entries"))
+    per_core = found.groupBy("core").agg(F.first("tokens").alias("tokens"), F.collect_list(F.struct("token", "readings")).alias("found")).join(near, "core")
+    # few bytes but much work a row: a fixed number of partitions isn't joined into one
+    ranked = per_core.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(rank, "core string, ref_key string")
     known = values.join(ranked, "core", "left").select("value", "n", F.coalesce("ref_key", F.lit("UNMATCHED")).alias("ref_key"))
     return lookup_counted(typed, cut(known), "value").select("job_id", F.lit(kind).alias("ref_kind"), "ref_key")
 
@@ -248,9 +280,9 @@ def mapped(jobs: DataFrame, reference: DataFrame) -> DataFrame:
     """(job_id, ref_kind, ref_key) of the typed titles and states of all postings."""
     kept = jobs.where(F.col("job_id").isNotNull()).groupBy("job_id").agg(F.max(F.struct(F.col("_loaded_at").alias("at"), F.col("title"), F.col("state"))).alias("m")).select("job_id", "m.title", "m.state")
     kept = cut(kept)
-    places = sorted(r[0] for r in reference.where("ref_kind = 'state' and ref_key is not null").select("ref_key").distinct().limit(MOST_ENTRIES + 1).collect())
-    if len(places) > MOST_ENTRIES:
-        raise ValueError(f"the reference list has more than {MOST_ENTRIES} states")
+    places = sorted(r[0] for r in reference.where("ref_kind = 'state' and ref_key is not null").select("ref_key").distinct().limit(MOST_STATES + 1).collect())
+    if len(places) > MOST_STATES:
+        raise ValueError(f"the reference list has more than {MOST_STATES} states")
     titles = map_values(kept.select("job_id", F.col("title").alias("value")), reference, "title", title_core(F.col("value"), places), TITLE_SYNONYMS, False, TITLE_NOISE)
     states = map_values(kept.select("job_id", F.col("state").alias("value")), reference, "state", state_core(F.col("value")), STATE_SYNONYMS, True, STATE_NOISE)
     return titles.unionByName(states)

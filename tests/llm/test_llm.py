@@ -285,6 +285,15 @@ def test_canonical_repeats_and_empty(spark, rows):
     assert rows(canonical.mapped(jobs, ref.limit(0))) == [("a", "title", "UNMATCHED")]
 
 
+def test_lists_of_any_length_are_joined(spark, rows):
+    tokens = [a + b + c + d for a in "bdfgklmnpr" for b in "aeiou" for c in "bdfgklmnpr" for d in "aeo"]
+    labels = sorted({f"{tokens[i % len(tokens)]} {tokens[(i * 7 + i // len(tokens)) % len(tokens)]}" for i in range(24_000)})
+    assert len(labels) > 20_000
+    ref = spark.createDataFrame([("title", f"T{i}", label) for i, label in enumerate(labels)], "ref_kind string, ref_key string, ref_label string")
+    jobs = spark.createDataFrame([("j", labels[777].upper(), None, T0), ("k", "quixotic zzz", None, T0), ("l", labels[5], None, T0)], "job_id string, title string, state string, _loaded_at timestamp")
+    assert rows(canonical.mapped(jobs, ref)) == [("j", "title", "T777"), ("k", "title", "UNMATCHED")]
+
+
 def test_titles_lose_places_of_long_state_lists(spark, rows):
     codes = [f"Q{a}{b}{c}" for a in "ABCDEFGHIJKLM" for b in "ABCDEFGHIJ" for c in "ABCDEFGHIJ"]
     ref = spark.createDataFrame([("title", "T1", "Data Engineer")] + [("state", c, f"Land of {c}") for c in codes], "ref_kind string, ref_key string, ref_label string").coalesce(1)

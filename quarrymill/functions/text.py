@@ -66,3 +66,25 @@ def percent(c: Column) -> Column:
 def axis_bounds(low: Column, high: Column, step: int = 25_000) -> list[Column]:
     """Bounds of a chart that fall on multiples of `step`."""
     return [(F.floor(low / step) * step).cast("double").alias("axis_min"), (F.ceil(high / step) * step).cast("double").alias("axis_max")]
+
+
+def signed_money(c: Column) -> Column:
+    """As `money`, with + before what is above zero."""
+    return F.when(F.abs(c) < 500, F.lit("$0")).otherwise(F.concat(F.when(c > 0, "+").otherwise(""), money(c)))
+
+
+def age_in_days(at: Column, now: Column) -> Column:
+    """Whole UTC days between two times."""
+    from quarrymill.functions.postings import utc_day
+
+    return F.datediff(utc_day(now), utc_day(at))
+
+
+def scale_bounds(low: Column, high: Column, step: int = 10_000) -> list[Column]:
+    """Bounds of a scale: a little beyond both ends, on multiples of `step`."""
+    return [(F.floor(low * 0.92 / step) * step).cast("double").alias("scale_min"), (F.ceil(high * 1.05 / step) * step).cast("double").alias("scale_max")]
+
+
+def share_bound(most: Column) -> Column:
+    """The end of an axis of shares: the next tenth."""
+    return F.ceil(F.round(most * 10, 9)) / 10

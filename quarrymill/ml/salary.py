@@ -8,7 +8,7 @@ from multiprocessing.pool import ThreadPool
 from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.operators.relational import group_fold
@@ -77,13 +77,60 @@ def tree_count(data: DataFrame, trees: int, seed: int) -> int:
         grown = min(trees, 2 * grown)
 
 
+def prepared(rows: DataFrame, spec: dict) -> DataFrame:
+    """(features, label: log pay, validation: a fifth of the employers)."""
+    data = assembled(rows, spec).withColumns({"label": F.log("salary"), "validation": group_fold(F.concat_ws("#", F.lit("v"), "employer")) == 0})
+    return cut(data.select("features", "label", "validation"))
+
+
 def fit(rows: DataFrame, spec: dict, trees: int = MOST_TREES, seed: int = 42) -> GBTRegressionModel:
     """Boosted trees on log pay; their number is chosen by a fifth of the employers, and the model is then fitted on all rows."""
-    data = assembled(rows, spec).withColumns({"label": F.log("salary"), "validation": group_fold(F.concat_ws("#", F.lit("v"), "employer")) == 0})
-    data = cut(data.select("features", "label", "validation"))
+    data = prepared(rows, spec)
     return trained(data, tree_count(data, trees, seed), seed)
 
 
+def fit_final(rows: DataFrame, trees: int = MOST_TREES, seed: int = 42) -> tuple[GBTRegressionModel, dict]:
+    """(model of all rows, its spec): as many trees as the median of the folds' numbers."""
+    spec, folds = fit_spec(rows), rows.withColumn("fold", group_fold(F.col("employer"), FOLDS))
+    counts = sorted(tree_count(prepared(folds.where(F.col("fold") != k), spec), trees, seed) for k in range(FOLDS))
+    return trained(prepared(rows, spec), counts[len(counts) // 2], seed), spec
+
+
+def card(cv: DataFrame) -> dict:
+    """What is to be known of a model: rows, errors of model and role medians, by role, and whether the model is to be used."""
+    whole = use_model(cv).first()
+    roles = cv.groupBy("role").agg(F.avg(F.abs(F.col("predicted") - F.col("salary"))).alias("m"), F.avg(F.abs(F.col("role_median") - F.col("salary"))).alias("r")).collect()
+    return {"n": whole["n"], "mae_model": whole["mae_model"], "mae_role_median": whole["mae_role_median"], "use_model": whole["use_model"], "roles": {r["role"]: {"mae_model": r["m"], "mae_role_median": r["r"]} for r in roles}}
+
+
+def export(model: GBTRegressionModel, spec: dict, about: dict, path: str) -> None:
+    """Writes model, spec and card under `path`; what stood there is replaced."""
+    from quarrymill.sources.sinks import put_json
+
+    spark = SparkSession.active()
+    model.write().overwrite().save(f"{path}/model")
+    put_json(spark, f"{path}/card.json", {"spec": spec, "card": about})
+
+
+def load(spark: SparkSession, path: str) -> tuple[GBTRegressionModel, dict, dict]:
+    """(model, spec, card) as exported."""
+    import json
+
+    held = json.loads(spark.read.text(f"{path}/card.json", wholetext=True).first()[0])
+    return GBTRegressionModel.load(f"{path}/model"), held["spec"], held["card"]
+
+
+def answer(profile: DataFrame, medians: DataFrame, errors: DataFrame, overall: float | None) -> DataFrame:
+    """The estimate for each profile (role[, predicted]): the model's value if there is one, else the role's median, with the role's mean error, else the overall one.
+
+    medians (role, role_median), errors (role, error): a row a role. Without either error there is no range.
+    """
+    from_model = F.col("predicted") if "predicted" in profile.columns else F.lit(None).cast("double")
+    j = profile.join(medians, "role", "left").join(errors, "role", "left").withColumn("value", F.coalesce(from_model, "role_median"))
+    e = estimate(F.col("value"), F.col("error"), F.lit(overall).cast("double"))
+    return j.withColumn("source", F.when(from_model.isNotNull(), "model").when(F.col("role_median").isNotNull(), "role_median").otherwise("none")).withColumn("e", e).drop("value", "role_median", "error").select("*", "e.low", "e.value", "e.high").drop("e")
+
+
 def predict(model: GBTRegressionModel, rows: DataFrame, spec: dict) -> DataFrame:
     return model.transform(assembled(rows, spec)).withColumn("predicted", F.exp("prediction")).drop("features", "prediction")
 

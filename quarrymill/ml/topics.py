@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.functions.text import topic_label
 from quarrymill.operators.relational import cosine
 
-#: Words too general for a topic.
+#: Words too general for a topic: of English, and of postings.
 GENERIC = frozenset(
     """a about above after again all also am an and any are as at be because been before being below between both but by can could did do does doing down during each few for from further had has have having he her here hers him his how
     i if in into is it its just me more most my no nor not now of off on once only or other our ours out over own same she should so some such than that the their them then there these they this those through to too under until up very
-    was we were what when where which while who whom why will with would you your yours job work team role experience years company candidate position skills ability including""".split()
+    was we were what when where which while who whom why will with would you your yours""".split()
+) | frozenset(
+    """experience experienced work working team teams role roles job jobs position years year skills skill ability strong including required preferred requirements qualifications responsibilities
+    candidate candidates opportunity opportunities company join using use new help support related knowledge understanding excellent level plus etc""".split()
 )
 
 
@@ -62,5 +65,3 @@ def labels(top_terms: DataFrame, group: str) -> DataFrame:
     none = F.col(group) == -1
     return t.select(group, F.when(none, "").otherwise(F.array_join("words", ", ")).alias("top_words"), F.when(none, "unassigned").otherwise(topic_label(F.col("words"))).alias("label"))
 
-
-__all__ = ["class_tfidf", "clusters", "labels", "terms", "vocabulary", "vector_to_array"]

@@ -83,6 +83,13 @@ def zero_filled(counts: DataFrame, periods: DataFrame, period: str, group: Seque
     return periods.join(items, list(group)).withColumn(measure, F.coalesce(F.try_element_at("__by", F.col(period)), F.lit(0))).drop("__by")
 
 
+def slice_of(df: DataFrame, wanted: dict[str, object]) -> DataFrame:
+    """Rows with the wanted values; a column without one (None) filters nothing."""
+    for column, value in wanted.items():
+        df = df if value is None else df.where(F.col(column) == F.lit(value))
+    return df
+
+
 def slice_percentiles(df: DataFrame, groups: DataFrame, by: str, value: str, points: dict[str, float], where: Column | None = None, least: int = LEAST_SAMPLE) -> DataFrame:
     """Percentiles of a slice for every group of `groups`, also those without rows in it."""
     part = df if where is None else df.where(where)

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from quarrymill.functions import lexicon as L
 from quarrymill.functions import postings as P
 from quarrymill.functions.years import posting_years
-from quarrymill.ml import encode, forecast
+from quarrymill.ml import encode, forecast, salary
 from quarrymill.operators import relational as R
+from quarrymill.operators.joins import lookup
 from quarrymill.plans.marts import Warehouse
-from quarrymill.plans.q_marts import DEMAND, PROFILE, sql, texts
+from quarrymill.plans.q_marts import DEMAND, PROFILE, role_errors, salary_rows, sql, texts
 
 RESUME = """Data engineer. Built batch and streaming pipelines with Python, SQL, Spark and Airflow on AWS.
 Modelled warehouses with dbt and PostgreSQL, shipped services in Docker."""
@@ -52,6 +53,23 @@ class Analysis:
         n = F.count("salary_mid_annual")
         return f.agg(n.alias("n"), R.percentile("salary_mid_annual", 0.5).alias("m")).select("n", P.sample_status(F.col("n")).alias("status"), P.gated(F.col("m"), F.col("n")).alias("median_salary"))
 
+    def salary(self, model=None, spec: dict | None = None, state: str | None = None, remote: bool = False) -> DataFrame:
+        """The estimate for the résumé: the model's, if there is one, else the role's median; between the ends that the role's mean error gives."""
+        medians, errors = role_errors(self.w)
+        profile = self.skills.agg(F.sort_array(F.collect_list("skill_name")).alias("skills")).select(F.lit(self.role).alias("role"), F.lit(self.level).alias("seniority"), F.lit(state).cast("string").alias("state"), F.lit(remote).alias("remote"), "skills")
+        if model is not None:
+            profile = salary.predict(model, profile, spec)
+        overall = lookup(self.w.enriched.where("has_salary").select("search_role", "salary_mid_annual"), medians.withColumnRenamed("role", "search_role"), "search_role").agg(F.avg(F.abs(F.col("salary_mid_annual") - F.col("role_median")))).first()[0]
+        return salary.answer(profile, medians, errors, overall)
+
+    def what_if(self, model, spec: dict, state: str | None = None, remote: bool = False) -> DataFrame:
+        """(skill, delta): what each skill that the role's postings ask for often enough, and the résumé lacks, would change in the model's estimate."""
+        rows = salary_rows(self.w).where(F.col("role") == self.role)
+        own = {r["skill_name"] for r in self.skills.collect()}  # at most the catalogue
+        asked = sorted(r["skill"] for r in salary.what_if_skills(rows).collect() if r["skill"] not in own)
+        profile = self.w.spark.createDataFrame([(self.role, self.level, state, remote, sorted(own))], "role string, seniority string, state string, remote boolean, skills array<string>")
+        return salary.what_if(model, profile, asked, spec)
+
     def postings(self, vectors: DataFrame, query: list[float], now, n: int = 10) -> DataFrame:
         """The role's recent postings closest to the résumé's vector: near levels first, then by similarity."""
         v = vectors.where("embedding is not null").groupBy("job_id").agg(F.max("embedding").alias("embedding"))
@@ -86,6 +104,11 @@ def level_salary(spark, d):
     return Analysis(Warehouse(spark, d), RESUME, "data engineer", "senior").level_salary()
 
 
+def salary_estimate(spark, d):
+    got = Analysis(Warehouse(spark, d), RESUME, "data engineer", "senior").salary()
+    return got.select("role", "source", *[F.round(c, 3).alias(c) for c in ("low", "value", "high")])
+
+
 def nearest_postings(spark, d):
     w = Warehouse(spark, d)
     q = [float(x) for x in encode.weighted_mean(encode.hashing_encoder(encode.chunks_of(RESUME)), [len(c.split()) for c in encode.chunks_of(RESUME)])]
@@ -130,7 +153,7 @@ def levels_with_years(spark, d):
 
 
 QUERIES = {
-    "app_options": options, "app_role_matches": role_matches, "app_skills_found": skills_found, "app_missing_skills": missing, "app_level_salary": level_salary, "app_nearest_postings": nearest_postings,
+    "app_options": options, "app_role_matches": role_matches, "app_skills_found": skills_found, "app_missing_skills": missing, "app_level_salary": level_salary, "app_salary_estimate": salary_estimate, "app_nearest_postings": nearest_postings,
     "app_salaries": salaries, "app_skill_ranking": skill_ranking, "app_skill_history": skill_history, "app_insights": insights, "levels_with_years": levels_with_years,
 }
 _OWN = "('Python', 'SQL', 'Spark', 'Airflow', 'AWS', 'dbt', 'PostgreSQL', 'Docker')"
@@ -141,6 +164,8 @@ ORACLES = {
     "app_missing_skills": sql(f"""SELECT skill_name, skill_category, share_of_role_postings, demand_rank, CASE WHEN ok THEN median_salary_difference END AS median_salary_difference, CASE WHEN ok THEN 'ok' ELSE 'too_few_salaries' END AS median_difference_status
   FROM (SELECT *, n_salaried_with_skill >= 10 AND n_salaried_without_skill >= 10 AND salary_sample_status = 'ok' AND median_salary_difference IS NOT NULL AS ok FROM profile WHERE role_name = 'data engineer' AND skill_name NOT IN {_OWN} ORDER BY demand_rank LIMIT 3)""", PROFILE),
     "app_level_salary": sql("SELECT n, CASE WHEN n >= 5 THEN 'ok' ELSE 'too_few_to_report' END AS status, CASE WHEN n >= 5 THEN m END AS median_salary FROM (SELECT count(salary_mid_annual) AS n, quantile_cont(salary_mid_annual, 0.5) AS m FROM enriched WHERE search_role = 'data engineer' AND seniority_effective = 'senior')"),
+    "app_salary_estimate": sql("""SELECT search_role AS role, 'role_median' AS source, round(greatest(m - avg(abs(salary_mid_annual - m)), 0e0), 3) AS low, round(m, 3) AS value, round(m + avg(abs(salary_mid_annual - m)), 3) AS high
+  FROM enriched JOIN (SELECT search_role, quantile_cont(salary_mid_annual, 0.5) AS m FROM enriched WHERE has_salary GROUP BY 1) USING (search_role) WHERE has_salary AND search_role = 'data engineer' GROUP BY search_role, m"""),
     "app_salaries": sql("""SELECT role_name, coalesce(n_postings, 0) AS n_postings, coalesce(n, 0) AS n_with_salary, CASE WHEN n >= 5 THEN 'ok' ELSE 'too_few_to_report' END AS sample_status, CASE WHEN n >= 5 THEN round(p25, 4) END AS p25, CASE WHEN n >= 5 THEN round(p50, 4) END AS p50, CASE WHEN n >= 5 THEN round(p75, 4) END AS p75, bls_median_annual_wage
   FROM dim_role LEFT JOIN (SELECT search_role AS role_name, count(*) AS n_postings, count(salary_mid_annual) AS n, quantile_cont(salary_mid_annual, 0.25) AS p25, quantile_cont(salary_mid_annual, 0.5) AS p50, quantile_cont(salary_mid_annual, 0.75) AS p75 FROM enriched WHERE seniority_effective = 'senior' GROUP BY 1) s USING (role_name)"""),
     "app_skill_ranking": sql("SELECT skill_name, skill_category, share_of_role_postings, demand_rank, (SELECT count(DISTINCT collection_week) FROM demand WHERE search_role = 'data engineer') AS weeks_observed, CAST(12 AS BIGINT) AS weeks_needed FROM profile WHERE role_name = 'data engineer'", DEMAND, PROFILE),

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.functions import postings as P
+from quarrymill.ml import forecast, salary
 from quarrymill.operators import relational as R
+from quarrymill.operators.joins import lookup
 from quarrymill.plans.marts import ROLE_SEED, Warehouse
 from quarrymill.session import within
 from quarrymill.sources.raw import normalise
@@ -26,6 +28,8 @@ def _of(name: str, drop: tuple[str, ...] = ()):
     return lambda spark, d: texts(getattr(Warehouse(spark, d), name).drop(*drop))
 
 
+#: The time at which the fixed test tables are looked at.
+NOW = "2026-10-30 00:00:00"
 LEVEL_SQL = "CASE " + " ".join(f"WHEN regexp_matches(job_title, '\\b({w})\\b', 'i') THEN '{level}'" for level, w in P.LEVEL_WORDS.items()) + " END"
 _SEED = ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in r) + ")" for r in ROLE_SEED)
 _DAY = "CAST({} AT TIME ZONE 'UTC' AS DATE)"
@@ -195,7 +199,12 @@ def overview(spark, d):
     e = Warehouse(spark, d).enriched
     newest = e.agg(F.max("fetched_at").alias("m"))
     s = e.crossJoin(F.broadcast(newest)).agg(F.count("*").alias("n_postings"), F.count("salary_mid_annual").alias("n_salaried"), F.max("m").alias("newest"), F.count_if(F.col("fetched_at") >= F.col("m") - F.expr("INTERVAL 7 DAYS")).alias("n_recent"), F.round(F.avg(F.col("is_remote").cast("int")), 4).alias("share_remote"))
-    return texts(s)
+    w = Warehouse(spark, d)
+    weeks = w.skill_demand.agg(F.countDistinct("collection_week").alias("weeks_observed"))
+    medians, _ = role_errors(w)
+    error = lookup(e.where("has_salary").select("search_role", "salary_mid_annual"), medians.withColumnRenamed("role", "search_role"), "search_role").agg(F.round(F.avg(F.abs(F.col("salary_mid_annual") - F.col("role_median"))), 2).alias("typical_error"))
+    s = s.crossJoin(F.broadcast(weeks)).crossJoin(F.broadcast(error))  # one row each
+    return texts(s.withColumns({"weeks_needed": F.lit(forecast.GATE).cast("long"), "pipeline_current": F.col("newest") >= F.to_timestamp(F.lit(NOW)) - F.expr("INTERVAL 2 DAYS")}))
 
 
 def stratified(spark, d):
@@ -221,10 +230,22 @@ def series_collected(spark, d):
     return s.groupBy("search_role", "skill_name").agg(F.array_join(F.array_sort(F.collect_list(p)), ";").alias("series"), F.count("*").alias("n_weeks"))
 
 
+def salary_rows(w: Warehouse) -> DataFrame:
+    """The salaried postings as the salary model takes them."""
+    return w.wide_postings.where("has_salary").select(
+        "job_id", F.col("role_name").alias("role"), F.col("seniority_effective").alias("seniority"), F.col("loc_state").alias("state"), F.col("is_remote").alias("remote"), "skills", F.col("salary_mid_annual").alias("salary"), F.col("employer_name").alias("employer"))
+
+
 def features_one_hot(spark, d):
-    e = Warehouse(spark, d).enriched.where("has_salary")
-    cols = [F.coalesce(F.col("seniority_effective") == lv, F.lit(False)).cast("long").alias(f"level_{lv}") for lv in P.LEVELS]
-    return e.select("job_id", *cols, F.coalesce("is_remote", F.lit(False)).cast("long").alias("remote"), "skill_count")
+    """The model's features: level, remote, the role's single mark, a common skill, and the number of skills."""
+    rows = salary_rows(Warehouse(spark, d))
+    spec = salary.fit_spec(rows)
+    f = salary.features(rows, spec)
+    mark = lambda name, v: F.col(f"f_{name}_{spec[name].index(v)}").cast("long") if v in spec[name] else F.lit(0).cast("long")
+    skill = F.col(f"f_skill_{spec['skills'].index('Python')}").cast("long") if "Python" in spec["skills"] else F.lit(0).cast("long")
+    levels = [mark("seniority", lv).alias(f"level_{lv}") for lv in P.LEVELS]
+    roles = sum((F.col(f"f_role_{i}") for i in range(len(spec["role"]))), F.lit(0.0)).cast("long")
+    return f.select("job_id", *levels, F.col("f_remote").cast("long").alias("remote"), roles.alias("n_roles"), skill.alias("python"), F.col("f_skill_count").cast("long").alias("skill_count"))
 
 
 def wage_gap_levels(spark, d):
@@ -238,12 +259,19 @@ def impact_buckets(spark, d):
     return p.groupBy(P.impact_status(F.col("median_salary_difference")).alias("status")).agg(F.count("*").alias("n"))
 
 
+def role_errors(w: Warehouse) -> tuple[DataFrame, DataFrame]:
+    """(role, role_median), (role, error): the median pay of each role and the mean distance from it."""
+    e = w.enriched.where("has_salary").select(F.col("search_role").alias("role"), "salary_mid_annual")
+    medians = e.groupBy("role").agg(R.percentile("salary_mid_annual", 0.5).alias("role_median"))
+    errors = lookup(e, medians, "role").where("role_median is not null").groupBy("role").agg(F.avg(F.abs(F.col("salary_mid_annual") - F.col("role_median"))).alias("error"))
+    return medians, errors
+
+
 def estimate_range(spark, d):
-    """A role's median as the estimate, give or take the role's mean error, not under 0."""
-    e = Warehouse(spark, d).enriched.where("has_salary").select("search_role", "salary_mid_annual")
-    m = e.groupBy("search_role").agg(R.percentile("salary_mid_annual", 0.5).alias("m"))
-    err = e.join(F.broadcast(m) if within(m) else m, "search_role").groupBy("search_role", "m").agg(F.avg(F.abs(F.col("salary_mid_annual") - F.col("m"))).alias("err"))
-    return err.select("search_role", F.round(F.greatest(F.col("m") - F.col("err"), F.lit(0.0)), 3).alias("low"), F.round("m", 3).alias("estimate"), F.round(F.col("m") + F.col("err"), 3).alias("high"))
+    """The estimate of each role with pay, by its median, between the ends that its mean error gives."""
+    medians, errors = role_errors(Warehouse(spark, d))
+    got = salary.answer(medians.select("role").where("role is not null"), medians, errors, None)
+    return got.select(F.col("role").alias("search_role"), F.round("low", 3).alias("low"), F.round("value", 3).alias("estimate"), F.round("high", 3).alias("high"))
 
 
 def top_skills_15(spark, d):
@@ -325,12 +353,15 @@ SELECT dedup_key, job_id, salary_mid_annual, strftime(fetched_at {_F}, '%Y-%m-%d
     "recency_latest_day_fallback": sql(f"""SELECT 'last_7_days' AS window_kind, search_role, count(*) AS n FROM enriched WHERE fetched_at {_F} >= TIMESTAMP '2026-09-22' - INTERVAL 7 DAY AND EXISTS (SELECT 1 FROM enriched WHERE fetched_at {_F} >= TIMESTAMP '2026-09-22' - INTERVAL 7 DAY) GROUP BY 2
 UNION ALL SELECT 'latest_collection', search_role, count(*) FROM enriched WHERE {_DAY.format('fetched_at')} = (SELECT max({_DAY.format('fetched_at')}) FROM enriched) GROUP BY 2"""),
     "group_folds": sql("SELECT CAST(('0x' || substr(md5(coalesce(employer_name, '')), 1, 8)) AS BIGINT) % 5 AS fold, count(*) AS n, count(DISTINCT employer_name) AS n_employers FROM enriched WHERE has_salary GROUP BY 1"),
-    "overview_scalars": sql(f"SELECT count(*) AS n_postings, count(salary_mid_annual) AS n_salaried, strftime(max(fetched_at) {_F}, '%Y-%m-%d %H:%M:%S') AS newest, count(*) FILTER (WHERE fetched_at >= (SELECT max(fetched_at) FROM enriched) - INTERVAL 7 DAY) AS n_recent, round(avg(CAST(is_remote AS INTEGER)), 4) AS share_remote FROM enriched"),
+    "overview_scalars": sql(f"""SELECT count(*) AS n_postings, count(salary_mid_annual) AS n_salaried, strftime(max(fetched_at) {_F}, '%Y-%m-%d %H:%M:%S') AS newest, count(*) FILTER (WHERE fetched_at >= (SELECT max(fetched_at) FROM enriched) - INTERVAL 7 DAY) AS n_recent, round(avg(CAST(is_remote AS INTEGER)), 4) AS share_remote ,(SELECT count(DISTINCT collection_week) FROM demand) AS weeks_observed, CAST(12 AS BIGINT) AS weeks_needed, max(fetched_at) AT TIME ZONE 'UTC' >= TIMESTAMP '{NOW}' - INTERVAL 2 DAY AS pipeline_current,
+  (SELECT round(avg(abs(salary_mid_annual - m)), 2) FROM enriched JOIN (SELECT search_role, quantile_cont(salary_mid_annual, 0.5) AS m FROM enriched WHERE has_salary GROUP BY 1) USING (search_role) WHERE has_salary) AS typical_error FROM enriched""", DEMAND),
     "stratified_md5_sample": sql(f"SELECT search_role, kind, job_id, sample_rank FROM (SELECT search_role, {_KIND} AS kind, job_id, row_number() OVER (PARTITION BY search_role, {_KIND} ORDER BY md5(job_id)) AS sample_rank FROM enriched) WHERE sample_rank <= CASE WHEN kind = 'no_location' THEN 2 ELSE 4 END"),
     "topic_share_of_group": sql("SELECT seniority_effective, search_role, n, round(n * 1e0 / sum(n) OVER (PARTITION BY seniority_effective), 6) AS share FROM (SELECT seniority_effective, search_role, count(*) AS n FROM enriched GROUP BY 1, 2)"),
     "parts_of_total": sql("SELECT search_role, employment_type, n, round(n * 1e0 / sum(n) OVER (PARTITION BY search_role), 6) AS share FROM (SELECT search_role, employment_type, count(*) AS n FROM enriched GROUP BY 1, 2)"),
     "series_collect": sql("SELECT search_role, skill_name, string_agg(collection_week || '=' || postings_with_skill, ';' ORDER BY collection_week) AS series, count(*) AS n_weeks FROM demand GROUP BY 1, 2", DEMAND),
-    "feature_one_hot": sql("SELECT job_id, " + ", ".join(f"CAST(seniority_effective = '{lv}' AS BIGINT) AS level_{lv}" for lv in P.LEVELS) + ", CAST(coalesce(is_remote, false) AS BIGINT) AS remote, skill_count FROM enriched WHERE has_salary"),
+    "feature_one_hot": sql("SELECT e.job_id, " + ", ".join(f"CAST(coalesce(seniority_effective = '{lv}', false) AS BIGINT) AS level_{lv}" for lv in P.LEVELS) + """, CAST(coalesce(is_remote, false) AS BIGINT) AS remote, CAST(1 AS BIGINT) AS n_roles,
+  CAST(coalesce(s.py, false) AND (SELECT count(*) >= 10 FROM enriched JOIN dim_role USING (role_key) JOIN dim_location USING (location_key) JOIN stg_skills USING (job_id) WHERE has_salary AND skill_name = 'Python') AS BIGINT) AS python, coalesce(s.n, 0) AS skill_count
+  FROM enriched e JOIN dim_role USING (role_key) JOIN dim_location USING (location_key) LEFT JOIN (SELECT job_id, count(*) AS n, bool_or(skill_name = 'Python') AS py FROM stg_skills GROUP BY 1) s ON s.job_id = e.job_id WHERE has_salary"""),
     "near_level_counts": sql("SELECT search_role, count(*) FILTER (WHERE seniority_effective IN ('junior', 'mid', 'senior', 'unknown')) AS n_near_mid, count(*) AS n FROM enriched GROUP BY 1"),
     "impact_status_buckets": sql(f"SELECT CASE WHEN median_salary_difference IS NULL THEN 'not_enough_data' WHEN abs(median_salary_difference) < 500 THEN 'no_measurable_effect' ELSE 'value' END AS status, count(*) AS n FROM ({_BY_ROLE}) GROUP BY 1"),
     "estimate_range": sql("""SELECT search_role, round(greatest(m - avg(abs(salary_mid_annual - m)), 0e0), 3) AS low, round(m, 3) AS estimate, round(m + avg(abs(salary_mid_annual - m)), 3) AS high

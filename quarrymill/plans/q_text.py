@@ -13,8 +13,9 @@ from quarrymill.ml import encode, forecast, topics
 from quarrymill.operators import quality as Q
 from quarrymill.operators import relational as R
 from quarrymill.plans.marts import Warehouse
-from quarrymill.plans.q_marts import BASE, DEMAND, sql, texts
-from quarrymill.session import broadcast_if_small, spread, table
+from quarrymill.plans.q_marts import BASE, DEMAND, salary_rows, sql, texts
+from quarrymill.operators.joins import lookup
+from quarrymill.session import broadcast_if_small, cut, spread, table
 
 
 def sentence_split(spark, d):
@@ -23,13 +24,19 @@ def sentence_split(spark, d):
 
 
 def boilerplate(spark, d):
-    """Per document: sentences in all and those without sentences that stand under three titles or more."""
-    s = spread(table(spark, d, "documents")).select("doc_id", "title", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence")).withColumn("key", T.sentence_key(F.col("sentence")))
-    shared = s.groupBy("key").agg(F.countDistinct("title").alias("n_titles")).where("n_titles >= 3").select("key", F.lit(True).alias("shared"))
-    j = s.join(shared, "key", "left")
-    own = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("shared").isNull(), F.struct("pos", "sentence")))), lambda x: x["sentence"]), "\n")
-    k = j.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("shared").isNull()).alias("n_own"), own.alias("own"))
-    return k.select("doc_id", "n", "n_own", F.when(F.col("n_own") == 0, F.lit("(all kept)")).otherwise(F.md5("own")).alias("own_hash"))
+    """Per document: sentences in all and those without sentences that stand under three titles or more.
+
+    Only 64-bit hashes of sentences and titles are exchanged; shared ones are looked up by hash, and the texts are read again for what is kept.
+    """
+    docs = spread(table(spark, d, "documents"))
+    keys = F.transform(T.sentences(F.col("text")), lambda x: F.xxhash64(T.sentence_key(x)))
+    uses = docs.select(F.explode(F.array_distinct(keys)).alias("key"), F.xxhash64("title").alias("title"), F.col("title").isNotNull().alias("titled")).where("titled")
+    shared = cut(uses.groupBy("key", "title").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("n_titles")).where("n_titles >= 3").select("key", F.lit(True).alias("shared")))
+    s = docs.select("doc_id", F.posexplode(keys).alias("pos", "key"))
+    marked = lookup(s, shared, "key").groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("shared").isNull()).alias("n_own"), F.collect_list(F.when(F.col("shared").isNull(), F.col("pos"))).alias("own"))
+    kept = docs.select("doc_id", T.sentences(F.col("text")).alias("x")).join(marked, "doc_id")
+    text = F.array_join(F.filter("x", lambda x, i: F.array_contains(F.col("own"), i)), "\n")
+    return kept.select("doc_id", "n", "n_own", F.when(F.col("n_own") == 0, F.lit("(all kept)")).otherwise(F.md5(text)).alias("own_hash"))
 
 
 def word_chunks(spark, d):
@@ -49,8 +56,9 @@ def skills_pandas(spark, d):
 
 
 def keyword_frequency(spark, d):
-    docs = spread(table(spark, d, "documents")).where("text is not null")
-    return topics.vocabulary(topics.terms(docs, "doc_id", "text"), docs, "doc_id", "site").where("n_owners >= 20")
+    """Terms of the postings' descriptions that at least three employers use."""
+    docs = spread(Warehouse(spark, d).stg_jobs.where("job_description is not null").select("job_id", "job_description", "employer_name"))
+    return topics.vocabulary(topics.terms(docs, "job_id", "job_description"), docs, "job_id", "employer_name")
 
 
 def ctfidf(spark, d):
@@ -209,8 +217,7 @@ def freshness(spark, d):
 def salary_gate(spark: SparkSession, d: str) -> DataFrame:
     from quarrymill.ml import salary
 
-    w = Warehouse(spark, d)
-    rows = w.wide_postings.where("has_salary").select("job_id", F.col("role_name").alias("role"), F.col("seniority_effective").alias("seniority"), F.col("loc_state").alias("state"), F.col("is_remote").alias("remote"), "skills", F.col("salary_mid_annual").alias("salary"), F.col("employer_name").alias("employer"))
+    rows = salary_rows(Warehouse(spark, d))
     return salary.use_model(salary.cross_validated(rows))
 
 
@@ -277,7 +284,8 @@ SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE own) AS n_own, CASE WHEN co
     "word_chunks": r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, w, unnest(range((len(w) + 149) // 150)) AS pos FROM w)
 SELECT doc_id, pos, md5(array_to_string(w[pos * 150 + 1 : pos * 150 + 150], ' ')) AS chunk_hash FROM c""",
     "skill_match_explode": f"WITH cat(skill, category, p) AS (VALUES {_skill_sql()}), t AS (SELECT job_id, concat_ws(chr(10), title, description) AS t FROM jobs_clean WHERE job_id IS NOT NULL) SELECT skill, category, count(DISTINCT job_id) AS n FROM t JOIN cat ON regexp_matches(t, p) GROUP BY 1, 2",
-    "keyword_doc_frequency": f"WITH {_TERMS} SELECT term, count(DISTINCT site) AS n_owners FROM uses JOIN toks USING (doc_id) GROUP BY 1 HAVING count(DISTINCT site) >= 20",
+    "keyword_doc_frequency": "WITH j AS (SELECT job_id AS doc_id, description AS text, employer AS site, '' AS source FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY _loaded_at DESC NULLS LAST, fetched_at DESC NULLS LAST) AS r FROM jobs_clean WHERE job_id IS NOT NULL) WHERE r = 1 AND description IS NOT NULL), "
+    + _TERMS.replace("FROM documents", "FROM j") + " SELECT term, count(DISTINCT site) AS n_owners FROM uses JOIN toks USING (doc_id) GROUP BY 1 HAVING count(DISTINCT site) >= 3",
     "ctfidf_top_terms": f"""WITH {_TERMS}, g AS (SELECT source, term, sum(n) AS n FROM uses JOIN toks USING (doc_id) WHERE source IS NOT NULL GROUP BY 1, 2), a AS (SELECT source, sum(n) AS words FROM g GROUP BY 1), b AS (SELECT term, sum(n) AS uses FROM g GROUP BY 1),
 s AS (SELECT source, term, sqrt(n * 1e0 / words) * ln(1 + (SELECT avg(words) FROM a) / uses) AS score FROM g JOIN a USING (source) JOIN b USING (term))
 SELECT source, term, round(score, 5) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(score, 9) DESC, term) AS place FROM s) WHERE place <= 10""",

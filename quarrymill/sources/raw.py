@@ -98,6 +98,66 @@ def pages(fetch: Callable[[str | None], tuple[list[dict], str | None]], most: in
             return
 
 
+#: States of an HTTP answer after which a request is tried again.
+RETRIED = (429, 500, 502, 503, 504)
+
+
+class HttpError(OSError):
+    """An answer with a state other than success."""
+
+    def __init__(self, status: int):
+        super().__init__(f"HTTP {status}")
+        self.status = status
+
+
+def checked_status(status: int) -> None:
+    """Raises for an answer that isn't a success; `retried` tries again after those of RETRIED only."""
+    if status >= 400:
+        raise HttpError(status)
+
+
+def sheet_of_archive(data: bytes) -> list[dict]:
+    """The rows of the only .xlsx of a zip archive, as text by the header's names; no or several sheets files, or a missing column, are an error."""
+    import io
+    import zipfile
+    from xml.etree import ElementTree
+
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        books = [n for n in z.namelist() if n.lower().endswith(".xlsx")]
+        if len(books) != 1:
+            raise ValueError(f"one .xlsx expected, {len(books)} found")
+        with zipfile.ZipFile(io.BytesIO(z.read(books[0]))) as x:
+            ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+            shared = []
+            if "xl/sharedStrings.xml" in x.namelist():
+                shared = ["".join(t.text or "" for t in si.iter(f"{{{ns['m']}}}t")) for si in ElementTree.fromstring(x.read("xl/sharedStrings.xml")).findall("m:si", ns)]
+            rows = []
+            for r in ElementTree.fromstring(x.read("xl/worksheets/sheet1.xml")).iter(f"{{{ns['m']}}}row"):
+                cells = {}
+                for c in r.findall("m:c", ns):
+                    v, inline = c.find("m:v", ns), c.find("m:is", ns)
+                    text = "".join(t.text or "" for t in inline.iter(f"{{{ns['m']}}}t")) if inline is not None else None if v is None else shared[int(v.text)] if c.get("t") == "s" else v.text
+                    cells["".join(ch for ch in c.get("r", "") if ch.isalpha())] = text
+                rows.append(cells)
+    if not rows:
+        raise ValueError("the sheet is empty")
+    header = rows[0]
+    missing = [c for c in SHEET_COLUMNS if c not in header.values()]
+    if missing:
+        raise ValueError(f"the sheet lacks {missing}")
+    return [{header[k]: r.get(k) for k in header} for r in rows[1:]]
+
+
+def read_relational(spark: SparkSession, url: str, query: str, properties: dict[str, str] | None = None) -> DataFrame:
+    """A query's result from a database; one more try after a failure, and decimals as doubles."""
+    df = retried(lambda: spark.read.format("jdbc").options(url=url, query=query, **(properties or {})).load(), times=1, transient=(Exception,))
+    return without_decimals(df)
+
+
+def without_decimals(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(f"`{f.name}`").cast("double").alias(f.name) if isinstance(f.dataType, T.DecimalType) else F.col(f"`{f.name}`") for f in df.schema.fields])
+
+
 def retried(call: Callable, times: int = 3, wait: float = 1.0, transient: tuple[type[Exception], ...] = (OSError,)):
     """`call()` with `times` retries after transient errors, waiting twice as long each time."""
     import time
@@ -105,8 +165,8 @@ def retried(call: Callable, times: int = 3, wait: float = 1.0, transient: tuple[
     for k in range(times + 1):
         try:
             return call()
-        except transient:
-            if k == times:
+        except transient as e:
+            if k == times or isinstance(e, HttpError) and e.status not in RETRIED:
                 raise
             time.sleep(wait * 2**k)
 

@@ -46,6 +46,36 @@ def write_once(df: DataFrame, path: str) -> bool:
     return True
 
 
+def put_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """Writes an object whole: under a name of its own, then renamed over the old one."""
+    target, fs = _path(spark, path)
+    tmp = _path(spark, f"{path}._new_{uuid.uuid4().hex}")[0]
+    s = fs.create(tmp, True)
+    s.write(bytearray(data))
+    s.close()
+    if fs.exists(target):
+        fs.delete(target, False)
+    if not fs.rename(tmp, target):
+        raise OSError(f"{path} can't be written")
+
+
+def put_json(spark: SparkSession, path: str, value) -> None:
+    import json
+
+    put_bytes(spark, path, json.dumps(value, sort_keys=True, ensure_ascii=False, indent=1).encode())
+
+
+def collect_once(spark: SparkSession, path: str, role: str, location: str, fetched_at: str, jobs: list[dict]) -> dict:
+    """Writes a collection as an immutable envelope; returns the audit counters: fetched, without id, repeated, written (0 if there was one already)."""
+    ids = [j.get("job_id") for j in jobs]
+    known = [i for i in ids if i]
+    audit = {"fetched": len(jobs), "without_id": len(jobs) - len(known), "repeated": len(known) - len(set(known)), "written": 0}
+    if jobs and not exists(spark, path):
+        put_json(spark, path, {"role": role, "location": location, "fetched_at": fetched_at, "jobs": jobs, "audit": audit})
+        audit["written"] = len(jobs)
+    return audit
+
+
 def replace_all(tables: dict[str, DataFrame]) -> dict[str, int]:
     """Replaces several tables together: all are written beside their targets and counted, and only then renamed into place.
 

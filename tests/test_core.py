@@ -355,3 +355,84 @@ def test_delimited_text_becomes_an_array(spark):
 
     df = spark.createDataFrame([("a, b",), (None,), ("",)], "t string").select(delimited(F.col("t")).alias("x"))
     assert [r["x"] for r in df.collect()] == [["a", "b"], [], [""]]
+
+
+def sheet_archive(rows, books=1):
+    import io
+    import zipfile
+
+    texts = sorted({c for r in rows for c in r if c is not None})
+    cell = lambda c, k, i: "" if c is None else f'<c r="{chr(65 + k)}{i}" t="s"><v>{texts.index(c)}</v></c>'
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    book, outer = io.BytesIO(), io.BytesIO()
+    with zipfile.ZipFile(book, "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}>" + "".join(f"<si><t>{t}</t></si>" for t in texts) + "</sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData>" + "".join(f'<row r="{i}">' + "".join(cell(c, k, i) for k, c in enumerate(r)) + "</row>" for i, r in enumerate(rows, 1)) + "</sheetData></worksheet>")
+    with zipfile.ZipFile(outer, "w") as z:
+        z.writestr("readme.txt", "x")
+        for k in range(books):
+            z.writestr(f"data{k}.xlsx", book.getvalue())
+    return outer.getvalue()
+
+
+def test_sheet_of_an_archive(spark):
+    rows = [["AREA", "OCC_CODE", "OCC_TITLE", "O_GROUP", "TOT_EMP", "A_MEDIAN"], ["99", "15-0000", "Computers", "major", "5", "6"], ["99", "15-1252", "Developers", "detailed", "1,234", "*"], ["99", "15-2051", "Scientists", "detailed", None, "108020"]]
+    got = raw.sheet_rows(spark.createDataFrame(raw.sheet_of_archive(sheet_archive(rows)), ", ".join(f"{c} string" for c in rows[0])), 2025)
+    assert sorted(tuple(r) for r in got.collect()) == [("15-1252", "Developers", 1234, None, 2025), ("15-2051", "Scientists", None, 108020, 2025)]
+    for bad in (sheet_archive(rows, 0), sheet_archive(rows, 2), sheet_archive([rows[0][:3]])):
+        with pytest.raises(ValueError):
+            raw.sheet_of_archive(bad)
+
+
+@pytest.mark.parametrize("status,calls", [(429, 4), (503, 4), (404, 1), (401, 1)])
+def test_only_some_answers_are_asked_for_again(status, calls):
+    n = []
+    with pytest.raises(raw.HttpError):
+        raw.retried(lambda: (n.append(1), raw.checked_status(status)), wait=0)
+    assert len(n) == calls and raw.checked_status(200) is None
+
+
+def test_objects_and_collections_are_written(spark, tmp_path):
+    from quarrymill.sources import sinks
+
+    path = str(tmp_path / "a" / "x.json")
+    sinks.put_json(spark, path, {"b": 1})
+    sinks.put_json(spark, path, {"a": "ü"})
+    assert json.loads((tmp_path / "a" / "x.json").read_text()) == {"a": "ü"}
+    day = str(tmp_path / "raw" / "2026-10-03.json")
+    jobs = [{"job_id": "1"}, {"job_id": "1"}, {"job_id": None}]
+    assert sinks.collect_once(spark, day, "r", "l", "2026-10-03T00:00:00+00:00", jobs) == {"fetched": 3, "without_id": 1, "repeated": 1, "written": 3}
+    assert sinks.collect_once(spark, day, "r", "l", "2026-10-03T00:00:00+00:00", jobs)["written"] == 0
+    assert raw.flatten(raw.read_envelopes(spark, day)).count() == 3
+
+
+def test_relational_read_casts_decimals(spark):
+    df = spark.sql("SELECT CAST(1.50 AS DECIMAL(10,2)) AS `a b`, 'x' AS c")
+    assert raw.without_decimals(df).dtypes == [("a b", "double"), ("c", "string")]
+    with pytest.raises(Exception):
+        raw.read_relational(spark, "jdbc:none://x", "SELECT 1")
+
+
+def test_display_formats(spark):
+    r = spark.createDataFrame([(1400.0, -1600.0, 100.0, 91_000.0, 182_000.0, 0.31)], "a double, b double, c double, lo double, hi double, s double")
+    got = r.select(*[text.signed_money(F.col(c)).alias(c) for c in "abc"], *text.scale_bounds(F.col("lo"), F.col("hi")), text.share_bound(F.col("s")).alias("s"),
+                   text.age_in_days(F.to_timestamp(F.lit("2026-10-01 23:59:00")), F.to_timestamp(F.lit("2026-10-03 00:01:00"))).alias("age")).first()
+    assert tuple(got) == ("+$1,000", "-$2,000", "$0", 80_000.0, 200_000.0, 0.4, 2)
+
+
+def test_salary_answer_model_or_median(spark, tmp_path):
+    from quarrymill.ml import salary
+
+    medians, errors = spark.createDataFrame([("a", 100.0), ("b", 30.0)], "role string, role_median double"), spark.createDataFrame([("a", 10.0)], "role string, error double")
+    got = {r["role"]: (r["source"], r["low"], r["value"], r["high"]) for r in salary.answer(spark.createDataFrame([("a",), ("b",), ("c",)], "role string"), medians, errors, 40.0).collect()}
+    assert got["a"] == ("role_median", 90.0, 100.0, 110.0) and got["b"] == ("role_median", 0.0, 30.0, 70.0) and got["c"][0] == "none" and got["c"][2] is None
+    rows = spark.createDataFrame([(f"j{i}", "ab"[i % 2], "mid", "TX", False, ["Python"] if i % 3 else ["SQL"], 50_000.0 + 20_000 * (i % 2) + 5_000 * (i % 3), f"e{i % 12}") for i in range(120)], "job_id string, role string, seniority string, state string, remote boolean, skills array<string>, salary double, employer string")
+    model, spec = salary.fit_final(rows, trees=4)
+    about = salary.card(salary.cross_validated(rows, trees=4))
+    salary.export(model, spec, about, str(tmp_path / "m"))
+    again, spec2, about2 = salary.load(spark, str(tmp_path / "m"))
+    assert spec2 == spec and about2 == json.loads(json.dumps(about)) and about["use_model"] in (True, False)
+    profile = rows.limit(1).select("role", "seniority", "state", "remote", "skills")
+    p = salary.predict(again, profile, spec)
+    assert abs(p.first()["predicted"] - salary.predict(model, profile, spec).first()["predicted"]) < 1e-6
+    assert salary.answer(p, medians, errors, 1.0).first()["source"] == "model"

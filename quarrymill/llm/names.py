@@ -5,8 +5,8 @@ Forms become unit vectors of character n-grams weighted by TF-IDF over all forms
 without a list of such words. A distributed sparse cosine join gives all pairs of at least `NEAR`: the products of
 weights of shared grams are summed, partly before the exchange. All partners above the threshold are kept; there is no top-n cut, which would lose variants of names with many.
 An exact check then drops pairs that contradict each other: each side has a word that is no misspelling, abbreviation, joined form or initial of any of the other's.
-Average linkage of the cosines groups the forms; pairs below `NEAR` or in contradiction count as 0. In each round
-all pairs of clusters that are each other's nearest merge at once, which for average linkage gives the same groups as merging one pair at a time.
+Average linkage of the cosines groups the forms; pairs below `NEAR` or in contradiction count as 0. Connected parts of up to `PART` pairs are linked in a task each,
+one merge at a time; larger ones in rounds, in which all pairs of clusters that are each other's nearest merge at once, which for average linkage gives the same groups.
 
 Rows are combined to distinct spellings before the first exchange, so an employer with a third of all rows is one row. A gram of more than `BLOCK` forms is
 dealt to blocks, and each two blocks meet in a task of their own; the work of a gram is the square of its forms all the same.
@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from itertools import combinations
 
 import pandas as pd
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.operators.joins import lookup
-from quarrymill.session import broadcast_if_small, cut
+from quarrymill.session import broadcast_if_small, cut, stored
 
 #: Least cosine of a candidate; least average cosine of a group.
 NEAR, LINK = 0.15, 0.2
@@ -36,6 +37,8 @@ NEAR, LINK = 0.15, 0.2
 GRAM = 3
 #: Forms of one gram that meet in one task.
 BLOCK = 4000
+#: Pairs of a connected part that one task links.
+PART = 200_000
 
 #: Entries that name nobody.
 NOBODY = frozenset(
@@ -220,18 +223,19 @@ def checked(similar: DataFrame, forms: DataFrame) -> DataFrame:
     return pairs.repartition(parts).mapInPandas(run, "a string, b string, sim double")
 
 
-def average_linkage(edges: DataFrame, least: float = LINK) -> DataFrame:
+def linkage_in_rounds(edges: DataFrame, least: float = LINK) -> DataFrame:
     """(node, label) of the nodes that were grouped. `edges` (a, b, sim), a < b; absent pairs count as 0.
 
+    Rounds are written as tables: a checkpoint keeps the size that Spark estimated, which joins square from round to round.
     A round merges all reciprocal nearest pairs; sums of similarities and sizes are kept, so averages stay exact.
     """
-    e = cut(edges.select("a", "b", F.col("sim").alias("s"), F.lit(1).cast("long").alias("na"), F.lit(1).cast("long").alias("nb")))
-    labels = cut(e.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node")))
+    e = stored(edges.select("a", "b", F.col("sim").alias("s"), F.lit(1).cast("long").alias("na"), F.lit(1).cast("long").alias("nb")))
+    labels = stored(e.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node")))
     while True:
         good = e.withColumn("avg", F.col("s") / (F.col("na") * F.col("nb"))).where(F.col("avg") >= least)
         ends = good.select(F.col("a").alias("x"), F.col("b").alias("y"), "avg", "a", "b").unionAll(good.select(F.col("b").alias("x"), F.col("a").alias("y"), "avg", "a", "b"))
         best = ends.groupBy("x").agg(F.min(F.struct((-F.round("avg", 9)).alias("k"), "a", "b")).alias("m")).select("x", "m.a", "m.b")
-        merges = cut(best.groupBy("a", "b").agg(F.count("*").alias("n")).where("n = 2").select(F.col("b").alias("old"), F.col("a").alias("new")))
+        merges = stored(best.groupBy("a", "b").agg(F.count("*").alias("n")).where("n = 2").select(F.col("b").alias("old"), F.col("a").alias("new")))
         if merges.isEmpty():
             return labels
         found = broadcast_if_small(merges)  # counted once a round
@@ -240,10 +244,80 @@ def average_linkage(edges: DataFrame, least: float = LINK) -> DataFrame:
         moved = e.select("a", "b", "s").withColumnRenamed("a", "old").join(found, "old", "left").select(F.coalesce("new", "old").alias("a"), "b", "s")
         moved = moved.withColumnRenamed("b", "old").join(found, "old", "left").select("a", F.coalesce("new", "old").alias("b"), "s").where("a <> b")
         moved = moved.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("s").alias("s"))
-        named = broadcast_if_small(cut(named))
+        named = broadcast_if_small(stored(named))
         moved = moved.join(named.select(F.col("x").alias("a"), F.col("n").alias("na")), "a").join(named.select(F.col("x").alias("b"), F.col("n").alias("nb")), "b")
-        e = cut(moved.select("a", "b", "s", "na", "nb"))
-        labels = cut(labels.withColumnRenamed("label", "old").join(found, "old", "left").select("node", F.coalesce("new", "old").alias("label")))
+        e = stored(moved.select("a", "b", "s", "na", "nb"))
+        labels = stored(labels.withColumnRenamed("label", "old").join(found, "old", "left").select("node", F.coalesce("new", "old").alias("label")))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, part): the connected part of each node of `edges` (a, b), named by its smallest node."""
+    both = stored(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    parts = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("part")).withColumnRenamed("a", "node"))
+    while True:
+        # the smallest part among the neighbours', and the part that stands for one's own part
+        near = both.join(parts.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("part").alias("near"))
+        own = parts.withColumnRenamed("part", "head").join(parts.select(F.col("node").alias("head"), F.col("part").alias("further")), "head")
+        moved = stored(own.join(near, "node").select("node", F.least("further", "near").alias("part"), (F.least("further", "near") < F.col("head")).alias("moved")))
+        parts = moved.select("node", "part")
+        if moved.where("moved").isEmpty():
+            return parts
+
+
+def linked(edges: list[tuple[str, str, float]], least: float) -> dict[str, str]:
+    """Label of each node after average linkage of one part, one merge at a time."""
+    near: dict[str, dict[str, float]] = {}
+    for a, b, s in edges:
+        near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = s
+    held = {n: [n] for n in near}
+    heap = [(-round(s, 9), min(a, b), max(a, b)) for a, b, s in edges if s >= least]
+    heapify(heap)
+    while heap:
+        s, a, b = heappop(heap)
+        if b not in near.get(a, ()) or -round(near[a][b] / (len(held[a]) * len(held[b])), 9) != s:
+            continue  # one of both has grown or is gone
+        for c, t in near.pop(b).items():
+            if c != a:
+                near[a][c] = near[c][a] = near[a].get(c, 0.0) + t
+                del near[c][b]
+        del near[a][b]
+        held[a] += held.pop(b)
+        for c, t in near[a].items():
+            mean = t / (len(held[a]) * len(held[c]))
+            if mean >= least:
+                heappush(heap, (-round(mean, 9), min(a, c), max(a, c)))
+    return {n: label for label, nodes in held.items() for n in nodes}
+
+
+def average_linkage(edges: DataFrame, least: float = LINK) -> DataFrame:
+    """(node, label) of the nodes of `edges` (a, b, sim), a < b; absent pairs count as 0.
+
+    Each connected part of up to PART edges is linked in one task; larger ones, which no task should hold, in rounds over all tasks.
+    """
+    edges = cut(edges)
+    sized = edges.join(components(edges).withColumnRenamed("node", "a"), "a")
+    many = cut(sized.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") > PART).select("part"))
+    large = broadcast_if_small(many)
+    small = sized.join(large, "part", "left_anti")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, held, out = None, [], {}
+        for b in batches:
+            for part, *edge in zip(b["part"], b["a"], b["b"], b["sim"]):
+                if part != last and held:
+                    out |= linked(held, least)
+                    held = []
+                last = part
+                held.append(edge)
+            if len(out) > 100_000:
+                yield pd.DataFrame(out.items(), columns=["node", "label"])
+                out = {}
+        if held:
+            out |= linked(held, least)
+        yield pd.DataFrame(out.items(), columns=["node", "label"])
+
+    done = small.select("part", "a", "b", "sim").repartition("part").sortWithinPartitions("part").mapInPandas(run, "node string, label string")
+    return done if many.isEmpty() else done.unionByName(linkage_in_rounds(sized.join(large, "part", "left_semi").select("a", "b", "sim"), least))
 
 
 def groups(df: DataFrame, column: str) -> DataFrame:

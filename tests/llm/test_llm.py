@@ -79,7 +79,9 @@ def test_name_pairs(spark, rows):
     assert rows(names.same_pairs(df.limit(0))) == []
 
 
-def test_average_linkage_equals_one_merge_at_a_time(spark):
+@pytest.mark.parametrize("part", [200_000, 3])
+def test_average_linkage_equals_one_merge_at_a_time(spark, monkeypatch, part):
+    monkeypatch.setattr(names, "PART", part)
     r = random.Random(5)
     nodes = [f"n{i:02d}" for i in range(24)]
     sims = {(a, b): r.random() for i, a in enumerate(nodes) for b in nodes[i + 1 :] if r.random() < 0.35}
@@ -102,6 +104,12 @@ def test_average_linkage_equals_one_merge_at_a_time(spark):
     assert {frozenset(v) for v in got.values() if len(v) > 1} == {v for v in label.values() if len(v) > 1}
 
 
+def test_components(spark, rows):
+    chain = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(12)] + [("x", "y"), ("y", "z")]
+    assert rows(names.components(spark.createDataFrame(chain, "a string, b string"))) == sorted([(f"n{i:02d}", "n00") for i in range(13)] + [(c, "x") for c in "xyz"])
+    assert rows(names.components(spark.createDataFrame([], "a string, b string"))) == []
+
+
 def test_names_of_other_organisations_that_share_words_stay_apart(spark, rows):
     data = ["Gibdikpin Valley Hospital", "GIBDIKPIN VALLEY HOSP.", "Gibdikpin Fanmeg Data Solutions", "Gibdikpin Fanmeg Data Sol. LLC", "Lonlebgov Valley Hospital", "Lonelbgov Valley Hospital", "University of Sartik Monbel", "University of Hargun Veltor"]
     want = [("GIBDIKPIN VALLEY HOSP.", "Gibdikpin Valley Hospital"), ("Gibdikpin Fanmeg Data Sol. LLC", "Gibdikpin Fanmeg Data Solutions"), ("Lonelbgov Valley Hospital", "Lonlebgov Valley Hospital")]

@@ -2,14 +2,14 @@
 
 Distinct spellings are reduced to forms: case, accents, legal forms, bracketed remarks and usual short forms of given names are evened out.
 Forms become unit vectors of character n-grams weighted by TF-IDF over all forms, so what many names share, such as words of trade, counts for little
-without a list of such words. A distributed sparse cosine join gives all pairs of at least `NEAR`: the products of
-weights of shared grams are summed, partly before the exchange. All partners above the threshold are kept; there is no top-n cut, which would lose variants of names with many.
-An exact check then drops pairs that contradict each other: each side has a word that is no misspelling, abbreviation, joined form or initial of any of the other's.
+without a list of such words. A distributed sparse cosine join gives all pairs of at least `NEAR`: forms are dealt to blocks, each two blocks meet in one task, and the products of
+weights of shared grams are summed there. All partners above the threshold are kept; there is no top-n cut, which would lose variants of names with many.
+An exact check, in the same task, drops pairs that contradict each other: each side has a word that is no misspelling, abbreviation, joined form or initial of any of the other's.
 Average linkage of the cosines groups the forms; pairs below `NEAR` or in contradiction count as 0. Connected parts of up to `PART` pairs are linked in a task each,
 one merge at a time; larger ones in rounds, in which all pairs of clusters that are each other's nearest merge at once, which for average linkage gives the same groups.
 
-Rows are combined to distinct spellings before the first exchange, so an employer with a third of all rows is one row. A gram of more than `BLOCK` forms is
-dealt to blocks, and each two blocks meet in a task of their own; the work of a gram is the square of its forms all the same.
+Rows are combined to distinct spellings before the first exchange, so an employer with a third of all rows is one row. Products and candidates aren't exchanged or stored:
+the exchange holds each form once for every block (forms / `BLOCK`). The work of a gram is the square of its forms all the same.
 
 Defined cases. Null and blank names and names that name nobody (`NOBODY`) take no part. Equal spellings are one spelling; spellings that
 differ in case, space or punctuation are different and pair up. Names without a letter or digit form groups of equal form. Ties between merges: the
@@ -18,12 +18,15 @@ smaller labels first. Very long names are read whole. An empty table gives no ro
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +38,10 @@ from quarrymill.session import broadcast_if_small, cut, stored
 NEAR, LINK = 0.15, 0.2
 #: Characters of a gram; words are padded, so that first and last letters have grams of their own.
 GRAM = 3
-#: Forms of one gram that meet in one task.
-BLOCK = 4000
+#: Forms of a block; two blocks meet in one task. Blocks are smaller where there are too few for all tasks, but not below LEAST_BLOCK.
+BLOCK, LEAST_BLOCK = 4000, 400
+#: Words of a form that `could_agree` looks at; forms of more are left to `agree`.
+WORDS = 8
 #: Pairs of a connected part that one task links.
 PART = 200_000
 
@@ -84,12 +89,23 @@ def grams_of(form: str) -> list[str]:
     return sorted({t[i : i + GRAM] for w in form.split() for t in [f"^{w}$"] for i in range(len(t) - GRAM + 1)})
 
 
+@lru_cache(100_000)
+def _letters(word: str) -> int:
+    """The word's characters as bits; where two share a bit, words only look more alike."""
+    bits = 0
+    for c in word:
+        bits |= 1 << ord(c) % 37
+    return bits
+
+
 def edits(a: str, b: str, most: int) -> int:
     """Optimal string alignment distance, most + 1 if greater."""
     if abs(len(a) - len(b)) > most:
         return most + 1
     if a == b:
         return 0
+    if (_letters(a) & ~_letters(b)).bit_count() > most or (_letters(b) & ~_letters(a)).bit_count() > most:
+        return most + 1
     before, row = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, row, older = row, [i], before
@@ -184,43 +200,137 @@ def spellings(df: DataFrame, column: str) -> DataFrame:
     return names.mapInPandas(run, "name string, form string")
 
 
-def vectors(forms: DataFrame) -> DataFrame:
-    """(id, gram, w, df): sparse vectors of unit length of forms (id, form); df is how many forms have the gram."""
+def weights(forms: DataFrame, n: int) -> dict[str, float]:
+    """The inverse frequency of each gram of n forms, on the driver: there are at most 49,284 grams of the 36 characters of forms and the padding."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "gram": [grams_of(f) for f in b["form"]]})
-
-    grams = cut(forms.mapInPandas(run, "id long, gram array<string>").select("id", F.explode("gram").alias("gram")))
-    n = forms.count()
-    counts = grams.groupBy("gram").agg(F.count("*").alias("df")).withColumn("idf", F.ln(1 + F.lit(float(n)) / F.col("df")))
-    w = lookup(grams, cut(counts), "gram")
-    norm = w.groupBy("id").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
-    return w.join(norm, "id").select("id", "gram", (F.col("idf") / F.col("norm")).alias("w"), "df")
+            yield pd.DataFrame({"gram": [g for f in b["form"] for g in grams_of(f)]}, dtype="object")
+
+    counts = forms.select("form").mapInPandas(run, "gram string").groupBy("gram").agg(F.count("*").alias("df")).collect()
+    return {g: math.log(1 + n / df) for g, df in counts}
+
+
+class Block:
+    """Forms as sparse unit vectors, and the words of each for `could_agree`."""
+
+    def __init__(self, ids, forms, idf: dict[str, float]):
+        self.ids, self.forms = np.asarray(ids), list(forms)
+        self.rows = []
+        for f in self.forms:
+            w = {g: idf[g] for g in grams_of(f)}
+            norm = math.sqrt(sum(x * x for x in w.values()))
+            self.rows.append({g: x / norm for g, x in w.items()})
+        words = [f.split() for f in self.forms]
+        self.count = np.array([len(w) for w in words])
+        shape = (WORDS, len(words))
+        self.whole, self.letters, self.first, self.size = np.zeros(shape, "int64"), np.zeros(shape, "uint64"), np.zeros(shape, "uint64"), np.zeros(shape, "int64")
+        for i, w in enumerate(words):
+            for k, x in enumerate(w[:WORDS]):
+                self.whole[k, i], self.letters[k, i], self.first[k, i], self.size[k, i] = hash(x), _letters(x), _letters(x[0]), len(x)
+
+    def postings(self) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        """The forms of each gram and its weights in them."""
+        held: dict[str, tuple[list[int], list[float]]] = {}
+        for i, row in enumerate(self.rows):
+            for g, w in row.items():
+                at, of = held.setdefault(g, ([], []))
+                at.append(i)
+                of.append(w)
+        return {g: (np.array(at), np.array(of)) for g, (at, of) in held.items()}
+
+
+def could_agree(x: Block, i: np.ndarray, y: Block, j: np.ndarray) -> np.ndarray:
+    """False only where `agree` is False, by what letters words have: each form has a word that nothing in the other can account for."""
+    unknown = (x.count[i] > WORDS) | (y.count[j] > WORDS)
+    many = int(max(x.count[i].max(initial=0), y.count[j].max(initial=0)))
+    p, q = ([(b.whole[k][at], b.letters[k][at], b.first[k][at], b.size[k][at]) for k in range(min(WORDS, many))] for b, at in ((x, i), (y, j)))
+    done_p, done_q = ([b.count[at] <= k for k in range(len(p))] for b, at in ((x, i), (y, j)))
+    for k, (w, a, f, m) in enumerate(p):
+        for o, (v, b, g, n) in enumerate(q):
+            both, least = (m > 0) & (n > 0), np.minimum(m, n)
+            edit = np.where(least < 4, 0, np.where(least < 6, 1, np.where(least < 10, 2, 3)))
+            a_only, b_only = np.bitwise_count(a & ~b), np.bitwise_count(b & ~a)
+            fit = (w == v) | ((a_only <= edit) & (b_only <= edit) & (np.abs(m - n) <= edit))
+            fit |= (f == g) & (least > 1) & (np.abs(m - n) > 1) & (np.where(m < n, a_only, b_only) == 0)
+            # a short word of initials, or one with initials in the other's short word
+            fit |= (m <= 4) & ((g & ~a) == 0) | (n <= 4) & ((f & ~b) == 0)
+            # a word that holds the other
+            fit |= (n >= 3) & (m > n) & (b_only == 0) | (m >= 3) & (n > m) & (a_only == 0)
+            fit &= both
+            done_p[k] = done_p[k] | fit
+            done_q[o] = done_q[o] | fit
+    for one, two, done_one, done_two in ((p, q, done_p, done_q), (q, p, done_q, done_p)):
+        for k, (_, a, _, m) in enumerate(one):
+            for (o, (_, b, _, n)), (r, (_, c, _, l)) in combinations(enumerate(two), 2):
+                # a word that is two words of the other
+                at = np.flatnonzero((np.abs(m - n - l) <= 3) & (m > 0) & (n > 0) & (l > 0))
+                whole, of = a[at], b[at] | c[at]
+                at = at[(np.bitwise_count(whole & ~of) <= 3) & (np.bitwise_count(of & ~whole) <= 3)]
+                done_one[k][at] = done_two[o][at] = done_two[r][at] = True
+    return unknown | np.logical_and.reduce(done_p) | np.logical_and.reduce(done_q)
+
+
+def near_rows(x: Block, y: Block, near: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Positions in x and y of the pairs of cosine `near` and more and their cosines, in pieces; x may be y, then each pair once."""
+    postings, got, n = y.postings(), [], 0
+    for i, row in enumerate(x.rows):
+        sums = np.zeros(len(y.forms))
+        for g, w in row.items():
+            if g in postings:
+                at, of = postings[g]
+                sums[at] += w * of
+        j = np.flatnonzero(sums >= near)
+        j = j[j > i] if x is y else j
+        got.append((np.full(len(j), i), j, sums[j]))
+        n += len(j)
+        if n >= 50_000:
+            yield tuple(map(np.concatenate, zip(*got)))
+            got, n = [], 0
+    if got:
+        yield tuple(map(np.concatenate, zip(*got)))
+
+
+def _met(forms: DataFrame, near: float, kept: Callable[[str, str], bool] | None = None) -> DataFrame:
+    """(a, b, cosine, form_a, form_b), a < b, of the forms (id, form) of cosine `near` and more, of which `kept` says yes.
+
+    The forms are dealt to blocks, and each two blocks meet in one task, which makes the vectors itself and sums products in place: what is exchanged is each form
+    once for every block, not its products with others.
+    """
+    spark, n = forms.sparkSession, forms.count()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(-(-n // BLOCK), min(-(-n // LEAST_BLOCK), math.ceil(2 * math.sqrt(parts))), 1)
+    shared = spark.sparkContext.broadcast(weights(forms, n))
+
+    def run(pair: pd.DataFrame) -> pd.DataFrame:
+        pair = pair.sort_values("id")
+        sides = [Block(s["id"], s["form"], shared.value) for _, s in pair.groupby("side")]
+        out = []
+        if pair["p"].iloc[0] == pair["q"].iloc[0] or len(sides) == 2:
+            x, y = sides[0], sides[-1]
+            for i, j, cosine in near_rows(x, y, near):
+                if kept:
+                    yes = np.flatnonzero(could_agree(x, i, y, j))
+                    i, j, cosine = i[yes], j[yes], cosine[yes]
+                    yes = np.array([kept(x.forms[k], y.forms[o]) for k, o in zip(i.tolist(), j.tolist())], bool)
+                    i, j, cosine = i[yes], j[yes], cosine[yes]
+                out += [(min(a, b), max(a, b), c, x.forms[k], y.forms[o]) for a, b, c, k, o in zip(x.ids[i].tolist(), y.ids[j].tolist(), cosine.tolist(), i.tolist(), j.tolist())]
+        return pd.DataFrame(out, columns=["a", "b", "cosine", "x", "y"])
+
+    side = forms.select("id", "form", F.pmod("id", F.lit(blocks)).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o"))
+    dealt = side.select("id", "form", "side", F.least("side", "o").alias("p"), F.greatest("side", "o").alias("q"))
+    # few bytes but much work a row: a fixed number of partitions isn't joined into one
+    return dealt.repartition(blocks * (blocks + 1) // 2, "p", "q").groupBy("p", "q").applyInPandas(run, "a long, b long, cosine double, x string, y string")
 
 
 def similar_forms(forms: DataFrame, near: float = NEAR) -> DataFrame:
     """(a, b, cosine), a < b: the ids of all forms of cosine `near` and more."""
-    blocks = F.ceil(F.col("df") / BLOCK)
-    dealt = vectors(forms).withColumn("side", F.pmod("id", blocks))
-    dealt = cut(dealt.select("id", "gram", "w", "side", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("o")).select("id", "gram", "w", "side", F.least("side", "o").alias("p"), F.greatest("side", "o").alias("q")))
-    x, y = (dealt.select("gram", "p", "q", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "w", "side")]) for k in "xy")
-    met = x.join(y, ["gram", "p", "q"]).where((F.col("id_x") < F.col("id_y")) & ((F.col("p") == F.col("q")) | (F.col("side_x") != F.col("side_y"))))
-    return met.groupBy(F.col("id_x").alias("a"), F.col("id_y").alias("b")).agg(F.sum(F.col("w_x") * F.col("w_y")).alias("cosine")).where(F.col("cosine") >= near)
+    return _met(forms, near).select("a", "b", "cosine")
 
 
-def checked(similar: DataFrame, forms: DataFrame) -> DataFrame:
-    """(a, b, sim), the forms themselves, of the pairs that don't contradict each other."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b[[agree(x, y) for x, y in zip(b["a"], b["b"])]]
-
-    named = lookup(lookup(similar, forms.select(F.col("id").alias("a"), F.col("form").alias("x")), "a"), forms.select(F.col("id").alias("b"), F.col("form").alias("y")), "b")
-    pairs = named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.col("cosine").alias("sim"))
-    # few bytes but much work a row: a fixed number of partitions isn't joined into one
-    parts = int(forms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pairs.repartition(parts).mapInPandas(run, "a string, b string, sim double")
+def agreeing(forms: DataFrame, near: float = NEAR) -> DataFrame:
+    """(a, b, sim), the forms themselves, of the pairs of cosine `near` and more that don't contradict each other, checked where they meet."""
+    return _met(forms, near, agree).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.col("cosine").alias("sim"))
 
 
 def linkage_in_rounds(edges: DataFrame, least: float = LINK) -> DataFrame:
@@ -324,7 +434,7 @@ def groups(df: DataFrame, column: str) -> DataFrame:
     """(name, label): the group of every spelling that names somebody."""
     names = cut(spellings(df, column))
     forms = cut(names.select("form").distinct().withColumn("id", F.xxhash64("form")))
-    labels = average_linkage(checked(cut(similar_forms(forms)), forms))
+    labels = average_linkage(agreeing(forms))
     # a form has few spellings next to the forms of all names, and a label is joined once per spelling: no form is hot
     return lookup(names, labels.select(F.col("node").alias("form"), "label"), "form", salts=1).select("name", F.coalesce("label", "form").alias("label"))
 

@@ -1,6 +1,7 @@
 import datetime as dt
 import math
 import random
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -71,6 +72,35 @@ def test_cosines_equal_brute_force_also_over_blocks(spark, monkeypatch):
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_products_of_names_are_not_exchanged(spark):
+    forms = [f"{a}{b} robotics" for a in ("kat", "bob", "mil", "pev", "rub", "sok", "dul", "hek", "gar", "nim") for b in ("lon", "bid", "fop", "gun", "hur", "kex", "lad", "mor", "nax", "pot")]
+    similar = names.similar_forms(spark.createDataFrame(list(enumerate(forms)), "id long, form string"))
+    assert len(similar.collect()) == 900
+
+    def exchanged(node):
+        n = node.metrics().get("shuffleRecordsWritten").get().value() if node.nodeName() == "Exchange" else 0
+        inner = [node.executedPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.plan()] if node.nodeName().endswith("QueryStage") else []
+        children = node.children()
+        return n + sum(map(exchanged, inner + [children.apply(i) for i in range(children.size())]))
+
+    # each form once a block, here one; 6,350 rows when products were summed across tasks
+    assert len(forms) <= exchanged(similar._jdf.queryExecution().executedPlan()) <= 2 * len(forms)
+
+
+def test_filter_by_letters_loses_no_names_that_agree():
+    r = random.Random(6)
+    parts = ["kat", "bob", "mil", "pev", "rub", "so", "a", "robotics", "rbtcs", "data", "ds", "us", "7"]
+    forms = sorted({" ".join(sorted("".join(r.choice(parts) for _ in range(r.randrange(1, 4))) for _ in range(r.choice([1, 1, 2, 2, 3, 4, 9])))) for _ in range(150)})
+    forms = sorted({*forms, *["".join(c for c in f if r.random() < 0.9 or c == " ").strip() or f for f in forms], *[f.replace(" ", "") for f in forms]})
+    forms = [" ".join(f.split()) for f in forms]
+    block = names.Block(range(len(forms)), forms, dict.fromkeys({g for f in forms for g in names.grams_of(f)}, 1.0))
+    i, j = map(np.array, zip(*combinations(range(len(forms)), 2)))
+    could = names.could_agree(block, i, block, j)
+    agree = np.array([names.agree(forms[a], forms[b]) for a, b in zip(i, j)])
+    assert agree.any() and not (agree & ~could).any() and could.mean() < 0.9
+    assert not names.could_agree(block, i[:0], block, j[:0]).any()
+
+
 def test_name_pairs(spark, rows):
     data = ["Acmelor Bintok Media", "ACMELOR BINTOK MEDIA", "Acmelor  Bintok Media", "Acmelor Bintko Med. Ltd", "Acmelor Credit Union", "Other Firmname", None, "", "  ", "Confidential", "N/A", "x" * 4000, "!!!", "Acmelor Bintok Media"]
     df = spark.createDataFrame([(n, "x") for n in data], "employer string, name string")

@@ -312,7 +312,7 @@ def _met(forms: DataFrame, near: float, kept: Callable[[str, str], bool] | None
                 if kept:
                     yes = np.flatnonzero(could_agree(x, i, y, j))
                     i, j, cosine = i[yes], j[yes], cosine[yes]
-                    yes = np.array([kept(x.forms[k], y.forms[o]) for k, o in zip(i.tolist(), j.tolist())], bool)
+                    yes = np.array([kept(*sorted((x.forms[k], y.forms[o]))) for k, o in zip(i.tolist(), j.tolist())], bool)  # in one order, whatever the blocks
                     i, j, cosine = i[yes], j[yes], cosine[yes]
                 out += [(min(a, b), max(a, b), c, x.forms[k], y.forms[o]) for a, b, c, k, o in zip(x.ids[i].tolist(), y.ids[j].tolist(), cosine.tolist(), i.tolist(), j.tolist())]
         return pd.DataFrame(out, columns=["a", "b", "cosine", "x", "y"])

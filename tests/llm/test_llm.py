@@ -87,6 +87,12 @@ def test_products_of_names_are_not_exchanged(spark):
     assert len(forms) <= exchanged(similar._jdf.queryExecution().executedPlan()) <= 2 * len(forms)
 
 
+def test_names_are_compared_in_one_order(spark, monkeypatch):
+    monkeypatch.setattr(names, "agree", lambda x, y: x < y)
+    df = spark.createDataFrame([(3, "katmil"), (2, "katmil lonbid"), (1, "katmil lonbid nax")], "id long, form string")
+    assert names.agreeing(df).count() == names.similar_forms(df).count() == 3
+
+
 def test_filter_by_letters_loses_no_names_that_agree():
     r = random.Random(6)
     parts = ["kat", "bob", "mil", "pev", "rub", "so", "a", "robotics", "rbtcs", "data", "ds", "us", "7"]
